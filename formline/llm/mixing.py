@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from formline.llm.common import materialise, small
 
 #: Rows that one task orders at once; groups are cut into as many hash or time ranges as that takes.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 
 
 def word_count(text: Column) -> Column:
