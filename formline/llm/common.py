@@ -61,6 +61,22 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: A group that holds more than this share of all rows is joined by broadcast; there are at most 1 / share of them.
+HOT_SHARE = 0.001
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` joined with the table of their groups, one row per key, that gives each group's number of rows.
+
+    Groups over ``HOT_SHARE`` of all rows, a bounded number, are joined by broadcast, so that no task gets all rows of
+    one group; the rest go through a sort-merge join.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = groups.where(F.col(size) > max(1, int(total * HOT_SHARE)))
+    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(far.join(groups.hint("merge"), key))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone; ``lower`` would change other letters too."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

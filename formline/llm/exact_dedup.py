@@ -7,11 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formline.llm.common import materialise
-
-#: A digest that holds more than this share of all rows is joined by broadcast; there are at most 1 / share of them.
-HOT_SHARE = 0.001
-
+from formline.llm.common import join_groups, materialise
 
 def text_digest(text: Column) -> Column:
     """SHA-256, in lower-case hex, of the text with each run of ASCII white space as one space; null is empty."""
@@ -42,16 +38,8 @@ class DigestIndex:
             .mode("append").saveAsTable(self.table))
 
     def lookup(self, rows: DataFrame, digest: str = "digest") -> DataFrame:
-        """``rows`` with keep_id and group_size of their digest.
-
-        Digests that hold over ``HOT_SHARE`` of all rows, a bounded number, are looked up by broadcast, so that no
-        task gets all copies of one text; the rest go through a sort-merge join.
-        """
-        known = self.read().withColumnRenamed("digest", digest)
-        total = known.agg(F.sum("group_size")).first()[0] or 0
-        hot = known.where(F.col("group_size") > max(1, int(total * HOT_SHARE)))
-        far = rows.join(F.broadcast(hot.select(digest)), digest, "left_anti")
-        return rows.join(F.broadcast(hot), digest).unionByName(far.join(known.hint("merge"), digest))
+        """``rows`` with keep_id and group_size of their digest."""
+        return join_groups(rows, self.read().withColumnRenamed("digest", digest), digest, "group_size")
 
 
 def exact_groups(docs: DataFrame, table: str | None = None) -> DataFrame:
