@@ -65,7 +65,7 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
 HOT_SHARE = 0.001
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str) -> DataFrame:
     """``rows`` joined with the table of their groups, one row per key, that gives each group's number of rows.
 
     Groups over ``HOT_SHARE`` of all rows, a bounded number, are joined by broadcast, so that no task gets all rows of
@@ -73,7 +73,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> Data
     """
     total = groups.agg(F.sum(size)).first()[0] or 0
     hot = groups.where(F.col(size) > max(1, int(total * HOT_SHARE)))
-    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    far = rows.join(F.broadcast(hot.select(*([key] if isinstance(key, str) else key))), key, "left_anti")
     return rows.join(F.broadcast(hot), key).unionByName(far.join(groups.hint("merge"), key))
 
 

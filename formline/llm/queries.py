@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from formline.llm import decontaminate, exact_dedup, html_text, minhash, mixing, tokens, toxicity, url_filter
+from formline.llm import decontaminate, exact_dedup, html_text, minhash, mixing, repeats, tokens, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.fair_queue(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"), length=400, keep_first=False).drop("kept_text")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op2_minhash_dedup, op3_token_counts, op4_url_filter, op5_toxicity, op7_mixing, op9_exact_dedup, op10_html_extraction)
+    for f in (op1_decontamination, op2_minhash_dedup, op3_token_counts, op4_url_filter, op5_toxicity, op7_mixing, op8_repeated_strings, op9_exact_dedup, op10_html_extraction)
 }
