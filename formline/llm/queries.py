@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from formline.llm import decontaminate, exact_dedup, html_text, minhash, mixing, repeats, tokens, toxicity, url_filter
+from formline.llm import decontaminate, exact_dedup, html_text, language, minhash, mixing, repeats, tokens, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.fair_queue(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -51,5 +55,5 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op2_minhash_dedup, op3_token_counts, op4_url_filter, op5_toxicity, op7_mixing, op8_repeated_strings, op9_exact_dedup, op10_html_extraction)
+    for f in (op1_decontamination, op2_minhash_dedup, op3_token_counts, op4_url_filter, op5_toxicity, op6_language, op7_mixing, op8_repeated_strings, op9_exact_dedup, op10_html_extraction)
 }
