@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import uuid
@@ -56,6 +57,12 @@ def release(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Run both collectors between the phases of a long job, so that Spark drops shuffle files nothing refers to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast if it has ``rows`` rows at most, as counted now; beyond, Spark shuffles it."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from formline.llm.arrow_words import hash_words, pieces, split_words
-from formline.llm.common import components, join_groups, materialise, release, ship
+from formline.llm.common import components, join_groups, materialise, release, ship, sweep
 
 ship(__name__)
 
@@ -104,10 +104,12 @@ def sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     return rows_in.mapInArrow(run, "doc_id long, rk long, n long, key binary, bands array<long>")
 
 
-def compare(pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(mid, pivot, n, n_pivot, linked, delta) from (mid, pivot, text, pivot_text): whole sets are compared.
+def compare(pairs: DataFrame, k: int, percent: int, far: bool) -> DataFrame:
+    """(mid, pivot, n, n_pivot, linked, near, delta) from (mid, pivot, text, pivot_text): whole sets are compared.
 
-    delta is the symmetric difference of the two sets, so any two members of a pivot can be compared by theirs.
+    delta is the symmetric difference of the two sets, so any two members of a pivot can be compared by theirs. As
+    Jaccard distances obey the triangle inequality, a member can be linked with one that is linked with the pivot only
+    if it is ``near``: at most twice the linking distance away. Deltas of others are left out unless ``far``.
     """
 
     def run(batches):
@@ -121,55 +123,83 @@ def compare(pairs: DataFrame, k: int, percent: int) -> DataFrame:
                 delta = [np.setxor1d(x, y, assume_unique=True).view(np.int64) for x, y in zip(*sides, strict=True)]
                 n, m, d = (np.array([len(x) for x in s], np.int64) for s in (*sides, delta))
                 linked = 100 * (n + m - d) >= percent * (n + m + d)
+                near = 100 * (n + m - d) >= (2 * percent - 100) * (n + m + d)
+                delta = [x if ok or far else None for x, ok in zip(delta, near, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(n), pa.array(m), pa.array(linked), pa.array(delta, pa.list_(pa.int64()))],
-                    ["mid", "pivot", "n", "n_pivot", "linked", "delta"],
+                    [part.column(0), part.column(1), pa.array(n), pa.array(m), pa.array(linked), pa.array(near), pa.array(delta, pa.list_(pa.int64()))],
+                    ["mid", "pivot", "n", "n_pivot", "linked", "near", "delta"],
                 )
 
-    return pairs.select("mid", "pivot", "text", "pivot_text").mapInArrow(run, "mid long, pivot long, n long, n_pivot long, linked boolean, delta array<long>")
+    return pairs.select("mid", "pivot", "text", "pivot_text").mapInArrow(run, "mid long, pivot long, n long, n_pivot long, linked boolean, near boolean, delta array<long>")
 
 
-def delta_links(star: DataFrame, percent: int, last: bool) -> DataFrame:
+def delta_links(star: DataFrame, percent: int, groups: DataFrame | None) -> DataFrame:
     """Links (a, b) between members of a pivot, one of which at least isn't linked with the pivot.
 
     Two members differ by the symmetric difference of their deltas, and with r = (100 - percent) / (100 + percent)
     they are linked if that has at most r times the sum of their sizes. So their deltas must overlap in half of
     either, give or take what sizes allow, and, for a member not linked with the pivot, in all but r times the
-    largest possible sum: a set join with a prefix filter, on each delta's rarest elements, then verified on whole
-    deltas. Pairs of members both of which aren't linked are joined only if ``last``.
+    largest possible sum: a set join with a prefix filter, on each delta's rarest elements, with a bound by the places
+    of the common element, then verified on whole deltas.
+
+    Without ``groups`` linked members meet near ones that aren't linked. With it, a table (mid, component) of what is
+    known so far, members that aren't linked meet each other too, if they are of different components.
     """
+    last = groups is not None
     r = (100 - percent) / (100 + percent)
-    open_pivots = star.where("not linked").select("pivot").distinct()
-    star = star.join(open_pivots, "pivot", "left_semi")
-    widest = star.groupBy("pivot").agg(F.max("n").alias("widest"))
-    star = materialise(star.join(widest, "pivot").withColumn("nd", F.size("delta").cast("long")), "star")
-    toks = star.select("pivot", "mid", "linked", "n", "n_pivot", "widest", "nd", F.explode("delta").alias("tok"))
-    freq = toks.groupBy("pivot", "tok").agg(F.count(F.lit(1)).alias("f"))
+    star = star.where("near" if not last else "true")
+    per = star.groupBy("pivot").agg(F.max("n").alias("widest"), F.count(F.lit(1)).alias("members"), F.min("linked").alias("closed"))
+    per = materialise(per.where("not closed").drop("closed"), "pivots")
+    star = join_groups(star, per, "pivot", "members").withColumn("nd", F.size("delta").cast("long"))
+    if last:
+        star = star.join(groups, "mid", "left").withColumn("component", F.coalesce("component", "mid"))
+    else:
+        star = star.withColumn("component", F.lit(0).cast("long"))
+    star = materialise(star.withColumn("id", F.monotonically_increasing_id()), "star")
+    toks = star.select("id", "pivot", F.explode("delta").alias("tok"))
+    freq = materialise(toks.groupBy("pivot", "tok").agg(F.count(F.lit(1)).alias("f")), "frequencies")
+    rare = Window.partitionBy("id").orderBy("f", "tok")
+    toks = join_groups(toks, freq, ["pivot", "tok"], "f").withColumn("place", F.row_number().over(rare)).select("id", "tok", "place")
     # least overlap: more than half of the delta, but for what the member is larger (or another could be) than the pivot
     half = F.when(F.col("linked"), (F.col("nd") - r * (F.col("n") - F.col("n_pivot"))) / 2).otherwise(
         (F.col("nd") - r * (F.col("n") + F.col("widest")) + r * (F.col("n_pivot") + F.col("n"))) / 2
     )
     most = F.when(F.col("linked"), F.lit(0.0)).otherwise(F.col("nd") - r * (F.col("n") + F.col("widest")))
-    rare = Window.partitionBy("pivot", "mid").orderBy("f", "tok")
-    toks = toks.join(freq, ["pivot", "tok"]).withColumn("place", F.row_number().over(rare))
 
-    def prefix(least):
-        return toks.where(F.col("place") <= F.col("nd") - F.greatest(F.ceil(least - 1e-6), F.lit(1)) + 1).select("pivot", "mid", "linked", "tok")
+    def length(least):
+        return F.col("nd") - F.greatest(F.ceil(least - 1e-6), F.lit(1)) + 1
 
     # an unlinked member meets linked ones, of which any overlap may do, with the weaker bound
-    inner, outer = prefix(half).where("linked"), prefix(most).where("not linked")
-    pairs = inner.alias("x").join(outer.alias("y"), ["pivot", "tok"]).select("pivot", F.col("x.mid").alias("a"), F.col("y.mid").alias("b"))
+    first = F.when(F.col("linked"), length(half)).otherwise(length(most))
+    side = star.select("id", "pivot", "mid", "linked", "near", "n", "nd", "component", first.alias("upto"), length(F.greatest(half, most)).alias("upto_open"))
+    heads = materialise(toks.join(side, "id").where(F.col("place") <= F.greatest("upto", "upto_open")), "prefixes")
+
+    def meet(x: DataFrame, y: DataFrame, rule: str) -> DataFrame:
+        need = (F.col("x.nd") + F.col("y.nd") - r * (F.col("x.n") + F.col("y.n"))) / 2
+        room = 1 + F.least(F.col("x.nd") - F.col("x.place"), F.col("y.nd") - F.col("y.place"))
+        on = (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.tok") == F.col("y.tok")) & (room >= need - 1e-6) & F.expr(rule)
+        return x.alias("x").join(y.alias("y"), on).select(F.col("x.id").alias("ix"), F.col("y.id").alias("iy"))
+
+    pairs = meet(heads.where("linked and place <= upto"), heads.where("not linked and near and place <= upto"), "true")
     if last:
-        both = prefix(F.greatest(half, most)).where("not linked")
-        pairs = pairs.unionByName(
-            both.alias("x").join(both.alias("y"), ["pivot", "tok"]).where("x.mid < y.mid").select("pivot", F.col("x.mid").alias("a"), F.col("y.mid").alias("b"))
-        )
-    side = star.select("pivot", "mid", "n", "delta")
-    pairs = pairs.distinct().join(side.withColumnRenamed("mid", "a"), ["pivot", "a"])
-    pairs = pairs.join(side.select("pivot", F.col("mid").alias("b"), F.col("n").alias("n_b"), F.col("delta").alias("delta_b")), ["pivot", "b"])
+        both = heads.where("not linked and place <= upto_open")
+        pairs = pairs.unionByName(meet(both, both, "x.mid < y.mid and x.component <> y.component"))
+    whole = star.select("id", "mid", "n", "delta")
+    pairs = pairs.distinct().join(whole.select(F.col("id").alias("ix"), F.col("mid").alias("a"), "n", "delta"), "ix")
+    pairs = pairs.join(whole.select(F.col("id").alias("iy"), F.col("mid").alias("b"), F.col("n").alias("n_b"), F.col("delta").alias("delta_b")), "iy")
     apart = F.size("delta") + F.size("delta_b") - 2 * F.size(F.array_intersect("delta", "delta_b"))
     total = F.col("n") + F.col("n_b")
-    return pairs.where(100 * (total - apart) >= percent * (total + apart)).select("a", "b")
+    found = materialise(pairs.where(100 * (total - apart) >= percent * (total + apart)).select("a", "b"), "links")
+    for t in (star, heads, per, freq):
+        release(t)
+    return found
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, levels: int = 3) -> DataFrame:
@@ -181,8 +211,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
     Documents with the same set are one member. A bucket's members are compared with one pivot, the member that shares
     most buckets with others, so work follows the members, not their pairs. Members linked with the pivot are one
-    group; links of others are found by ``delta_links``, and those not linked with a pivot go on to the next level
-    with pivots of their own. No link between members of a bucket is lost.
+    group; their links with others are found by ``delta_links``, and those not linked with a pivot go on to the next
+    level with pivots of their own, at the last of which they are compared with each other too. No link between members of a bucket is lost.
 
     Null and empty texts, and texts of white space, have no shingles, are linked with nothing and are kept. A null id
     never becomes a component's name unless all its ids are null; rows that repeat an id and text share one verdict; an
@@ -194,35 +224,42 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     one = sig.join(classes.select("key", "rk", "mid"), ["key", "rk"]).dropDuplicates(["mid"])
     spread = materialise(one.select("mid", F.explode("bands").alias("band")), "bands")
 
-    edges = []
+    edges: list[DataFrame] = []
     texts = None
     for level in range(levels):
+        last = level == levels - 1
         counts = spread.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
         met = materialise(spread.join(counts, "band"), "buckets")
         weight = met.groupBy("mid").agg(F.sum("c").alias("w"))
         tie = F.pmod(F.xxhash64("mid"), F.lit(1 << 20)) / (1 << 21)
         heads = met.join(weight, "mid").groupBy("band").agg(F.max_by("mid", F.col("w") + tie).alias("pivot"))
-        met = materialise(met.select("band", "mid").join(heads, "band").where("mid <> pivot"), "met")
+        met, buckets = materialise(met.select("band", "mid").join(heads, "band").where("mid <> pivot"), "met"), met
         pairs = materialise(met.groupBy("mid", "pivot").agg(F.count(F.lit(1)).alias("shared")), "pairs")
+        release(spread)
+        release(buckets)
         if texts is None:
             needed = pairs.select("mid").unionByName(pairs.select(F.col("pivot").alias("mid"))).distinct().join(classes.select("mid", "rk"), "mid")
             whole = docs.select(F.xxhash64("doc_id", "text").alias("rk"), F.col("text").cast("string").alias("text"))
             texts = materialise(whole.join(needed, "rk").dropDuplicates(["mid"]).select("mid", "text"), "texts")
+            sweep(docs.sparkSession)
         own = pairs.groupBy("mid").agg(F.collect_list("pivot").alias("pivots")).join(texts, "mid")  # as many as bands at most
         own = own.select("mid", "text", F.explode("pivots").alias("pivot"))
-        star = materialise(compare(own.join(texts.select(F.col("mid").alias("pivot"), F.col("text").alias("pivot_text")), "pivot"), k, percent), "compared")
-        edges.append(star.where("linked").select(F.col("mid").alias("a"), F.col("pivot").alias("b")))
+        whole = own.join(texts.select(F.col("mid").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
+        star = materialise(compare(whole, k, percent, last), "compared")
+        release(pairs)
+        sweep(docs.sparkSession)
+        edges.append(materialise(star.where("linked").select(F.col("mid").alias("a"), F.col("pivot").alias("b")), "linked"))
         if star.where("not linked").limit(1).count() == 0:
             break
-        last = level == levels - 1
-        edges.append(materialise(delta_links(star, percent, last), "links"))
+        groups = components(_union(edges)).withColumnRenamed("node", "mid") if last else None
+        edges.append(delta_links(star, percent, groups))
         if not last:
             apart = star.where("not linked").select("mid", "pivot")
             spread = materialise(met.join(apart, ["mid", "pivot"], "left_semi").select("mid", "band"), "bands")
-    all_edges = edges[0]
-    for e in edges[1:]:
-        all_edges = all_edges.unionByName(e)
-    named = components(all_edges).withColumnRenamed("node", "mid")
+        release(star)
+        release(met)
+        sweep(docs.sparkSession)
+    named = components(_union(edges)).withColumnRenamed("node", "mid")
     classes = classes.join(named, "mid", "left").withColumn("component", F.coalesce("component", "mid"))
     lows = classes.groupBy("component").agg(F.min("low").alias("component_id"))
     classes = materialise(classes.join(lows, "component").select("key", "component_id", "rows"), "named")
