@@ -57,3 +57,27 @@ QUERIES = {
     f.__name__: f
     for f in (op1_decontamination, op2_minhash_dedup, op3_token_counts, op4_url_filter, op5_toxicity, op6_language, op7_mixing, op8_repeated_strings, op9_exact_dedup, op10_html_extraction)
 }
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE = {
+    "op1_decontamination": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+ win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+ dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+ hits AS (SELECT doc_id, i, dw.n AS n, item_id FROM dw JOIN win ON dw.s = win.s AND dw.n = win.n),
+ pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+ its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op7_mixing": r"""WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS draw FROM documents),
+ per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM s GROUP BY source),
+ lev AS (SELECT *, 2.0::DOUBLE * source_size AS cap, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(2.0::DOUBLE * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM per WINDOW o AS (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST)),
+ t AS (SELECT source, source_size, least(cap, coalesce((SELECT max(level) FROM lev WHERE cap / weight >= level) * weight, cap)) AS target FROM lev),
+ q AS (SELECT s.*, source_size, target, sum(size) OVER (PARTITION BY s.source ORDER BY draw, doc_id) AS cum FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
+ e AS (SELECT doc_id, size, (source_size * k + cum) / target AS f, draw FROM q, (VALUES (0), (1)) v(k) WHERE size > 0 AND target > 0),
+ r AS (SELECT *, sum(size) OVER (ORDER BY f, draw, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM e),
+ took AS (SELECT doc_id, CAST(sum(size) AS BIGINT) AS taken FROM r WHERE upto <= (SELECT sum(target) FROM t) GROUP BY doc_id)
+ SELECT q.doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM q LEFT JOIN took USING (doc_id)""",
+    "op9_exact_dedup": r"""WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
+ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, h AS text_sha256 FROM n WINDOW g AS (PARTITION BY h)""",
+}
