@@ -148,6 +148,12 @@ def top_k(df: DataFrame, group: Keys, order: Sequence[Column | str], k: int = 1,
     return df if rank else df.drop(name)
 
 
+def last_folds(df: DataFrame, fold: str, n: int) -> DataFrame:
+    """Rows of the ``n`` latest folds; folds are ranked among themselves, not row by row."""
+    names = df.select(fold).distinct().withColumn("_r", F.row_number().over(Window.orderBy(F.desc(fold)))).where(F.col("_r") <= n)
+    return df.join(names.select(fold), fold, "left_semi")
+
+
 def dedup(df: DataFrame, keys: Keys, order: Sequence[Column | str]) -> DataFrame:
     """One row per key: the first in the given order."""
     return top_k(df, keys, order, 1)

@@ -336,3 +336,26 @@ def factor_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pool_dividends(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = runners(spark, sf_dir).groupBy("race").agg(F.sum("weight").alias("gross"), F.sum(F.when(F.col("won") == 1, F.col("weight"))).alias("on_winner"))
     return df.select("race", F.round(payout.win_dividend(F.col("gross"), F.col("on_winner"), 0.175), 6).alias("dividend"), F.round(payout.impact_dividend(F.col("gross"), F.col("on_winner"), F.lit(100.0), 0.175), 6).alias("with_stake"))
+
+
+@query(STAKES + """SELECT race, saddle, round(p_model, 6) AS p_model, round(p_market, 6) AS p_market, round(p_blend, 6) AS p_blend, round(p_blend * win_odds - 1, 6) AS ev, stake,
+ row_number() OVER (PARTITION BY race ORDER BY round(p_blend, 9) DESC, saddle) AS rank_in_race FROM st WHERE race_date >= DATE '2001-01-01'""")
+def recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The card's runners with chances, value, a capped and rounded quarter stake, and their place in the order."""
+    df = _stakes(spark, sf_dir).where("race_date >= '2001-01-01'")
+    rank = F.row_number().over(Window.partitionBy("race").orderBy(F.round("p_blend", 9).desc(), "saddle"))
+    return df.select(*KEY, r6("p_model"), r6("p_market"), r6("p_blend"), F.round(payout.expected_value(F.col("p_blend"), F.col("win_odds")), 6).alias("ev"), "stake", rank.alias("rank_in_race"))
+
+
+@query(W + ", f AS (SELECT season, dense_rank() OVER (ORDER BY season DESC) AS r FROM (SELECT DISTINCT season FROM runners)) SELECT season, count(*) AS n, round(avg(won), 6) AS win_rate FROM runners JOIN f USING (season) WHERE r <= 3 GROUP BY season")
+def last_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three latest seasons, those that a test would use."""
+    df = runners(spark, sf_dir)
+    return windows.last_folds(df, "season", 3).groupBy("season").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("won"), 6).alias("win_rate"))
+
+
+@query(STAKES + ", bt AS (SELECT season, stake, CASE WHEN won = 1 THEN stake * (win_odds - 1) ELSE -stake END AS profit FROM st WHERE stake > 0) SELECT season, count(*) AS bets, round(sum(stake), 6) AS staked, round(sum(profit), 6) AS profit, round(sum(profit) / sum(stake), 6) AS roi FROM bt GROUP BY season")
+def quarter_stake_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bets, stakes and return by season of quarter stakes from a fixed bank."""
+    df = _stakes(spark, sf_dir).where("stake > 0").withColumn("profit", F.when(F.col("won") == 1, F.col("stake") * (F.col("win_odds") - 1)).otherwise(-F.col("stake")))
+    return df.groupBy("season").agg(F.count(F.lit(1)).alias("bets"), F.round(F.sum("stake"), 6).alias("staked"), F.round(F.sum("profit"), 6).alias("profit"), F.round(F.sum("profit") / F.sum("stake"), 6).alias("roi"))
