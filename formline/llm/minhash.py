@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         if texts is None:
             needed = pairs.select("mid").unionByName(pairs.select(F.col("pivot").alias("mid"))).distinct().join(classes.select("mid", "rk"), "mid")
             whole = docs.select(F.xxhash64("doc_id", "text").alias("rk"), F.col("text").cast("string").alias("text"))
-            texts = materialise(whole.join(needed, "rk").dropDuplicates(["mid"]).select("mid", "text"), "texts")
+            texts = materialise(whole.join(needed.hint("merge"), "rk").dropDuplicates(["mid"]).select("mid", "text"), "texts")
             sweep(docs.sparkSession)
         own = pairs.groupBy("mid").agg(F.collect_list("pivot").alias("pivots")).join(texts, "mid")  # as many as bands at most
         own = own.select("mid", "text", F.explode("pivots").alias("pivot"))
