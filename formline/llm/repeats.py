@@ -73,6 +73,7 @@ def suffix_classes(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[n
     key = np.zeros(n, np.uint64)
     for j in range(8):
         key = (key << np.uint64(8)) | wide[j : n + j]
+    key >>= np.uint64(8 * max(0, 8 - length))
 
     def ranks(key):
         order = np.argsort(key, kind="stable")
@@ -147,7 +148,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = True,
     4. The matches go back to all runs, are joined per document and cut out.
 
     Null texts are empty; texts shorter than ``length`` keep all. Rows that repeat an id and text count as repeats of
-    each other; null ids are one id; an empty table gives an empty result; other columns are not read.
+    each other, and with ``keep_first`` as one; null ids are one id; an empty table gives an empty result; other columns
+    are not read.
     """
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
 
@@ -180,9 +182,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = True,
                     at = upto
 
     runs = materialise(rows.select("id", "th", "text").mapInArrow(cut, "id long, th long, s int, e int, anchor long, dig binary"), "runs")
-    often = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
-    met = materialise(runs.join(often, "anchor", "left_semi"), "met")
+    often = materialise(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "often")
+    met = materialise(join_groups(runs, often, "anchor", "c").drop("c"), "met")
     release(runs)
+    release(often)
     groups = met.groupBy("anchor", "dig").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "th", "s", "e")).alias("one"))
     groups = materialise(groups.select("anchor", "dig", "n", "one.*"), "groups")
     kinds = groups.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("e") - F.col("s") + length).alias("bytes")).where("kinds > 1")
