@@ -42,9 +42,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     counted over all documents) must occur and is the only one joined. The place of that shingle in the window gives
     the start; the start and the end must lie inside the document, and the words there are compared with the window's.
 
-    Document words are split once. Of their shingles only those that any window has leave the scan, each with the
-    words around it, and one further row a document. The benchmark's shingles are broadcast if they are
-    ``SMALL_ROWS`` at most and shuffled otherwise. Null and empty texts have no words and are not hit; null item ids
+    Document words are split once. The benchmark's shingles are broadcast if they are ``SMALL_ROWS`` at most; then only
+    document shingles that any window has leave the scan, each with the words around it, and one further row a
+    document. Beyond, words are written once, (row, place, hash) alone is shuffled to find those shingles, and a
+    document's words meet all of its places in one row, so what moves grows with the words and not their square. Null and empty texts have no words and are not hit; null item ids
     are left out of n_items and items_sha256; repeated rows are judged each; items without words have no window; with an
     empty benchmark nothing is hit. Other columns are not read.
     """
@@ -59,27 +60,36 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     for p in parts[1:]:
         bench = bench.unionByName(p)
     bench = materialise(bench, "bench")
-    mark = F.xxhash64(F.lit("a document's own row"))
-    known = bench.select("hash").distinct().unionByName(spark.range(1).select(mark.alias("hash")))
     few = bench.count() <= SMALL_ROWS
 
     words = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), word_list(F.col("text")).alias("words"))
     places = [F.transform(_shingles(F.col("words"), k), lambda h, i: F.struct((i + 1).alias("at"), h.alias("hash"))) for k in sizes]
-    own = F.array(F.struct(F.lit(0).alias("at"), mark.alias("hash")))
-    spread = words.select("doc_id", "row", "words", F.explode(F.concat(own, *places)).alias("p")).select("doc_id", "row", "words", "p.at", "p.hash")
+    n_words = F.size("words").cast("long").alias("n_words")
     near = F.slice("words", F.greatest(F.col("at") - (window - shingle), F.lit(1)), 2 * window)
-    found = spread.join(F.broadcast(known) if few else known, "hash").select(
-        "doc_id", "row", "at", "hash", F.size("words").cast("long").alias("n_words"), F.when(F.col("at") > 0, near).alias("near"),
-    )
-    found = materialise(found, "shingles")
-
-    rarity = found.where("at > 0").groupBy("hash").agg(F.count(F.lit(1)).alias("places"))
+    if few:
+        mark = F.xxhash64(F.lit("a document's own row"))
+        known = bench.select("hash").distinct().unionByName(spark.range(1).select(mark.alias("hash")))
+        own = F.array(F.struct(F.lit(0).alias("at"), mark.alias("hash")))
+        spread = words.select("doc_id", "row", "words", F.explode(F.concat(own, *places)).alias("p")).select("doc_id", "row", "words", "p.at", "p.hash")
+        met = spread.join(F.broadcast(known), "hash").select("doc_id", "row", "at", "hash", n_words, F.when(F.col("at") > 0, near).alias("near"))
+        met = materialise(met, "shingles")
+        judged = met.where("at = 0").select("row", "doc_id", "n_words")
+        found = met.where("at > 0")
+    else:
+        words = materialise(words, "words")
+        spread = words.select("row", F.explode(F.concat(*places)).alias("p")).select("row", "p.at", "p.hash")
+        met = spread.join(bench.select("hash").distinct(), "hash", "left_semi").groupBy("row").agg(F.collect_list(F.struct("at", "hash")).alias("met"))
+        spread = words.select("row", "words").join(met, "row").select("row", "words", F.explode("met").alias("p")).select("row", "words", "p.at", "p.hash")
+        found = materialise(spread.select("row", "at", "hash", n_words, near.alias("near")), "shingles")
+        judged = words.select("row", "doc_id", n_words)
+
+    rarity = found.groupBy("hash").agg(F.count(F.lit(1)).alias("places"))
     ranked = bench.join(rarity, "hash", "left").fillna(0, ["places"])
     first = Window.partitionBy("words").orderBy("places", "hash", "offset")
     prefix = ranked.withColumn("r", F.row_number().over(first)).where("r = 1 and places > 0").drop("r", "places")
     prefix = materialise(prefix, "prefix")
 
-    hits = found.where("at > 0").join(F.broadcast(prefix) if few else prefix, "hash")
+    hits = found.join(F.broadcast(prefix) if few else prefix, "hash")
     start = F.col("at") - F.col("offset")
     first_near = F.greatest(F.col("at") - (window - shingle), F.lit(1))
     hits = hits.withColumn("start", start).where((F.col("start") >= 1) & (F.col("start") + F.col("length") - 1 <= F.col("n_words")))
@@ -92,7 +102,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     gain = F.greatest(F.col("stop") - F.greatest("start", F.coalesce("reach", F.lit(0))), F.lit(0))
     covered = covered.groupBy("row").agg(F.sum(gain).cast("long").alias("n_hit"))
     items = hits.select("row", F.explode("items").alias("item")).groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    out = found.where("at = 0").select("row", "doc_id", "n_words").join(covered, "row", "left").join(items, "row", "left")
+    out = judged.join(covered, "row", "left").join(items, "row", "left")
     named = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(named).cast("long").alias("n_items"),

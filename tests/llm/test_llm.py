@@ -59,6 +59,30 @@ def test_decontamination_edges(spark):
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
 
 
+def shuffled(spark):
+    """Bytes that all shuffles of the session have written."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    return sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+
+def test_decontamination_by_a_large_benchmark(spark, monkeypatch):
+    """Where the benchmark isn't broadcast: the same rows, and no shuffle of a document's words for each of its words."""
+    texts = [t for _, t in ODD] + [" ".join(f"v{i}" for i in range(2000))]
+    bench = [(1, "one"), (2, None), (3, "w5 w6"), (4, " ".join(f"w{i}" for i in range(20, 40))), (5, "FEW are here"), (6, " ".join(f"v{i}" for i in range(1990, 2010)))]
+    want = brute.contamination(list(enumerate(texts)), bench)
+    monkeypatch.setattr(decontaminate, "SMALL_ROWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        got = decontaminate.contamination(docs_of(spark, list(enumerate(texts))), spark.createDataFrame(bench, "item_id long, text string")).collect()
+        moved = shuffled(spark) - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in got} == {d: (n, hit, len(items)) for d, (n, hit, items) in want.items()}
+    assert moved < 200 * sum(r.n_words for r in got)
+
+
 # 2
 def test_near_groups_match_brute_force(spark, small):
     want = brute.near_groups(list(zip(small.doc_id, small.text)))
