@@ -8,28 +8,34 @@ from pyspark.sql import functions as F
 from formline.llm import decontaminate, exact_dedup, minhash, mixing, toxicity
 from formline.llm.common import materialise
 
+#: Number of a row, written with a stage's result, so that verdicts hold for rows whose doc_id is null or repeated.
+ROW = "_fl_row"
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learnt from ``labels``, doesn't reject."""
     net = toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score_toxicity(docs, net, docs.columns).where("_fl_score < 0.5").select(*docs.columns)
+    return toxicity.score_toxicity(docs, net, docs.columns).where("_fl_score < 0.5").select(*docs.columns, *([] if ROW in docs.columns else [F.monotonically_increasing_id().alias(ROW)]))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the smallest id."""
-    kept = exact_dedup.exact_groups(docs).where("kept").select("doc_id").distinct()
+    """Of equal texts the row with the smallest id, nulls last, and of rows with that id the first."""
+    docs = _keyed(docs)
+    kept = exact_dedup.exact_groups(docs, row_key=ROW).where("kept").groupBy("text_sha256").agg(F.min(ROW).alias(ROW))
     return _only(docs, kept)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, five words and a similarity of 0.8, the document with the smallest id."""
-    return _only(docs, minhash.near_duplicates(docs).where("kept").select("doc_id").distinct())
+    """Of each group of near-duplicates, five words and a similarity of 0.8, the row with the smallest id, as above."""
+    docs = _keyed(docs)
+    return _only(docs, minhash.near_duplicates(docs, row_key=ROW).where("kept"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    judged = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _only(docs, judged.where("not contaminated").select("doc_id").distinct())
+    docs = _keyed(docs)
+    judged = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), row_key=ROW)
+    return _only(docs, judged.where("not contaminated"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +43,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.fair_queue(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` with an id of ``ids``; a null id equals a null id."""
-    return docs.join(ids.withColumnRenamed("doc_id", "_kept"), docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with their row numbers, written first where no earlier stage has."""
+    return docs if ROW in docs.columns else materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose number ``kept`` has."""
+    return docs.join(kept.select(ROW), ROW, "left_semi").select(*docs.columns)
 
 
 STAGES = [

@@ -33,7 +33,7 @@ def benchmark_windows(benchmark: DataFrame, window: int, shingle: int) -> DataFr
     return windows.groupBy("words").agg(F.collect_set("item").alias("items")).withColumn("length", F.size("words"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, row_key: str | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A benchmark item's windows are its runs of ``window`` words, or all its words if it has fewer. A document's word is
@@ -47,7 +47,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     document. Beyond, words are written once, (row, place, hash) alone is shuffled to find those shingles, and a
     document's words meet all of its places in one row, so what moves grows with the words and not their square. Null and empty texts have no words and are not hit; null item ids
     are left out of n_items and items_sha256; repeated rows are judged each; items without words have no window; with an
-    empty benchmark nothing is hit. Other columns are not read.
+    empty benchmark nothing is hit. Other columns are not read. ``row_key`` names a written column of distinct numbers, which
+    the result then has too.
     """
     spark = docs.sparkSession
     windows = materialise(benchmark_windows(benchmark, window, shingle), "windows")
@@ -62,7 +63,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     bench = materialise(bench, "bench")
     few = bench.count() <= SMALL_ROWS
 
-    words = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), word_list(F.col("text")).alias("words"))
+    row = F.col(row_key) if row_key else F.monotonically_increasing_id()
+    words = docs.select("doc_id", row.alias("row"), word_list(F.col("text")).alias("words"))
     places = [F.transform(_shingles(F.col("words"), k), lambda h, i: F.struct((i + 1).alias("at"), h.alias("hash"))) for k in sizes]
     n_words = F.size("words").cast("long").alias("n_words")
     near = F.slice("words", F.greatest(F.col("at") - (window - shingle), F.lit(1)), 2 * window)
@@ -107,4 +109,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     return out.select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(named).cast("long").alias("n_items"),
         F.sha2(F.array_join(named, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        *([F.col("row").alias(row_key)] if row_key else []),
     )

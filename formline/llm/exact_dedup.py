@@ -42,17 +42,18 @@ class DigestIndex:
         return join_groups(rows, self.read().withColumnRenamed("digest", digest), digest, "group_size")
 
 
-def exact_groups(docs: DataFrame, table: str | None = None) -> DataFrame:
+def exact_groups(docs: DataFrame, table: str | None = None, row_key: str | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Equal texts are those with one digest; the row with the smallest doc_id stays. Null and empty texts are equal, and
     so are texts that differ in the kind or number of white-space characters between words. Null ids never win over
     others; a group of null ids alone has keep_id null and is kept. Rows that repeat an id and its text share one
     verdict. Other columns of ``docs`` are not read. An empty table gives an empty result. ``table`` names a lasting
-    index; without it the batch gets an index of its own.
+    index; without it the batch gets an index of its own. ``row_key`` names a column that the result then has too.
     """
-    rows = materialise(docs.select("doc_id", text_digest(F.col("text")).alias("text_sha256")), "digests")
+    own = [row_key] if row_key else []
+    rows = materialise(docs.select("doc_id", *own, text_digest(F.col("text")).alias("text_sha256")), "digests")
     index = DigestIndex(docs.sparkSession, table or f"digest_index_{uuid.uuid4().hex}")
     index.add(rows, "text_sha256")
     out = index.lookup(rows, "text_sha256")
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", *own)

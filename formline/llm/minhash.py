@@ -78,8 +78,8 @@ def band_hashes(sig: np.ndarray, bands: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, rk, n, key, bands): rk hashes the row, n counts distinct shingles, key digests the set."""
+def sketches(docs: DataFrame, k: int, bands: int, rows: int, row_key: str | None = None) -> DataFrame:
+    """(doc_id, rk, n, key, bands), and row if there is a ``row_key``: rk hashes the row, n counts distinct shingles, key digests the set."""
 
     def run(batches):
         import xxhash
@@ -96,12 +96,12 @@ def sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                     for i, x in zip(some, band_hashes(signature(h, count[some], bands * rows), bands), strict=True):
                         made[i] = x
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(made, pa.list_(pa.int64()))],
-                    ["doc_id", "rk", "n", "key", "bands"],
+                    [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(made, pa.list_(pa.int64())), *part.columns[3:]],
+                    ["doc_id", "rk", "n", "key", "bands", *part.schema.names[3:]],
                 )
 
-    rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("rk"), F.col("text").cast("string").alias("text"))
-    return rows_in.mapInArrow(run, "doc_id long, rk long, n long, key binary, bands array<long>")
+    rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("rk"), F.col("text").cast("string").alias("text"), *([F.col(row_key).cast("long").alias("row")] if row_key else []))
+    return rows_in.mapInArrow(run, "doc_id long, rk long, n long, key binary, bands array<long>" + (", row long" if row_key else ""))
 
 
 def compare(pairs: DataFrame, k: int, percent: int, far: bool) -> DataFrame:
@@ -202,7 +202,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, levels: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, levels: int = 3, row_key: str | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Two documents are linked if their sets of k-word shingles have a Jaccard similarity of ``percent`` or more, as
@@ -216,10 +216,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
     Null and empty texts, and texts of white space, have no shingles, are linked with nothing and are kept. A null id
     never becomes a component's name unless all its ids are null; rows that repeat an id and text share one verdict; an
-    empty table gives an empty result; other columns are not read.
+    empty table gives an empty result; other columns are not read. ``row_key`` names a written column of distinct numbers,
+    which the result then has too; of a component only one row is then kept, by smallest id, nulls last, and smallest key.
     """
-    sig = materialise(sketches(docs, k, bands, rows), "sketches")
-    classes = sig.where("key is not null").groupBy("key").agg(F.min("rk").alias("rk"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("rows"))
+    sig = materialise(sketches(docs, k, bands, rows, row_key), "sketches")
+    first = [F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")] if row_key else []
+    classes = sig.where("key is not null").groupBy("key").agg(F.min("rk").alias("rk"), F.min("doc_id").alias("low"), *first, F.count(F.lit(1)).alias("rows"))
     classes = materialise(classes.withColumn("mid", F.monotonically_increasing_id()), "classes")
     one = sig.join(classes.select("key", "rk", "mid"), ["key", "rk"]).dropDuplicates(["mid"])
     spread = materialise(one.select("mid", F.explode("bands").alias("band")), "bands")
@@ -261,9 +263,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         sweep(docs.sparkSession)
     named = components(_union(edges)).withColumnRenamed("node", "mid")
     classes = classes.join(named, "mid", "left").withColumn("component", F.coalesce("component", "mid"))
-    lows = classes.groupBy("component").agg(F.min("low").alias("component_id"))
-    classes = materialise(classes.join(lows, "component").select("key", "component_id", "rows"), "named")
-    found = join_groups(sig.where("key is not null").select("doc_id", "n", "key"), classes, "key", "rows").select("doc_id", "n", "component_id")
-    alone = sig.where("key is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    lows = classes.groupBy("component").agg(F.min("low").alias("component_id"), *([F.min("first").alias("best")] if row_key else []))
+    best = [F.col("best.row").alias("best")] if row_key else []
+    classes = materialise(classes.join(lows, "component").select("key", "component_id", *best, "rows"), "named")
+    own = ["row"] if row_key else []
+    kept = (F.col("row") == F.col("best")) if row_key else F.col("doc_id").eqNullSafe(F.col("component_id"))
+    found = join_groups(sig.where("key is not null").select("doc_id", "n", "key", *own), classes, "key", "rows").select("doc_id", "n", "component_id", kept.alias("kept"), *own)
+    alone = sig.where("key is null").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), *own)
     out = found.unionByName(alone)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept", *([F.col("row").alias(row_key)] if row_key else []))

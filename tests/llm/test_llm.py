@@ -366,6 +366,28 @@ def test_pipeline_equals_its_stages_by_hand(spark):
     assert len(corpus_pipeline.STAGES) == 5
 
 
+def test_pipeline_stages_judge_rows_and_not_ids(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    words = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdef"]
+    leak = " ".join(f"leak{i}" for i in range(12))
+    rows = [(None, words[0]), (None, words[0]), (None, leak), (7, words[1]), (7, leak + " more"), (8, words[2]), (8, words[2]), (9, words[3] + " x"), (9, words[3]), (None, words[3]), (9, words[4]), (None, None), (None, "")]
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = common.materialise(docs_of(spark, rows), "test")
+
+    def after(stage, docs):
+        out = common.materialise(stage(spark, docs, str(tmp_path)), "test")
+        return out, sorted(((r.doc_id or 0, r.text or "") for r in out.collect()))
+
+    docs, got = after(corpus_pipeline.drop_copies, docs)
+    assert got == sorted([(0, words[0]), (0, leak), (7, words[1]), (7, leak + " more"), (8, words[2]), (9, words[3] + " x"), (9, words[3]), (9, words[4]), (0, "")])
+    docs, got = after(corpus_pipeline.drop_near_copies, docs)
+    assert [t for _, t in got].count(words[3]) + [t for _, t in got].count(words[3] + " x") == 1
+    assert [d for d, t in got if t in (leak, leak + " more")] == [7]
+    docs, got = after(corpus_pipeline.drop_contaminated, docs)
+    assert [(d, t) for d, t in got if not t.startswith("d0 ")] == sorted([(0, words[0]), (7, words[1]), (8, words[2]), (9, words[4]), (0, "")])
+    assert len(got) == 6
+
+
 def test_arrow_words_of_slices():
     from formline.llm.arrow_words import pieces, split_words
 
