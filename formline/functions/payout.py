@@ -33,7 +33,7 @@ def kelly(p: Column, price: Column) -> Column:
 
 def exacta_free(p: Column, q: Column) -> Column:
     """Chance that two runners fill the first two places in any order, places drawn in turn by win chance."""
-    return p * q * (1 / (1 - p) + 1 / (1 - q))
+    return p * q * (1 / F.greatest(1 - p, F.lit(1e-12)) + 1 / F.greatest(1 - q, F.lit(1e-12)))
 
 
 def net_pool(gross: Column, takeout: float) -> Column:

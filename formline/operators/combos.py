@@ -17,9 +17,10 @@ def place_chances(df: DataFrame, group: str, member: str, p: str, k: int = 3) ->
 
     Second place is p_i times the sum over others of p_a / (1 - p_a): two sums over the group. Third place needs each
     ordered pair of others once, a self-join inside the group, and then sums over rows and columns of those pairs.
+    A place beyond the size of the group has chance 0.
     """
     w = Window.partitionBy(group)
-    df = df.withColumn("_h", F.col(p) / (1 - F.col(p)))
+    df = df.withColumn("_h", F.col(p) / F.greatest(1 - F.col(p), F.lit(1e-12)))
     df = df.withColumn("p1", F.col(p)).withColumn("p2", F.col(p) * (F.sum("_h").over(w) - F.col("_h")))
     total = F.col("p1") + (F.col("p2") if k >= 2 else F.lit(0.0))
     if k >= 3:
@@ -29,7 +30,7 @@ def place_chances(df: DataFrame, group: str, member: str, p: str, k: int = 3) ->
         cells = a.join(b, group).where("_a <> _b").withColumn("_m", F.when(F.col("_pa") + F.col("_pb") < 1 - 1e-12, cell).otherwise(0.0))
         ends = cells.select(group, F.explode(F.array("_a", "_b")).alias(member), "_m").groupBy(group, member).agg(F.sum("_m").alias("_mine"))
         df = df.join(ends, [group, member], "left")
-        whole = F.sum("_mine").over(w) / 2
+        whole = F.coalesce(F.sum("_mine").over(w), F.lit(0.0)) / 2
         df = df.withColumn("p3", F.col(p) * (whole - F.coalesce("_mine", F.lit(0.0)))).drop("_mine")
         total = total + F.coalesce("p3", F.lit(0.0))
     return df.withColumn("top_k", F.least(F.lit(1.0), total)).drop("_h")
@@ -42,20 +43,27 @@ def pair_chances(df: DataFrame, group: str, member: str, ps: Sequence[str]) -> D
 
 
 def pair_place_chances(df: DataFrame, group: str, member: str, p: str) -> DataFrame:
-    """Pairs i < j with the chance that both are among the first three, in closed form per third member."""
+    """Pairs i < j with the chance that both are among the first three, in closed form per third member.
+
+    In a group of two both fill the first two places.
+    """
     two = pairs(df, group, member, [p])
     third = df.select(group, F.col(member).alias("k"), F.col(p).alias("pk"))
     t = two.join(third, group).where("k <> i and k <> j")
+    size = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
     x, y, z = F.col(f"{p}_i"), F.col(f"{p}_j"), F.col("pk")
 
     def run(a: Column, b: Column, c: Column) -> Column:
-        return a * b / (1 - a) * c / (1 - a - b)
+        rest = 1 - a - b
+        return F.when(rest > 1e-12, a * b / F.greatest(1 - a, F.lit(1e-12)) * c / rest).otherwise(0.0)
 
     orders = [(x, y, z), (y, x, z), (x, z, y), (y, z, x), (z, x, y), (z, y, x)]
     total = run(*orders[0])
     for o in orders[1:]:
         total = total + run(*o)
-    return t.groupBy(group, "i", "j").agg(F.sum(total).alias("both_placed"))
+    placed = t.groupBy(group, "i", "j").agg(F.sum(total).alias("both_placed"))
+    pair = two.join(size.where("_size = 2"), group).select(group, "i", "j", exacta_free(x, y).alias("both_placed"))
+    return placed.unionByName(pair)
 
 
 def winning_pair(df: DataFrame, group: str, member: str, rank: str) -> DataFrame:

@@ -64,7 +64,7 @@ def market_share(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT h.race, h.saddle, round(p_market * (sum(h) OVER (PARTITION BY h.race) - h), 6) AS p2, round(p_market * (tot.m - mine.m), 6) AS p3,
  round(least(1.0, p_market + p_market * (sum(h) OVER (PARTITION BY h.race) - h) + p_market * (tot.m - mine.m)), 6) AS top_k FROM h JOIN tot ON h.race = tot.race JOIN mine ON h.race = mine.race AND h.saddle = mine.s""")
 def place_chances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = combos.place_chances(priced(spark, sf_dir).where("field_size >= 4"), "race", "saddle", "p_market")
+    df = combos.place_chances(priced(spark, sf_dir), "race", "saddle", "p_market")
     return df.select(*KEY, r6("p2"), r6("p3"), r6("top_k"))
 
 
@@ -80,7 +80,7 @@ PAIRS = P + """, pr AS (SELECT a.race, a.season, a.saddle AS i, b.saddle AS j, a
 
 @query(PAIRS + "SELECT race, i, j, round(q_p_model, 6) AS q_p_model, round(q_p_market, 6) AS q_p_market FROM pr")
 def pair_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = priced(spark, sf_dir).where("field_size >= 3")
+    df = priced(spark, sf_dir)
     return combos.pair_chances(df, "race", "saddle", ["p_model", "p_market"]).select("race", "i", "j", r6("q_p_model"), r6("q_p_market"))
 
 
@@ -92,7 +92,7 @@ def _runs(order: str) -> str:
 @query(P + f""", f AS (SELECT race, saddle, p_market FROM priced WHERE field_size >= 4) SELECT x.race, x.saddle AS i, y.saddle AS j, round(sum({' + '.join(map(_runs, ('xyz', 'yxz', 'xzy', 'yzx', 'zxy', 'zyx')))}), 6) AS both_placed
  FROM f x JOIN f y ON x.race = y.race AND x.saddle < y.saddle JOIN f z ON z.race = x.race AND z.saddle <> x.saddle AND z.saddle <> y.saddle GROUP BY 1, 2, 3""")
 def pair_place_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return combos.pair_place_chances(priced(spark, sf_dir).where("field_size >= 4"), "race", "saddle", "p_market").select("race", "i", "j", r6("both_placed"))
+    return combos.pair_place_chances(priced(spark, sf_dir), "race", "saddle", "p_market").select("race", "i", "j", r6("both_placed"))
 
 
 @query(PAIRS + """, b AS (SELECT pr.*, 0.825 / q_p_market AS price, q_p_model * 0.825 / q_p_market - 1 AS ev, CASE WHEN win.i IS NOT NULL THEN 1 ELSE 0 END AS won FROM pr LEFT JOIN win USING (race, i, j)),
@@ -100,7 +100,7 @@ def pair_place_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT threshold::DOUBLE AS threshold, count(*) AS bets, CAST(sum(won) AS BIGINT) AS wins, round(sum(profit) / sum(stake), 6) AS roi FROM t GROUP BY threshold""")
 def pair_edge_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs backed at a constructed price where the model sees an edge, settled by the first two home."""
-    df = priced(spark, sf_dir).where("field_size >= 3")
+    df = priced(spark, sf_dir)
     win = combos.winning_pair(runners(spark, sf_dir), "race", "saddle", "finish_pos").select("race", F.col("pair")[0].alias("i"), F.col("pair")[1].alias("j"), F.lit(1).alias("won"))
     q = combos.pair_chances(df, "race", "saddle", ["p_model", "p_market"]).join(win, ["race", "i", "j"], "left").fillna(0, ["won"])
     q = q.withColumn("price", 0.825 / F.col("q_p_market")).withColumn("ev", F.round(F.col("q_p_model") * F.col("price") - 1, 9))

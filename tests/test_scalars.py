@@ -78,6 +78,31 @@ def test_place_chances_sum_to_places(spark, races):
         assert (r.a, r.b, r.c) == pytest.approx((1, 1, 1))
 
 
+def test_place_and_pair_chances_of_small_fields(spark):
+    rows = [(1, 1, 1.0), (2, 1, 0.7), (2, 2, 0.3), (3, 1, 0.5), (3, 2, 0.3), (3, 3, 0.2), (4, 1, 1.0), (4, 2, 0.0)]
+    df = spark.createDataFrame(rows, "race int, id int, p double")
+    got = {(r.race, r.id): r for r in combos.place_chances(df, "race", "id", "p").collect()}
+    assert len(got) == len(rows)
+    assert [got[k].top_k for k in got if k[0] < 4] == pytest.approx([1.0] * 6)
+    assert (got[1, 1].p2, got[1, 1].p3, got[2, 1].p3) == (0, 0, 0)
+    assert (got[2, 1].p2, got[2, 2].p2) == pytest.approx((0.3, 0.7))
+    both = {(r.race, r.i, r.j): r.both_placed for r in combos.pair_place_chances(df.where("race < 4"), "race", "id", "p").collect()}
+    assert sorted(both) == [(2, 1, 2), (3, 1, 2), (3, 1, 3), (3, 2, 3)]
+    assert list(both.values()) == pytest.approx([1.0] * 4)
+    pairs = {(r.race, r.i, r.j): r.q_p for r in combos.pair_chances(df, "race", "id", ["p"]).collect()}
+    assert pairs[2, 1, 2] == pytest.approx(1.0)
+    assert sum(x for (race, _, _), x in pairs.items() if race == 3) == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize(("name", "least"), [("place_chances", 1), ("pair_probabilities", 2), ("pair_place_probabilities", 2)])
+def test_place_queries_hold_every_race(spark, name, least):
+    from formline.plans import betting, spine
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.race for r in getattr(betting, name)(spark, sf).select("race").distinct().collect()}
+    assert got == {r.race for r in spine.runners(spark, sf).where(f"field_size >= {least}").select("race").distinct().collect()}
+
+
 def _best_by_prefix(p, b):
     import math
 
