@@ -141,6 +141,15 @@ def test_guards(spark):
     assert quality.select_features(reg, groups=["form"]) == ["x"]
 
 
+def test_gap_days_of_all_orders(spark, tmp_path):
+    from formline.plans import audits
+
+    days = [(5, "2020-01-01"), (1, "2020-01-02"), (2, "2020-01-05"), (3, "2020-01-05"), (10, "2020-01-09"), (11, "2020-01-10")]
+    spark.createDataFrame(days, "o_orderkey long, o_orderdate string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted(str(r.day) for r in audits.gap_days(spark, str(tmp_path)).collect())
+    assert got == [f"2020-01-0{d}" for d in (3, 4, 6, 7, 8)]
+
+
 def test_bootstrap_brackets_the_point(spark):
     rows = [(b, float(b % 5) - 1.5, 1.0) for b in range(40)]
     df = spark.createDataFrame(rows, "b int, num double, den double")
