@@ -194,10 +194,10 @@ def implied_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 FEATURES = ["weight", "tax", "disc", "draw_rel"]
 
 
-def _logit(spark: SparkSession, sf_dir: str, features: list[str] | None = None, l2: float = 1e-3) -> DataFrame:
+def _logit(spark: SparkSession, sf_dir: str, features: list[str] | None = None, l2: float = 1e-3, last: int | None = None) -> DataFrame:
     cols = features or FEATURES
     df = runners(spark, sf_dir).select("race", "saddle", "season", "won", *FEATURES)
-    return models.walk_forward(df, "season", lambda past: models.fit_grouped_logit(past, ["race"], "won", cols, l2), lambda now, m: models.score_grouped(now, m, ["race"]), train_only=5)
+    return models.walk_forward(df, "season", lambda past: models.fit_grouped_logit(past, ["race"], "won", cols, l2), lambda now, m: models.score_grouped(now, m, ["race"]), train_only=1, last=last)
 
 
 @query()
@@ -214,13 +214,15 @@ def controlled_logit_tstats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.ablate(lambda cols: reports.group_log_loss(_logit(spark, sf_dir, cols), ["race"], "p_win", "won"), FEATURES, {"weight": ["weight"], "draw": ["draw_rel"]})
+def ablation(spark: SparkSession, sf_dir: str, last: int | None = None) -> DataFrame:
+    """Loss of the model without a group of features, over all seasons that can be scored or the ``last`` of them."""
+    return models.ablate(lambda cols: reports.group_log_loss(_logit(spark, sf_dir, cols, last=last), ["race"], "p_win", "won"), FEATURES, {"weight": ["weight"], "draw": ["draw_rel"]})
 
 
 @query()
-def param_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.param_search(lambda s: reports.group_log_loss(_logit(spark, sf_dir, l2=s["l2"]), ["race"], "p_win", "won"), [{"l2": 1e-3}, {"l2": 10.0}])
+def param_search(spark: SparkSession, sf_dir: str, last: int | None = None) -> DataFrame:
+    """Loss of the model by its penalty, over all seasons that can be scored or the ``last`` of them."""
+    return models.param_search(lambda s: reports.group_log_loss(_logit(spark, sf_dir, l2=s["l2"], last=last), ["race"], "p_win", "won"), [{"l2": 1e-3}, {"l2": 10.0}])
 
 
 @query()

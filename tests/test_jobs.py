@@ -141,6 +141,15 @@ def test_guards(spark):
     assert quality.select_features(reg, groups=["form"]) == ["x"]
 
 
+def test_walk_forward_scores_all_seasons_but_the_first(spark):
+    from formline.plans import audits, spine
+
+    sf = "/root/testdata/sf0.001"
+    seasons = sorted(r.season for r in spine.runners(spark, sf).select("season").distinct().collect())
+    assert sorted(r.season for r in audits.grouped_logit_walk_forward(spark, sf).select("season").distinct().collect()) == seasons[1:]
+    assert [r.season for r in audits._logit(spark, sf, last=1).select("season").distinct().collect()] == seasons[-1:]
+
+
 def test_gap_days_of_all_orders(spark, tmp_path):
     from formline.plans import audits
 
