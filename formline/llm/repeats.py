@@ -19,7 +19,7 @@ GRAM = 48
 #: Bytes of text that a worker treats at once.
 CHUNK = 1_000_000
 #: Bytes of distinct runs that one suffix order takes; an anchor with more is split by its windows' hashes.
-BUCKET_BYTES = 2_000_000
+BUCKET_BYTES = 1_000_000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 
@@ -63,47 +63,99 @@ def anchored_runs(data: bytes, ends: np.ndarray, length: int) -> tuple[np.ndarra
     return first, stop, h[place[first]].view(np.int64)
 
 
-def suffix_classes(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The starts in suffix order (first ``length`` bytes, then position), and the class of each in that order.
+def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The starts in suffix order, and how many bytes each shares with the start before it, ``length`` at most.
 
-    Built by doubling: ranks of 8, 16, ... bytes, each from two ranks of half the length, the last from two that overlap.
+    Suffixes are compared on ``length`` bytes, equals stand by position. Built by doubling: a suffix's rank is the
+    number of suffixes below its class, a round refines the classes of 5, 10, 20, ... bytes by the rank that many bytes
+    on, and suffixes that are alone in their class take no further part. Each round's ranks are kept, for from them
+    the shared lengths follow by binary descent.
     """
     n = len(data)
-    wide = np.r_[data, np.zeros(8, np.uint8)].astype(np.uint64)
+    bits = max(1, n.bit_length())
+    wide = np.r_[data, np.zeros(5, np.uint8)].astype(np.uint64)
     key = np.zeros(n, np.uint64)
-    for j in range(8):
+    for j in range(min(5, length)):
         key = (key << np.uint64(8)) | wide[j : n + j]
-    key >>= np.uint64(8 * max(0, 8 - length))
-
-    def ranks(key):
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        out = np.empty(len(key), np.int64)
-        out[order] = np.cumsum(np.r_[0, sorted_key[1:] != sorted_key[:-1]])
-        return out
-
-    rank, have = ranks(key), min(8, length)
-    while have < length:
+    rank = np.zeros(n, np.int64)
+    active, have, levels = np.arange(n), min(5, length), []
+    low = np.zeros(n, np.int64)
+    while True:
+        active, at, low = _refine(key, active, low, bits)
+        rank[active] = at
+        levels.append((have, rank.astype(np.int32)))
+        if have >= length:
+            break
+        alone = np.bincount(at, minlength=n)[at] == 1
+        active, low = active[~alone], at[~alone]
         step = min(have, length - have)
-        second = np.r_[rank[step:] + 1, np.zeros(min(step, n), np.int64)][:n]
-        rank = ranks((rank << 32) | second)
+        on = active + step
+        second = np.where(on < n, rank[np.minimum(on, n - 1)] + 1, 0)
+        key = second.astype(np.uint64)
         have += step
     of = rank[starts]
-    order = np.argsort(of, kind="stable")
-    return starts[order], np.cumsum(np.r_[0, np.diff(of[order]) != 0]) if len(of) else of
+    order = starts[np.argsort(of, kind="stable")]
+    shared = np.zeros(len(order), np.int64)
+    if len(order) > 1:
+        x, y = order[:-1].copy(), order[1:].copy()
+        for have, ranks in reversed(levels):
+            same = np.flatnonzero((ranks[np.minimum(x, n - 1)] == ranks[np.minimum(y, n - 1)]) & (x < n) & (y < n))
+            shared[1 + same] += have
+            x[same] += have
+            y[same] += have
+        for _ in range(levels[0][0] - 1):
+            same = np.flatnonzero((x < n) & (y < n) & (wide[np.minimum(x, n)] == wide[np.minimum(y, n)]))
+            same = same[shared[1 + same] == y[same] - order[1:][same]]
+            shared[1 + same] += 1
+            x[same] += 1
+            y[same] += 1
+    return order, np.minimum(shared, length)
+
+
+def _refine(key: np.ndarray, active: np.ndarray, low: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``active`` sorted by (low, key, place), the rank of each, and low in that order."""
+    wide = max(1, int(key.max()).bit_length()) if len(key) else 1
+    lows = max(1, int(low.max()).bit_length()) if len(low) else 1
+    if bits + wide + lows <= 64:
+        packed = np.sort((low.astype(np.uint64) << np.uint64(bits + wide)) | (key << np.uint64(bits)) | active.astype(np.uint64))
+        active = (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
+        packed >>= np.uint64(bits)
+        low = (packed >> np.uint64(wide)).astype(np.int64)
+        fresh = np.r_[True, packed[1:] != packed[:-1]] if len(packed) else np.zeros(0, bool)
+    else:
+        order = np.lexsort((active, key, low))
+        active, key, low = active[order], key[order], low[order]
+        fresh = np.r_[True, (key[1:] != key[:-1]) | (low[1:] != low[:-1])] if len(key) else np.zeros(0, bool)
+    place = np.arange(len(active))
+    begin = np.r_[True, low[1:] != low[:-1]] if len(low) else np.zeros(0, bool)
+    inside = place - np.maximum.accumulate(np.where(begin, place, 0))
+    return active, low + np.maximum.accumulate(np.where(fresh, place, 0)) - place + inside, low
+
+
+def nearest_smaller(order: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place in suffix order the nearest place before it whose position is smaller (-1: none), and the bytes shared with it.
+
+    Pointer jumping: a candidate with a greater position is left for that candidate's own one, all at once.
+    """
+    found = np.arange(-1, len(order) - 1)
+    least = shared.copy()
+    open_ = np.flatnonzero((found >= 0) & (order[found] > order)) if len(order) else np.zeros(0, np.int64)
+    while len(open_):
+        via = found[open_]
+        least[open_], found[open_] = np.minimum(least[open_], least[via]), found[via]
+        open_ = open_[(found[open_] >= 0) & (order[found[open_]] > order[open_])]
+    least[found < 0] = 0
+    return found, least
 
 
-def longest_previous(order: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each start in suffix order, the previous and the next start that matches it over the whole length, or -1.
+def longest_previous(order: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Longest previous factors, in suffix order: the bytes that the text at a start shares with that at a smaller position.
 
-    Equal strings stand together in suffix order, by position, so the nearest smaller position on either side in that
-    order is the neighbour before, and the longest previous factor reaches the length where it is of one class.
+    Of all smaller positions the nearest before and the nearest after in suffix order share most.
     """
-    same = classes[1:] == classes[:-1]
-    before, after = np.full(len(order), -1), np.full(len(order), -1)
-    before[1:][same] = order[:-1][same]
-    after[:-1][same] = order[1:][same]
-    return before, after
+    _, before = nearest_smaller(order, shared)
+    _, after = nearest_smaller(order[::-1], np.r_[0, shared[:0:-1]] if len(shared) else shared)
+    return np.maximum(before, after[::-1])
 
 
 def stretches(on: np.ndarray) -> list[tuple[int, int]]:
@@ -125,12 +177,11 @@ def match_bucket(rows, length: int, keep_first: bool):
     base = np.cumsum(size) - size
     valid = size - length + 1
     starts = np.repeat(base - (np.cumsum(valid) - valid), valid) + np.arange(valid.sum())
-    order, classes = suffix_classes(data, starts, length)
-    before, after = longest_previous(order, classes)
+    order, shared = suffix_order(data, starts, length)
     hit = np.zeros(len(data), bool)
-    hit[order[before >= 0]] = True
+    hit[order[longest_previous(order, shared) >= length]] = True
     if not keep_first:
-        hit[order[after >= 0]] = True
+        hit[order[longest_previous(-order, shared) >= length]] = True  # the same from the text's end: longest next factors
     return [[{"a": a, "b": b} for a, b in stretches(hit[o : o + v])] for o, v in zip(base, valid, strict=True)], rows
 
 
@@ -151,7 +202,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = True,
     each other, and with ``keep_first`` as one; null ids are one id; an empty table gives an empty result; other columns
     are not read.
     """
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
+    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("th"), F.col("text").cast("string").alias("text"))
 
     def cut(batches):
         import xxhash
@@ -189,7 +240,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = True,
     groups = met.groupBy("anchor", "dig").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "th", "s", "e")).alias("one"))
     groups = materialise(groups.select("anchor", "dig", "n", "one.*"), "groups")
     kinds = groups.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("e") - F.col("s") + length).alias("bytes")).where("kinds > 1")
-    some = groups.join(kinds, "anchor")
+    some = join_groups(groups, materialise(kinds, "kinds"), "anchor", "kinds")
     # the text of one occurrence of each distinct run
     wanted = some.groupBy("id", "th").agg(F.collect_list(F.struct("anchor", "dig", "s", "e", "bytes")).alias("runs"))  # at most the runs of one text
 
@@ -214,9 +265,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = True,
         spans, pdf = match_bucket(pdf, length, keep_first)
         return pdf[["anchor", "dig"]].assign(spans=spans)
 
-    near = distinct.where(F.col("bytes") <= 2 * BUCKET_BYTES).withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(n_buckets)))
+    near = distinct.where(F.col("bytes") <= 4 * BUCKET_BYTES).withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(n_buckets)))
     found = near.groupBy("bucket").applyInPandas(bucket, f"anchor long, dig binary, spans {SPANS}")
-    far = distinct.where(F.col("bytes") > 2 * BUCKET_BYTES)
+    far = distinct.where(F.col("bytes") > 4 * BUCKET_BYTES)
     found = found.unionByName(_match_far(far, length, keep_first)) if far.limit(1).count() else found
     found = materialise(found, "found")
 

@@ -285,14 +285,32 @@ def test_anchors_with_very_many_runs_are_split(spark, monkeypatch):
             assert got == {d: v[1] for d, v in want.items()}
 
 
-def test_suffix_order_and_longest_previous():
-    text = np.frombuffer(b"abcabcabxabcabc", np.uint8)
-    starts = np.arange(len(text) - 5)
-    order, classes = repeats.suffix_classes(text, starts, 6)
-    before, after = repeats.longest_previous(order, classes)
-    pairs = {(int(p), int(q)) for p, q in zip(order, before, strict=True) if q >= 0}
-    assert pairs == {(9, 0)}
-    assert {(int(p), int(q)) for p, q in zip(order, after, strict=True) if q >= 0} == {(0, 9)}
+@pytest.mark.parametrize("seed", range(40))
+def test_suffix_order_and_longest_previous_factors(seed):
+    """Order, shared lengths and longest previous and next factors against all pairs of starts."""
+    rng = np.random.default_rng(seed)
+    length = int(rng.integers(1, 30))
+    text = rng.integers(0, int(rng.integers(1, 4)), int(rng.integers(length, 150))).astype(np.uint8)
+    text = np.r_[text, text[: len(text) // 2]] if seed % 3 == 0 else text
+    starts = np.sort(rng.choice(len(text) - length + 1, max(1, (len(text) - length) // (1 + seed % 2)), replace=False))
+    data = text.tobytes()
+
+    def shared(i, j):
+        return next((c for c in range(length) if data[i + c] != data[j + c]), length)
+
+    order, with_last = repeats.suffix_order(text, starts, length)
+    want = sorted(starts.tolist(), key=lambda i: (data[i : i + length], i))
+    assert order.tolist() == want
+    assert with_last.tolist() == [0] + [shared(i, j) for i, j in zip(want, want[1:])]
+    assert repeats.longest_previous(order, with_last).tolist() == [max((shared(i, j) for j in want if j < i), default=0) for i in want]
+    assert repeats.longest_previous(-order, with_last).tolist() == [max((shared(i, j) for j in want if j > i), default=0) for i in want]
+
+
+def test_a_null_id_is_no_real_id(spark):
+    """A null id and an id of -1 with one text are two documents, each with its own removals."""
+    text = " ".join(f"word{i}" for i in range(100))
+    got = repeats.remove_repeats(docs_of(spark, [(None, text), (-1, text), (3, "short")]), keep_first=True).collect()
+    assert sorted(r.n_removed for r in got) == [0, 0, len(text)]
 
 
 # 9
@@ -340,6 +358,37 @@ def test_html_extraction_without_main_elements():
     assert [html_text.main_text(x) for x in (None, "", "<p", "<script>x", "plain  text")] == ["", "", "", "", "plain text"]
 
 
+def test_html_extraction_without_end_tags_and_in_wrappers():
+    long = "word " * 25 + "end."
+    cases = {
+        f"<head><meta charset=x><title>T</title><body class='right-sidebar'><div class='page sidebar-left'><article><p>{long}</p><svg/><p>ab</p><iframe src=x/><p>end</p></article></div>": f"{long} ab end",
+        f"<body><p class=ad>advert<p>{long}<p>two</body>": f"{long} two",
+        f"<body><ul><li class=ad>advert<ul><li>x</ul><li>{long}<li>two</ul></body>": f"{long} two",
+        f"<body><p>{long}</p><div class=ad>buy now</div><p>Short end.</p><div class=comments><article><p>{long}</p></article></div>": f"{long} Short end.",
+        f"<form id=all><main><h1>Head</h1><p>{long}</p></main><p>{long}</p></form>": f"Head {long}",
+    }
+    for page, want in cases.items():
+        assert html_text.main_text(page) == want
+
+
+def test_html_extraction_follows_the_distribution(monkeypatch):
+    """Short text far from the surge goes; with sums over single lines, gaps of one line part the text as well."""
+    long = "word " * 25 + "end."
+    links = "<ul>" + "<li><a href=x>more</a></li>" * 5 + "</ul>"
+    page = f"<p>Our shop</p>{links}<h2>Head</h2><p>{long}</p><p><a href=y>a link</a></p><p>Tail.</p>{links}<p>Imprint</p>"
+    assert html_text.main_text(page) == f"Head {long} a link Tail."
+    assert html_text.main_text(page, window=1) != html_text.main_text(page)
+    monkeypatch.setattr(html_text.np, "convolve", lambda w, ones: np.zeros(len(w) + len(ones) - 1, np.int64))
+    assert html_text.main_text(page) == ""
+
+
+def test_html_extraction_of_articles_by_line_lengths_alone():
+    """The article elements of the pages made plain: the text stays the same, so lengths and not elements find it."""
+    for page in pd.read_parquet("/root/testdata/sf0.01/pages.parquet").html:
+        plain = page.replace("<article>", "<div>").replace("</article>", "</div>")
+        assert html_text.main_text(plain) == html_text.main_text(page) != ""
+
+
 def test_html_extraction_edges(spark):
     df = spark.createDataFrame([(None, None, None, "x"), (1, "u", "<p>a</p>", "y"), (1, "u", "<p>a</p>", "y")], "page_id long, url string, html string, text string")
     got = html_text.extract_pages(df).collect()
