@@ -14,31 +14,47 @@ from formline.llm.common import ship
 
 ship(__name__)
 
-#: Elements whose content is no text of the page.
-_SILENT = "script|style|template|noscript|svg|iframe|object|textarea|select|button|head|title"
+#: Elements whose content is no text of the page. Those of raw text run to the page's end where the end tag is missing.
+_RAW = "script|style|textarea|title"
+_SILENT = "template|noscript|svg|iframe|object|select|button|head"
 #: Elements that stand inside a line; all others begin and end one.
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-#: Elements that hold menus, headers, sidebars, forms.
+#: Elements that hold menus, headers, sidebars, forms. A main element inside a form or dialog is text all the same.
 _AROUND = frozenset("nav header footer aside form menu dialog fieldset".split())
 _MAIN = frozenset(("article", "main"))
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id or role that mark the same, notices, adverts or readers' comments.
-_MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|popup|modal|newsletter|subscribe|signup|"
-    r"sidebar|side|widget|menu|nav\w*|breadcrumbs?|header|masthead|footer|foot|share|sharing|social|related|recommend\w*|"
-    r"comments?|replies|disqus|login|search|complementary|contentinfo)(?:$|[\s_-])", re.I)
-_DROP = re.compile(rf"<!--.*?(?:-->|\Z)|<({_SILENT})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+#: Words in class, id or role that mark adverts, other pages' texts and readers' comments, whatever is inside.
+_FOREIGN = "ads?|advert\\w*|banner|sponsor\\w*|promo\\w*|related|recommend\\w*|comments?|replies|disqus"
+#: Words that mark what stands around the text; they also name wrappers of the whole page, if a main element is inside.
+_LAYOUT = (
+    "cookies?|consent|notice|popup|modal|newsletter|subscribe|signup|sidebar|side|widget|menu|nav\\w*|breadcrumbs?|header|masthead|footer|foot|"
+    "share|sharing|social|login|search|complementary|contentinfo"
+)
+_MARKED = re.compile(rf"(?:^|[\s_-])(?:({_FOREIGN})|{_LAYOUT})(?:$|[\s_-])", re.I)
+_DROP = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|"
+    rf"<({_SILENT})\b(?:\"[^\"]*\"|'[^']*'|[^'\">/]|/(?!>))*>(?:(?!<body\b).)*?</\2\s*>", re.I | re.S)
 _TAG = re.compile(r"<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Elements that end where a like one, or for a paragraph any other block, begins.
+_OPEN_ENDED = frozenset("p li dt dd tr td th option".split())
+#: What a character inside a main element weighs, and the sum above which a surge always counts.
+MAIN_WEIGHT, SURGE = 4, 80
 
 
 def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """The lines of a page, one a block: (text, characters inside links, around the main text, inside a main element)."""
+    """The lines of a page, one a block: (text, characters inside links, around the main text, inside a main element).
+
+    A marked element, or one that holds menus and the like, is around the main text up to its end; html and body never
+    are, and a main element inside a layout wrapper or a form ends that. Paragraphs, list items and cells without an
+    end tag end where the next begins; a head without one ends at the body.
+    """
     page = _DROP.sub(" ", page)
     lines: list[tuple[str, int, bool, bool]] = []
     text: list[str] = []
     links = main = in_link = 0
-    skip, depth = "", 0
+    skip, depth, foreign, lists = "", 0, False, 0
+    pending: list[tuple[str, int]] = []  # wrappers that a main element broke up
 
     def flush():
         nonlocal text, links
@@ -63,54 +79,60 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
             continue
         text.append(" ")
         flush()
+        if skip in _OPEN_ENDED:
+            lists += (name in ("ul", "ol", "dl", "table", "select")) * (-1 if closing else 1)
+            if (not closing and not lists and (name == skip or skip == "p")) or lists < 0:
+                skip = ""
         if skip:
-            if name == skip:
+            if name in _MAIN and not closing and not foreign:
+                pending.append((skip, depth))
+                skip, main = "", main + 1
+            elif name == skip:
                 depth += -1 if closing else 1
                 if depth <= 0:
                     skip = ""
         elif closing:
-            main -= name in _MAIN and main > 0
+            if name in _MAIN and main:
+                main -= 1
+                if pending and not main:
+                    (skip, depth), foreign = pending.pop(), False
         elif name in _MAIN:
             main += 1
-        elif name not in _VOID:
-            marked = any(_MARKED.search(next(filter(None, x), "")) for x in _NAMES.findall(m[3])) if m[3] else False
-            if marked or (name in _AROUND and not (name == "header" and main)):
-                skip, depth = name, 1
+        if not skip and not closing and name not in _VOID and name not in ("html", "body"):
+            marks = [x for y in _NAMES.findall(m[3]) for x in _MARKED.findall(next(filter(None, y), ""))] if m[3] else []
+            if name in _MAIN:
+                marks = [x for x in marks if x]
+            if marks or (name in _AROUND and not (name == "header" and main)):
+                skip, depth, lists = name, 1, 0
+                foreign = any(marks) or name in ("nav", "header", "footer", "aside", "menu")
+                main -= name in _MAIN
     text.append(page[at:])
     flush()
     return lines
 
 
-def main_text(page: str | None, window: int = 3, keep: float = 0.2) -> str:
-    """Text between the surge and the dive of a page's line lengths.
+def main_text(page: str | None, window: int = 3) -> str:
+    """Text between the surges and the dives of a page's line lengths.
 
-    Lines around the main text weigh nothing, nor do lines outside main elements where a page has those, nor lines
-    that are mostly links; the others weigh their length. A window's sum runs over ``window`` lines, and ``window``
-    empty lines part what an element around the text parts. A stretch begins where the sums surge from zero and ends
-    where they dive to zero again; stretches of at least ``keep`` times the heaviest are kept, all if inside main
-    elements.
+    A line weighs its characters, those inside links only in a main element, where a character weighs ``MAIN_WEIGHT``;
+    a line around the main text weighs nothing. Sums run over ``window`` lines. A stretch begins with the first line of
+    weight where the sums leave zero and ends with the last one before they dive to zero again, so neither short lines
+    nor an advert nor a line of links parts it, while ``window`` lines of menu, footer or links do. A stretch is text
+    if its sums surge above ``SURGE``, or above half of the page's peak where that is less; what around it weighs
+    nothing is left out, all other lines of it are kept.
     """
     lines = page_lines(page or "")
-    inside = any(main and not around for _, _, around, main in lines)
-    weights: list[int] = []
-    texts: list[str] = []
-    for line, links, around, main in lines:
-        counts = not around and (main if inside else 2 * links <= len(line))
-        if counts:
-            weights.append(len(line))
-            texts.append(line)
-        elif weights and weights[-1]:
-            weights += [0] * window
-            texts += [""] * window
-    if not any(weights):
+    weights = np.array([0 if around else len(line) * MAIN_WEIGHT if main else max(0, len(line) - links) for line, links, around, main in lines], np.int64)
+    some = np.flatnonzero(weights)
+    if not len(some):
         return ""
-    sums = np.convolve(np.array(weights + [0] * window), np.ones(window, np.int64))[: len(weights) + window]
-    on = sums > 0
-    surge = np.flatnonzero(on & ~np.r_[False, on[:-1]])
-    dive = np.r_[np.flatnonzero(~on & np.r_[False, on[:-1]]), len(on)][: len(surge)]
-    heavy = [sum(weights[a:b]) for a, b in zip(surge, dive, strict=True)]
-    least = 0 if inside else keep * max(heavy)
-    kept = [t for a, b, h in zip(surge, dive, heavy, strict=True) if h >= least for t in texts[a:b] if t]
+    sums = np.convolve(weights, np.ones(window, np.int64))  # of a line and those before it, and on past the end
+    least = min(SURGE, int(sums.max()) // 2)
+    dives = np.flatnonzero(np.diff(some) > window)
+    kept: list[str] = []
+    for a, b in zip(np.r_[some[0], some[dives + 1]].tolist(), np.r_[some[dives], some[-1]].tolist(), strict=True):
+        if sums[a : b + window].max() > least:
+            kept += [line for line, _, around, _ in lines[a : b + 1] if not around]
     return " ".join(kept)
 
 
