@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from formline.llm.common import materialise, small
+from formline.llm.common import join_groups, materialise, running_totals
 
 #: Rows that one task orders at once; groups are cut into as many hash or time ranges as that takes.
 RANGE_ROWS = 2_000
+#: Cells of equal width into which a range of finish times is cut.
+CELLS = 4_096
 
 
 def word_count(text: Column) -> Column:
@@ -48,20 +50,22 @@ def fair_queue(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: flo
     targets. ``taken`` counts the words of a document's entries in the mix, 0 to ``repeats`` times its size.
 
     Running sums never put a source or the whole queue into one task: hash ranges of a source, and ranges of finish
-    time, are summed first, and only the rows of one range are ordered together. Null texts have size 0 and take
+    time, are summed first, in two levels, and only the rows of one range are ordered together. Null texts have size 0 and take
     nothing; a null id hashes as the empty string; repeated rows are entries of their own and, as they tie, may stand
     either way; an empty table gives an empty result. Other columns of ``docs`` are not read.
     """
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), digest.alias("draw")), "mix")
-    targets = small(materialise(source_targets(rows, weights, share, repeats), "targets"))
+    targets = materialise(source_targets(rows, weights, share, repeats), "targets").withColumnRenamed("source", "t_source")
     ranges = F.ceil(F.col("source_rows") / RANGE_ROWS)
     draw = F.conv(F.substring("draw", 1, 8), 16, 10).cast("long")
-    same = F.col("rows.source").eqNullSafe(F.col("t.source"))
-    rows = rows.alias("rows").join(targets.alias("t"), same).select("rows.*", "source_size", "target", F.shiftright(draw * ranges, 32).alias("range"))
-    sums = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-    ahead = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("range_size").over(ahead), F.lit(0)).alias("ahead"))
+    # a null source has a key of its own, so that hot sources can be told by plain equality
+    named = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
+    keys = targets.select(F.when(F.col("t_source").isNull(), "").otherwise(F.concat(F.lit("="), F.col("t_source").cast("string"))).alias("_key"), "source_size", "source_rows", "target")
+    rows = join_groups(rows.withColumn("_key", named), keys, "_key", "source_rows")
+    rows = rows.select("doc_id", "source", "size", "draw", "source_size", "target", F.shiftright(draw * ranges, 32).alias("range"))
+    sums = running_totals(rows.groupBy("source", "range").agg(F.sum("size").alias("range_size")), ["source"], "range", "range_size")
+    sums = sums.select(F.col("source").alias("s"), F.col("range").alias("r"), "ahead")
     inside = Window.partitionBy("source", "range").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     queue = rows.withColumn("cum", F.sum("size").over(inside)).join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
     queue = materialise(queue.select("doc_id", "source", "size", "source_size", "target", "draw", (F.col("cum") + F.col("ahead")).alias("cum")), "queue")
@@ -82,23 +86,27 @@ def _rank(time: Column) -> Column:
 def _cutoff(queue: DataFrame, times: list[Column]):
     """The rank of the last entry of the mix; null if the mix is empty.
 
-    Finish times fall into equal ranges; one running sum over the ranges finds the one in which the total budget is
-    used up, and only that range is ordered entry by entry.
+    A range of finish times is cut into ``CELLS`` equal cells, whose sums show the one in which the total budget is
+    used up; that cell is cut again, and so on until it holds few entries, which are then ordered one by one. Each
+    round narrows the range ``CELLS`` times, so that its number follows the logarithm of the entries, and entries of
+    exactly one time are at most one for each source and repeat.
     """
     entries = queue.where("size > 0 and target > 0").select("size", F.explode(F.array(*map(_rank, times))).alias("rank"))
-    n, top, budget = queue.where("size > 0").agg(F.count(F.lit(1)), F.max(F.greatest(*times) if len(times) > 1 else times[0]), F.lit(1)).first()
-    if not n or not top:
-        return None
     budget = queue.select("source", "target").distinct().agg(F.sum("target")).first()[0]
-    cells = max(1, -(-n * len(times) // RANGE_ROWS) * 8)
-    cell = F.least(F.floor(F.col("rank.time") * (cells / top)), F.lit(cells - 1)).cast("long")
-    entries = entries.withColumn("cell", cell)
-    sums = entries.groupBy("cell").agg(F.sum("size").alias("cell_size"))
-    sums = sums.withColumn("upto", F.sum("cell_size").over(Window.orderBy("cell")))
-    found = sums.where(F.col("upto") > budget).orderBy("cell").select("cell", F.col("upto") - F.col("cell_size")).first()
-    if found is None:
-        return entries.agg(F.max("rank")).first()[0]
-    at = entries.where(F.col("cell") == found[0])
-    at = at.withColumn("upto", F.sum("size").over(Window.partitionBy("cell").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)))
-    inside = at.where(F.col("upto") + found[1] <= budget).agg(F.max("rank")).first()[0]
-    return inside if inside is not None else entries.where(F.col("cell") < found[0]).agg(F.max("rank")).first()[0]
+    n, low, high = entries.agg(F.count(F.lit(1)), F.min("rank.time"), F.max("rank.time")).first()
+    if not n:
+        return None
+    spent = 0
+    while n > RANGE_ROWS and high > low:
+        inside = entries.where(F.col("rank.time").between(low, high))
+        cell = F.least(F.floor((F.col("rank.time") - low) / (high - low) * CELLS), F.lit(CELLS - 1)).cast("int")
+        cells = inside.groupBy(cell.alias("cell")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"), F.min("rank.time").alias("low"), F.max("rank.time").alias("high"))
+        upto = F.sum("words").over(Window.orderBy("cell"))  # over CELLS rows at most
+        found = cells.withColumn("upto", upto).where(F.col("upto") + spent > budget).orderBy("cell").first()
+        if found is None:
+            return entries.agg(F.max("rank")).first()[0]
+        n, low, high, spent = found["n"], found["low"], found["high"], spent + found["upto"] - found["words"]
+    at = entries.where(F.col("rank.time").between(low, high))
+    upto = F.sum("size").over(Window.partitionBy(F.lit(0)).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    last = at.withColumn("upto", upto).where(F.col("upto") + spent <= budget).agg(F.max("rank")).first()[0]
+    return last if last is not None else entries.where(F.col("rank.time") < low).agg(F.max("rank")).first()[0]
