@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from formline.llm.common import SMALL_ROWS, materialise, release
 
+#: Tasks over which one shingle's places are dealt where the benchmark isn't broadcast.
+SALTS = 16
 #: Bytes of ASCII that stand in no word: all but digits and letters. Each becomes a blank.
 _GAPS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -33,6 +35,15 @@ def benchmark_windows(benchmark: DataFrame, window: int, shingle: int) -> DataFr
     return windows.groupBy("words").agg(F.collect_set("item").alias("items")).withColumn("length", F.size("words"))
 
 
+def _salt() -> Column:
+    return F.pmod(F.col("at"), F.lit(SALTS))
+
+
+def salted(hashes: DataFrame) -> DataFrame:
+    """A row for each salt of each of the benchmark's hashes."""
+    return hashes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, row_key: str | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
@@ -45,10 +56,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     Document words are split once. The benchmark's shingles are broadcast if they are ``SMALL_ROWS`` at most; then only
     document shingles that any window has leave the scan, each with the words around it, and one further row a
     document. Beyond, words are written once, (row, place, hash) alone is shuffled to find those shingles, and a
-    document's words meet all of its places in one row, so what moves grows with the words and not their square. Null and empty texts have no words and are not hit; null item ids
-    are left out of n_items and items_sha256; repeated rows are judged each; items without words have no window; with an
-    empty benchmark nothing is hit. Other columns are not read. ``row_key`` names a written column of distinct numbers, which
-    the result then has too.
+    document's words meet all of its places in one row, so what moves grows with the words and not their square; a
+    shingle's places are dealt over ``SALTS`` tasks, so that a very frequent one doesn't end in one task. Null and empty
+    texts have no words and are not hit; null item ids are left out of n_items and items_sha256; repeated rows are judged
+    each; items without words have no window; with an empty benchmark nothing is hit. Other columns are not read.
+    ``row_key`` names a column of distinct values, which the result then has too.
     """
     spark = docs.sparkSession
     windows = materialise(benchmark_windows(benchmark, window, shingle), "windows")
@@ -79,8 +91,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
         found = met.where("at > 0")
     else:
         words = materialise(words, "words")
+        places = places or [F.array().cast("array<struct<at:int,hash:bigint>>")]
         spread = words.select("row", F.explode(F.concat(*places)).alias("p")).select("row", "p.at", "p.hash")
-        met = spread.join(bench.select("hash").distinct(), "hash", "left_semi").groupBy("row").agg(F.collect_list(F.struct("at", "hash")).alias("met"))
+        known = salted(bench.select("hash").distinct())
+        met = spread.withColumn("salt", _salt()).join(known, ["hash", "salt"], "left_semi").groupBy("row").agg(F.collect_list(F.struct("at", "hash")).alias("met"))
         spread = words.select("row", "words").join(met, "row").select("row", "words", F.explode("met").alias("p")).select("row", "words", "p.at", "p.hash")
         found = materialise(spread.select("row", "at", "hash", n_words, near.alias("near")), "shingles")
         judged = words.select("row", "doc_id", n_words)
@@ -91,7 +105,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     prefix = ranked.withColumn("r", F.row_number().over(first)).where("r = 1 and places > 0").drop("r", "places")
     prefix = materialise(prefix, "prefix")
 
-    hits = found.join(F.broadcast(prefix) if few else prefix, "hash")
+    hits = found.join(F.broadcast(prefix), "hash") if few else found.withColumn("salt", _salt()).join(salted(prefix), ["hash", "salt"])
     start = F.col("at") - F.col("offset")
     first_near = F.greatest(F.col("at") - (window - shingle), F.lit(1))
     hits = hits.withColumn("start", start).where((F.col("start") >= 1) & (F.col("start") + F.col("length") - 1 <= F.col("n_words")))
