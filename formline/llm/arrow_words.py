@@ -41,12 +41,13 @@ def hash_words(words: pa.DictionaryArray) -> np.ndarray:
     return known[words.indices.to_numpy()] if len(known) else np.zeros(0, np.uint64)
 
 
-def pieces(batch: pa.RecordBatch, column: int, size: int = 2_000_000):
-    """Parts of a batch whose texts add up to ``size`` bytes or to a single row.
+def pieces(batch: pa.RecordBatch, column: int | tuple[int, ...], size: int = 2_000_000):
+    """Parts of a batch whose texts, in one column or several, add up to ``size`` bytes or to a single row.
 
     The parts are copies: kernels for text misread slices of batches that came from Spark.
     """
-    length = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    columns = column if isinstance(column, tuple) else (column,)
+    length = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
     start = total = 0
     for i, n in enumerate(length):
         if total and total + n > size:

@@ -16,6 +16,8 @@ ship(__name__)
 _WIDE = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _NARROW = (np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
 _STEP = 0x9E3779B97F4A7C15
+#: Members of a pivot that meet one copy of its text.
+PART_MEMBERS = 200
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -100,8 +102,9 @@ def sketches(docs: DataFrame, k: int, bands: int, rows: int, row_key: str | None
                     ["doc_id", "rk", "n", "key", "bands", *part.schema.names[3:]],
                 )
 
-    rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("rk"), F.col("text").cast("string").alias("text"), *([F.col(row_key).cast("long").alias("row")] if row_key else []))
-    return rows_in.mapInArrow(run, "doc_id long, rk long, n long, key binary, bands array<long>" + (", row long" if row_key else ""))
+    rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("rk"), F.col("text").cast("string").alias("text"), *([F.col(row_key).alias("row")] if row_key else []))
+    row_type = f", row {docs.schema[row_key].dataType.simpleString()}" if row_key else ""
+    return rows_in.mapInArrow(run, "doc_id long, rk long, n long, key binary, bands array<long>" + row_type)
 
 
 def compare(pairs: DataFrame, k: int, percent: int, far: bool) -> DataFrame:
@@ -114,7 +117,7 @@ def compare(pairs: DataFrame, k: int, percent: int, far: bool) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for part in pieces(b, 2, 1_000_000):
+            for part in pieces(b, (2, 3), 1_000_000):
                 sides = []
                 for c in (2, 3):
                     h, count = shingles(part.column(c), k)
@@ -216,7 +219,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
     Null and empty texts, and texts of white space, have no shingles, are linked with nothing and are kept. A null id
     never becomes a component's name unless all its ids are null; rows that repeat an id and text share one verdict; an
-    empty table gives an empty result; other columns are not read. ``row_key`` names a written column of distinct numbers,
+    empty table gives an empty result; other columns are not read. ``row_key`` names a column of distinct values,
     which the result then has too; of a component only one row is then kept, by smallest id, nulls last, and smallest key.
     """
     sig = materialise(sketches(docs, k, bands, rows, row_key), "sketches")
@@ -231,11 +234,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     for level in range(levels):
         last = level == levels - 1
         counts = spread.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-        met = materialise(spread.join(counts, "band"), "buckets")
+        counts = materialise(counts, "counts")
+        met = materialise(join_groups(spread, counts, "band", "c"), "buckets")
         weight = met.groupBy("mid").agg(F.sum("c").alias("w"))
         tie = F.pmod(F.xxhash64("mid"), F.lit(1 << 20)) / (1 << 21)
-        heads = met.join(weight, "mid").groupBy("band").agg(F.max_by("mid", F.col("w") + tie).alias("pivot"))
-        met, buckets = materialise(met.select("band", "mid").join(heads, "band").where("mid <> pivot"), "met"), met
+        heads = met.join(weight, "mid").groupBy("band").agg(F.max_by("mid", F.col("w") + tie).alias("pivot"), F.first("c").alias("c"))
+        heads = materialise(heads, "heads")
+        met, buckets = materialise(join_groups(met.select("band", "mid"), heads, "band", "c").drop("c").where("mid <> pivot"), "met"), met
+        release(counts)
+        release(heads)
         pairs = materialise(met.groupBy("mid", "pivot").agg(F.count(F.lit(1)).alias("shared")), "pairs")
         release(spread)
         release(buckets)
@@ -244,9 +251,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
             whole = docs.select(F.xxhash64("doc_id", "text").alias("rk"), F.col("text").cast("string").alias("text"))
             texts = materialise(whole.join(needed.hint("merge"), "rk").dropDuplicates(["mid"]).select("mid", "text"), "texts")
             sweep(docs.sparkSession)
-        own = pairs.groupBy("mid").agg(F.collect_list("pivot").alias("pivots")).join(texts, "mid")  # as many as bands at most
-        own = own.select("mid", "text", F.explode("pivots").alias("pivot"))
-        whole = own.join(texts.select(F.col("mid").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
+        # a pivot's members are dealt into parts, each of which gets a copy of its text
+        stars = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("members"))
+        stars = materialise(stars.withColumn("parts", F.ceil(F.col("members") / PART_MEMBERS).cast("int")), "stars")
+        dealt = join_groups(pairs, stars, "pivot", "members").withColumn("part", F.pmod(F.xxhash64("mid"), F.col("parts")).cast("int"))
+        own = dealt.groupBy("mid").agg(F.collect_list(F.struct("pivot", "part")).alias("pivots")).join(texts, "mid")  # as many as bands at most
+        own = own.select("mid", "text", F.explode("pivots").alias("p")).select("mid", "text", "p.pivot", "p.part")
+        heads = texts.join(stars, F.col("mid") == F.col("pivot")).select("pivot", F.col("text").alias("pivot_text"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        whole = own.join(heads, ["pivot", "part"])
         star = materialise(compare(whole, k, percent, last), "compared")
         release(pairs)
         sweep(docs.sparkSession)
