@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formline.llm.common import ascii_lower, materialise, small
+from formline.llm.common import ascii_lower, look_up, materialise
 
 
 @dataclass(frozen=True)
@@ -83,11 +83,11 @@ def judge_urls(
     rows = rows.withColumn("label", F.when(F.col("ruled").isNotNull(), (F.col("ruled") == "block").cast("double")))
     rows = materialise(rows, "urls")
 
-    per = materialise(rows.groupBy("suffix").agg(F.count("label").alias("seen"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("blocks")), "suffixes")
+    per = materialise(rows.groupBy("suffix").agg(F.count(F.lit(1)).alias("urls"), F.count("label").alias("seen"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("blocks")), "suffixes")
     seen, blocks = per.agg(F.coalesce(F.sum("seen"), F.lit(0)), F.coalesce(F.sum("blocks"), F.lit(0.0))).first()
     if not 0 < blocks < seen:
         return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("score"))
-    rows = rows.join(small(per), "suffix")
+    rows = look_up(rows, per, "suffix", "urls")
     own = F.coalesce("label", F.lit(0.0))
     rest = F.col("seen") - F.col("label").isNotNull().cast("double")
     features = lexical_features(F.col("url"), F.col("host"), F.col("path"))
