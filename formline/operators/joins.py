@@ -41,6 +41,29 @@ def interval_agg_join(left: DataFrame, right: DataFrame, by: str, lo: str, hi: s
     return left.join(r, inside, "left").groupBy(*row).agg(*aggs)
 
 
+def between_agg_join(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts: str, row: Sequence[str], aggs: Sequence[Column], max_days: int | None = None) -> DataFrame:
+    """For each left row, aggregates of its entity's right rows strictly between the entity's previous left row and it.
+
+    Such intervals don't overlap, so each right row belongs to the next left row at most: one union, one sort by entity
+    and time and one aggregation, without a pair that isn't counted. Columns of the right side are named ``r_`` and
+    their name; left rows without right rows stay.
+    """
+    a = left.select(F.col(by).alias("_by"), F.col(left_ts).alias("_ts"), F.lit(0).alias("_side"), F.struct(*row).alias("_row"))
+    kept = [c for c in right.columns if c not in (by, right_ts)]
+    b = right.select(F.col(by).alias("_by"), F.col(right_ts).alias("_ts"), F.lit(1).alias("_side"), F.struct(*(F.col(c).alias(f"r_{c}") for c in kept)).alias("_r"))
+    both = a.unionByName(b, allowMissingColumns=True)
+    w = Window.partitionBy("_by").orderBy("_ts", "_side", "_row")
+    ahead, behind = w.rowsBetween(1, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, -1)
+    mark = F.when(F.col("_side") == 0, F.struct("_ts", "_row"))
+    both = both.withColumn("_next", F.first(mark, ignorenulls=True).over(ahead)).withColumn("_last", F.last(mark, ignorenulls=True).over(behind))
+    inside = (F.col("_side") == 1) & (F.col("_next._ts") > F.col("_ts")) & F.coalesce(F.col("_last._ts") < F.col("_ts"), F.lit(True))
+    if max_days is not None:
+        inside = inside & (F.datediff("_next._ts", "_ts") <= max_days)
+    found = both.where(inside).select("_next._row.*", "_r.*")
+    none = [F.lit(None).cast(found.schema[f"r_{c}"].dataType).alias(f"r_{c}") for c in kept]
+    return left.select(*row, *none).unionByName(found).groupBy(*row).agg(*aggs)
+
+
 def strict_left_join(left: DataFrame, right: DataFrame, on: Sequence[str], check: bool = True) -> DataFrame:
     """A left join that may not multiply rows: fails if the right side repeats a key."""
     if check and right.groupBy(*on).count().where("count > 1").limit(1).count():

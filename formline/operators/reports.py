@@ -98,32 +98,44 @@ def spearman_by_group(df: DataFrame, group: Sequence[str], a: str, b: str, by: S
     return per.groupBy(*by).agg(F.avg("_rho").alias("spearman"), F.count(F.lit(1)).alias("groups"))
 
 
-def auc(df: DataFrame, p: str, y: str, by: Sequence[str] = ()) -> DataFrame:
+def auc(df: DataFrame, p: str, y: str, by: Sequence[str] = (), ranges: int = 256) -> DataFrame:
     """Area under the ROC curve by rank sums, ties at half.
 
-    Rows are first counted per distinct score, so the running window has a row per score.
+    Rows are first counted per distinct score. Scores fall into ``ranges`` of about as many rows each; running counts
+    go over the ranges' sums and inside a range, so that no task orders all scores of a group.
     """
-    per = df.groupBy(*by, p).agg(F.sum(F.col(y).cast("long")).alias("_pos"), F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*by).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
-    neg = F.col("_n") - F.col("_pos")
-    below = F.coalesce(F.sum(neg).over(w), F.lit(0))
-    per = per.withColumn("_won", F.col("_pos") * (below + neg / 2)).withColumn("_neg", neg)
+    per = df.groupBy(*by, p).agg(F.sum(F.col(y).cast("long")).alias("_pos"), F.count(F.lit(1)).alias("_n")).withColumn("_neg", F.col("_n") - F.col("_pos"))
+    edges = sorted(set(df.approxQuantile(p, [i / ranges for i in range(1, ranges)], 0.5 / ranges)))
+    per = per.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(p))) if edges else F.lit(0))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = per.groupBy(*by, "_range").agg(F.sum("_neg").alias("_sum"))
+    ahead = ahead.select(*by, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_ahead"))
+    inside = Window.partitionBy(*by, "_range").orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_below", F.coalesce(F.sum("_neg").over(inside), F.lit(0))).join(ahead, [*by, "_range"])
+    per = per.withColumn("_won", F.col("_pos") * (F.col("_ahead") + F.col("_below") + F.col("_neg") / 2))
     total = F.sum("_pos") * F.sum("_neg")
     return per.groupBy(*by).agg(F.when(total > 0, F.sum("_won") / total).alias("auc"))
 
 
-def block_bootstrap(df: DataFrame, block: str, num: str, den: str, replicates: int = 200, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
-    """Percentile interval of sum(num) / sum(den) when whole blocks are drawn with replacement.
+#: 65,536 times the chance that a Poisson count of mean 1 is at most 0, 1, ... 6.
+POISSON = (24109, 48218, 60273, 64291, 65296, 65497, 65530)
 
-    Rows are summed per block. Draw i of replicate r is the block whose number is a hash of seed, r and i modulo the
-    number of blocks, so any engine can redraw it. Draws meet blocks by an equi-join on that number.
+
+def block_bootstrap(df: DataFrame, block: str, num: str, den: str, replicates: int = 1000, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
+    """Percentile interval of sum(num) / sum(den) over replicates in which each block counts a random number of times.
+
+    Rows are summed per block. A block's counts are Poisson draws of mean 1, read from four hex digits each of the MD5
+    of seed, eight replicates and block, so any engine can redraw them. Drawing needs no order, number or join of the
+    blocks: each is drawn where it is, and a partition sends one pair of sums per replicate.
     """
     per = df.groupBy(*by, block).agg(F.sum(num).alias("_num"), F.sum(den).alias("_den"))
-    numbered = per.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(block)) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    draws = numbered.select(*by, "_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_r"))
-    h = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("_r").cast("string"), F.col("_i").cast("string"))), 1, 8), 16, 10).cast("long")
-    draws = draws.select(*by, "_r", F.pmod(h, F.col("_n")).alias("_i"))
-    ratio = draws.join(numbered.select(*by, "_i", "_num", "_den"), [*by, "_i"]).groupBy(*by, "_r").agg((F.sum("_num") / F.sum("_den")).alias("_ratio"))
+    draws = per.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 8))))
+    draws = draws.withColumn("_h", F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("_q").cast("string"), F.col(block).cast("string"))))
+    draws = draws.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("_r", F.col("_q") * 8 + F.col("_j")).where(F.col("_r") < replicates)
+    u = F.conv(F.substring("_h", F.col("_j") * 4 + 1, F.lit(4)), 16, 10).cast("int")
+    draws = draws.withColumn("_u", u).withColumn("_w", sum(((F.col("_u") >= t).cast("int") for t in POISSON[1:]), (F.col("_u") >= POISSON[0]).cast("int")))
+    sums = draws.groupBy(*by, "_r").agg(F.sum(F.col("_w") * F.col("_num")).alias("_n"), F.sum(F.col("_w") * F.col("_den")).alias("_d")).where("_d > 0")
+    ratio = sums.withColumn("_ratio", F.col("_n") / F.col("_d"))
     return ratio.groupBy(*by).agg(
         F.percentile("_ratio", 0.025).alias("lo"), F.percentile("_ratio", 0.975).alias("hi"), F.avg((F.col("_ratio") > 0).cast("double")).alias("share_positive"),
     ).withColumn("crosses_zero", (F.col("lo") <= 0) & (F.col("hi") >= 0))

@@ -84,16 +84,29 @@ def policy_grid(parts: Sequence[float] = (0.05, 0.10, 0.25, 0.50), flat: float =
 def stake_sweep(df: DataFrame, race: Sequence[str], day: str, p: str, price: str, won: str, tie: str, grid: Sequence[Policy], banks: Sequence[float], threshold: float = 0.05) -> DataFrame:
     """One row per policy and bank: bets, staked, profit, return, and the share of desired stakes lost to rounding.
 
-    Banks are fixed, so every policy and bank is settled in one pass over the rows: fractions are found once, each row
-    is exploded over the small grid, and caps are windows keyed by policy and bank.
+    Banks are fixed, so every policy and bank is settled in one pass. Under fixed banks a stake and its caps are shares
+    of the bank, the same for all banks but where a policy stakes flat cash; each share is a column, the race's and the
+    day's sums of all columns are found over one sort each, and only settled stakes become rows, which are summed
+    before they are sent. Desired stakes count to a millionth.
     """
     gate = payout.clears(F.col(p), F.col(price), threshold)
     df = kelly_exclusive(df, race, p, price, tie, "_x", gate).withColumn("_k", F.when(gate, payout.kelly(F.col(p), F.col(price))).otherwise(0.0)).where(gate)
-    cells = F.array(*(F.struct(F.lit(g.name).alias("policy"), F.lit(g.method).alias("method"), F.lit(float(g.size)).alias("size"), F.lit(float(b)).alias("bank")) for g in grid for b in banks))
-    df = df.withColumn("_c", F.explode(cells)).select("*", "_c.*").drop("_c")
-    base = F.when(F.col("method") == "flat", F.col("size")).when(F.col("method") == "fraction", F.col("size") * F.col("bank"))
-    df = df.withColumn("stake", base.when(F.col("method") == "kelly", F.col("size") * F.col("_k") * F.col("bank")).otherwise(F.col("size") * F.col("_x") * F.col("bank")))
-    df = cap_and_round(df, ["policy", "bank", *race], ["policy", "bank", day], "stake", F.col("bank"))
+    shares: dict[str, Column] = {}
+    cells = []
+    for g in grid:
+        for b in banks:
+            name = f"_s_{g.name}" if g.method != "flat" else f"_s_{g.name}_{b:g}"
+            base = {"flat": F.lit(g.size / b), "fraction": F.lit(g.size), "kelly": g.size * F.col("_k"), "exclusive": g.size * F.col("_x")}[g.method]
+            shares[name] = base.cast("double")
+            cells.append((g.name, float(b), name))
+    names = {n: f"_s{i}" for i, n in enumerate(shares)}
+    df = df.select(*race, day, price, won, *(c.alias(names[n]) for n, c in shares.items()))
+    for keys, limit in ((race, 0.10), ([day], 0.25)):
+        w = Window.partitionBy(*keys)
+        df = df.withColumns({f"_t{c}": F.sum(c).over(w) for c in names.values()})
+        df = df.select(*race, day, price, won, *(F.when(F.col(f"_t{c}") > limit, F.col(c) * limit / F.col(f"_t{c}")).otherwise(F.col(c)).alias(c) for c in names.values()))
+    made = F.array(*(F.struct(F.lit(n).alias("policy"), F.lit(b).alias("bank"), F.round(F.col(names[c]) * b, 6).alias("desired")) for n, b, c in cells))
+    df = df.select(price, won, F.explode(made).alias("_c")).select(price, won, "_c.*").withColumn("stake", payout.round_stake(F.col("desired")))
     profit = F.when(F.col(won) > 0, F.col("stake") * (F.col(price) - 1)).otherwise(-F.col("stake"))
     out = df.groupBy("policy", "bank").agg(
         F.sum((F.col("stake") > 0).cast("long")).alias("bets"), F.sum("stake").alias("staked"), F.sum(profit).alias("profit"), F.sum("desired").alias("desired"),

@@ -34,12 +34,18 @@ LEXICON = {
 
 
 def phrase_counts(text: Column, lexicon: Mapping[str, Sequence[str]] = LEXICON) -> dict[str, Column]:
-    """For each category how often its phrases stand in a text as whole words, case aside; overlaps all count."""
+    """For each category how often its phrases stand in a text as whole words, case aside; overlaps all count.
+
+    A text is first searched for any of a category's phrases at once; only where one stands are they counted singly.
+    """
     low = F.lower(F.coalesce(text, F.lit("")))
-    return {
-        name: sum((F.regexp_count(low, F.lit(rf"\b{re.escape(p)}\b")) for p in phrases[1:]), F.regexp_count(low, F.lit(rf"\b{re.escape(phrases[0])}\b"))).cast("long")
-        for name, phrases in lexicon.items()
-    }
+
+    def count(phrases: Sequence[str]) -> Column:
+        each = [F.regexp_count(low, F.lit(rf"(?U)\b{re.escape(p)}\b")) for p in phrases]
+        some = low.rlike(rf"(?U)\b(?:{'|'.join(map(re.escape, phrases))})\b")
+        return F.when(some, sum(each[1:], each[0])).otherwise(0).cast("long")
+
+    return {name: count(phrases) for name, phrases in lexicon.items()}
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -58,24 +58,28 @@ def market_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(*KEY, r6("p_market"), r6("p_model"), r6("p_blend"), F.round(payout.expected_value(F.col("p_model"), F.col("win_odds")), 6).alias("ev"))
 
 
-@query(P + """, h AS (SELECT *, p_market / (1 - p_market) AS h FROM priced WHERE field_size >= 4),
- c AS (SELECT a.race, a.saddle AS a, b.saddle AS b, a.h * b.p_market / (1 - a.p_market - b.p_market) AS m FROM h a JOIN h b ON a.race = b.race AND a.saddle <> b.saddle),
- tot AS (SELECT race, sum(m) AS m FROM c GROUP BY race), mine AS (SELECT race, s, sum(m) AS m FROM (SELECT race, a AS s, m FROM c UNION ALL SELECT race, b, m FROM c) GROUP BY race, s)
- SELECT h.race, h.saddle, round(p_market * (sum(h) OVER (PARTITION BY h.race) - h), 6) AS p2, round(p_market * (tot.m - mine.m), 6) AS p3,
- round(least(1.0, p_market + p_market * (sum(h) OVER (PARTITION BY h.race) - h) + p_market * (tot.m - mine.m)), 6) AS top_k FROM h JOIN tot ON h.race = tot.race JOIN mine ON h.race = mine.race AND h.saddle = mine.s""")
+def places_sql(p: str) -> str:
+    """Tables h (with h) and places (race, saddle, p2, p3) by the column ``p``; what a field is too small for is 0."""
+    return f""", h AS (SELECT *, {p} / greatest(1 - {p}, 1e-12) AS h FROM priced),
+ c AS (SELECT a.race, a.saddle AS a, b.saddle AS b, CASE WHEN a.{p} + b.{p} < 1 - 1e-12 THEN a.h * b.{p} / (1 - a.{p} - b.{p}) ELSE 0.0 END AS m FROM h a JOIN h b ON a.race = b.race AND a.saddle <> b.saddle),
+ tot AS (SELECT race, sum(m) AS m FROM c GROUP BY race), mine AS (SELECT race, s, sum(m) AS m FROM (SELECT race, a AS s, m FROM c UNION ALL SELECT race, b, m FROM c) GROUP BY race, s),
+ places AS (SELECT h.*, {p} * (sum(h) OVER (PARTITION BY h.race) - h) AS p2, {p} * (coalesce(tot.m, 0.0) - coalesce(mine.m, 0.0)) AS p3 FROM h LEFT JOIN tot ON h.race = tot.race LEFT JOIN mine ON h.race = mine.race AND h.saddle = mine.s)"""
+
+
+@query(P + places_sql("p_market") + " SELECT race, saddle, round(p2, 6) AS p2, round(p3, 6) AS p3, round(least(1.0, p_market + p2 + p3), 6) AS top_k FROM places")
 def place_chances(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = combos.place_chances(priced(spark, sf_dir), "race", "saddle", "p_market")
     return df.select(*KEY, r6("p2"), r6("p3"), r6("top_k"))
 
 
-@query(P + """, h AS (SELECT *, p_market / (1 - p_market) AS h FROM priced WHERE field_size >= 2) SELECT race, saddle, round((1 - 0.175) / least(1.0, p_market + p_market * (sum(h) OVER (PARTITION BY race) - h)), 6) AS place_line FROM h""")
+@query(P + """, h AS (SELECT *, p_market / greatest(1 - p_market, 1e-12) AS h FROM priced) SELECT race, saddle, round((1 - 0.175) / least(1.0, p_market + p_market * (sum(h) OVER (PARTITION BY race) - h)), 6) AS place_line FROM h""")
 def constructed_place_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = combos.place_chances(priced(spark, sf_dir).where("field_size >= 2"), "race", "saddle", "p_market", k=2)
+    df = combos.place_chances(priced(spark, sf_dir), "race", "saddle", "p_market", k=2)
     return df.select(*KEY, F.round((1 - 0.175) / F.col("top_k"), 6).alias("place_line"))
 
 
 PAIRS = P + """, pr AS (SELECT a.race, a.season, a.saddle AS i, b.saddle AS j, a.p_model * b.p_model * (1 / (1 - a.p_model) + 1 / (1 - b.p_model)) AS q_p_model, a.p_market * b.p_market * (1 / (1 - a.p_market) + 1 / (1 - b.p_market)) AS q_p_market
-  FROM priced a JOIN priced b ON a.race = b.race AND a.saddle < b.saddle WHERE a.field_size >= 3), win AS (SELECT race, min(saddle) AS i, max(saddle) AS j FROM runners WHERE finish_pos <= 2 GROUP BY race HAVING count(*) = 2) """
+  FROM priced a JOIN priced b ON a.race = b.race AND a.saddle < b.saddle), win AS (SELECT race, min(saddle) AS i, max(saddle) AS j FROM runners WHERE finish_pos <= 2 GROUP BY race HAVING count(*) = 2) """
 
 
 @query(PAIRS + "SELECT race, i, j, round(q_p_model, 6) AS q_p_model, round(q_p_market, 6) AS q_p_market FROM pr")
@@ -86,11 +90,12 @@ def pair_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _runs(order: str) -> str:
     a, b, c = (f"{x}.p_market" for x in order)
-    return f"{a} * {b} / (1 - {a}) * {c} / (1 - {a} - {b})"
+    return f"CASE WHEN 1 - {a} - {b} > 1e-12 THEN {a} * {b} / greatest(1 - {a}, 1e-12) * {c} / (1 - {a} - {b}) ELSE 0.0 END"
 
 
-@query(P + f""", f AS (SELECT race, saddle, p_market FROM priced WHERE field_size >= 4) SELECT x.race, x.saddle AS i, y.saddle AS j, round(sum({' + '.join(map(_runs, ('xyz', 'yxz', 'xzy', 'yzx', 'zxy', 'zyx')))}), 6) AS both_placed
- FROM f x JOIN f y ON x.race = y.race AND x.saddle < y.saddle JOIN f z ON z.race = x.race AND z.saddle <> x.saddle AND z.saddle <> y.saddle GROUP BY 1, 2, 3""")
+@query(P + f""", f AS (SELECT race, saddle, p_market, field_size FROM priced) SELECT x.race, x.saddle AS i, y.saddle AS j, round(sum({' + '.join(map(_runs, ('xyz', 'yxz', 'xzy', 'yzx', 'zxy', 'zyx')))}), 6) AS both_placed
+ FROM f x JOIN f y ON x.race = y.race AND x.saddle < y.saddle JOIN f z ON z.race = x.race AND z.saddle <> x.saddle AND z.saddle <> y.saddle GROUP BY 1, 2, 3
+ UNION ALL SELECT x.race, x.saddle, y.saddle, round(x.p_market * y.p_market * (1 / (1 - x.p_market) + 1 / (1 - y.p_market)), 6) FROM f x JOIN f y ON x.race = y.race AND x.saddle < y.saddle WHERE x.field_size = 2""")
 def pair_place_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return combos.pair_place_chances(priced(spark, sf_dir), "race", "saddle", "p_market").select("race", "i", "j", r6("both_placed"))
 
@@ -217,11 +222,12 @@ def auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.auc(priced(spark, sf_dir).withColumn("p", F.round("p_model", 9)), "p", "won", ["season"]).select("season", r6("auc"))
 
 
-@query(EV + """, b AS (SELECT season, race, sum(profit) AS num, sum(stake) AS den FROM e GROUP BY season, race), n AS (SELECT *, row_number() OVER (PARTITION BY season ORDER BY race) - 1 AS i, count(*) OVER (PARTITION BY season) AS n FROM b),
- d AS (SELECT season, r, ('0x' || substr(md5('0-' || r || '-' || i), 1, 8))::BIGINT % n AS i FROM n, range(0, 50) g(r)), s AS (SELECT d.season, r, sum(num) / sum(den) AS x FROM d JOIN n USING (season, i) GROUP BY d.season, r)
+@query(EV + """, b AS (SELECT season, race, sum(profit) AS num, sum(stake) AS den FROM e GROUP BY season, race), m AS (SELECT *, md5('0-' || q || '-' || race) AS h FROM b, range(0, 125) g(q)),
+ u AS (SELECT season, q * 8 + j AS r, num, den, ('0x' || substr(h, j * 4 + 1, 4))::INT AS u FROM m, range(0, 8) g(j)),
+ s AS (SELECT season, r, sum(w * num) / sum(w * den) AS x FROM (SELECT *, (u >= 24109)::INT + (u >= 48218)::INT + (u >= 60273)::INT + (u >= 64291)::INT + (u >= 65296)::INT + (u >= 65497)::INT + (u >= 65530)::INT AS w FROM u) GROUP BY season, r)
  SELECT season, round(quantile_cont(x, 0.025), 6) AS lo, round(quantile_cont(x, 0.975), 6) AS hi, round(avg(CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END), 6) AS share_positive FROM s GROUP BY season""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = reports.block_bootstrap(settled(priced(spark, sf_dir)), "race", "profit", "stake", 50, 0, ["season"])
+    out = reports.block_bootstrap(settled(priced(spark, sf_dir)), "race", "profit", "stake", 1000, 0, ["season"])
     return out.select("season", r6("lo"), r6("hi"), r6("share_positive"))
 
 
@@ -290,10 +296,22 @@ def rebate_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staking.rebates(_stakes(spark, sf_dir), ["race_date"], "stake", "won", 0.1, 10_000.0).select("race_date", r6("losing"), "triggered", r6("credit"))
 
 
-@query()
+GRID = staking.policy_grid((0.05, 0.10, 0.25, 0.35, 0.50))
+BANKS = (1_000.0, 10_000.0, 100_000.0, 1_000_000.0)
+GRID_SQL = ", ".join(f"('{g.name}', '{g.method}', {g.size}::DOUBLE)" for g in GRID)
+
+
+@query(EXCLUSIVE + f""", k AS (SELECT race, race_date, win_odds, won, fraction AS x, CASE WHEN p_blend * win_odds > 1 THEN least(1.0, (p_blend * win_odds - 1) / (win_odds - 1)) ELSE 0.0 END AS k FROM frac WHERE p_blend > 0 AND win_odds > 1 AND p_blend * win_odds - 1 >= 0.05),
+ c AS (SELECT k.*, policy, bank, CASE method WHEN 'flat' THEN size / bank WHEN 'fraction' THEN size WHEN 'kelly' THEN size * k ELSE size * x END AS s FROM k, (VALUES {GRID_SQL}) g(policy, method, size), (VALUES {", ".join(f"({b}::DOUBLE)" for b in BANKS)}) b(bank)),
+ rt AS (SELECT *, sum(s) OVER (PARTITION BY policy, bank, race) AS t FROM c), rc AS (SELECT * REPLACE (CASE WHEN t > 0.10 THEN s * 0.10 / t ELSE s END AS s) FROM rt),
+ d AS (SELECT *, sum(s) OVER (PARTITION BY policy, bank, race_date) AS td FROM rc), d1 AS (SELECT *, round(CASE WHEN td > 0.25 THEN s * 0.25 / td ELSE s END * bank, 6) AS desired FROM d),
+ z AS (SELECT *, CASE WHEN desired >= 10 AND floor(desired / 10 + 0.5) * 10 >= 10 THEN floor(desired / 10 + 0.5) * 10 ELSE 0.0 END AS stake FROM d1)
+ SELECT policy, bank, CAST(sum(CASE WHEN stake > 0 THEN 1 ELSE 0 END) AS BIGINT) AS bets, round(sum(stake), 2) AS staked, round(sum(CASE WHEN won = 1 THEN stake * (win_odds - 1) ELSE -stake END), 2) AS profit, round(sum(desired), 2) AS desired,
+  round(CASE WHEN sum(stake) > 0 THEN sum(CASE WHEN won = 1 THEN stake * (win_odds - 1) ELSE -stake END) / sum(stake) ELSE 0.0 END, 6) AS roi, round(CASE WHEN sum(desired) > 0 THEN (sum(desired) - sum(stake)) / sum(desired) ELSE 0.0 END, 6) AS lost_to_rounding FROM z GROUP BY policy, bank""")
 def stake_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fourteen policies over four banks in one pass; checked by properties in the tests."""
-    return staking.stake_sweep(priced(spark, sf_dir), ["race"], "race_date", "p_blend", "win_odds", "won", "saddle", staking.policy_grid((0.05, 0.10, 0.25, 0.35, 0.50)), (1_000.0, 10_000.0, 100_000.0, 1_000_000.0))
+    """Fourteen policies over four banks in one pass."""
+    out = staking.stake_sweep(priced(spark, sf_dir), ["race"], "race_date", "p_blend", "win_odds", "won", "saddle", GRID, BANKS)
+    return out.select("policy", "bank", "bets", *(F.round(c, 2).alias(c) for c in ("staked", "profit", "desired")), r6("roi"), r6("lost_to_rounding"))
 
 
 @query(EXCLUSIVE + ", w AS (SELECT *, 1 - sum(fraction) OVER (PARTITION BY race) AS cash FROM frac), x AS (SELECT race, coalesce(sum(CASE WHEN fraction > 0 THEN p_blend * ln(cash + fraction * win_odds) END), 0.0) + greatest(0.0, 1 - sum(CASE WHEN fraction > 0 THEN p_blend ELSE 0.0 END)) * ln(max(cash)) AS l FROM w GROUP BY race) SELECT race, round(l, 6) AS log_wealth FROM x")

@@ -137,16 +137,16 @@ def rolling_form_200(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three split rows per runner."""
-    df = runners(spark, sf_dir).select("race", "saddle", "horse", "ord", "distance", "disc", "tax", "finish_pos", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("section"))
+    """Three to five split rows per runner, as many as its race has sections."""
+    df = runners(spark, sf_dir).select("race", "saddle", "horse", "ord", "distance", "disc", "tax", "finish_pos", F.explode(F.sequence(F.lit(1), (3 + F.col("race") % 3).cast("int"))).alias("section"))
     return df.withColumn("split", 20 + F.col("disc") * F.col("section") + F.col("tax")).withColumn("position", F.pmod(F.col("saddle") * F.col("section") + F.col("finish_pos"), F.lit(9)) + 1)
 
 
 SPLITS_SQL = RUNNERS_SQL + """,
-splits AS (SELECT race, saddle, horse, ord, distance, disc, tax, finish_pos, section, 20 + disc * section + tax AS split, (saddle * section + finish_pos) % 9 + 1 AS position FROM runners, (VALUES (1), (2), (3)) s(section))"""
+splits AS (SELECT race, saddle, horse, ord, distance, disc, tax, finish_pos, section, 20 + disc * section + tax AS split, (saddle * section + finish_pos) % 9 + 1 AS position FROM runners, (VALUES (1), (2), (3), (4), (5)) s(section) WHERE section <= 3 + race % 3)"""
 SUMMARY_SQL = SPLITS_SQL + """,
 summary AS (SELECT race, saddle, any_value(horse) AS horse, any_value(ord) AS ord, any_value(distance) AS distance, any_value(finish_pos) AS finish_pos, arg_max(split, section) AS last_split, arg_min(split, section) AS first_split,
-  min(split) AS min_split, avg(split) AS mean_split, stddev_samp(split) AS std_split, arg_min(position, section) - arg_max(position, section) AS position_gain, arg_max(position, section) AS last_position, count(*) AS nsec
+  min(split) AS min_split, avg(split) AS mean_split, stddev_samp(split) AS std_split, arg_min(position, section) - arg_max(position, section) AS position_gain, arg_max(position, section) AS last_position, arg_min(position, section) AS early_position, count(*) AS nsec
   FROM splits GROUP BY race, saddle)"""
 
 
@@ -154,7 +154,7 @@ def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits(spark, sf_dir).groupBy("race", "saddle").agg(
         *(F.first(c).alias(c) for c in ("horse", "ord", "distance", "finish_pos")), F.max_by("split", "section").alias("last_split"), F.min_by("split", "section").alias("first_split"), F.min("split").alias("min_split"),
         F.avg("split").alias("mean_split"), F.stddev_samp("split").alias("std_split"), (F.min_by("position", "section") - F.max_by("position", "section")).alias("position_gain"),
-        F.max_by("position", "section").alias("last_position"), F.count(F.lit(1)).alias("nsec"),
+        F.max_by("position", "section").alias("last_position"), F.min_by("position", "section").alias("early_position"), F.count(F.lit(1)).alias("nsec"),
     )
 
 
@@ -164,48 +164,45 @@ def split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PACE_SQL = SUMMARY_SQL + """,
-race_pace AS (SELECT race, any_value(ord) AS ord, any_value(distance) AS distance, min(first_split) AS lead_split FROM summary GROUP BY race),
-pressed AS (SELECT *, CASE WHEN count(lead_split) OVER p >= 2 AND stddev_samp(lead_split) OVER p > 1e-12 THEN -(lead_split - avg(lead_split) OVER p) / stddev_samp(lead_split) OVER p ELSE 0.0 END AS pace_press
-  FROM race_pace WINDOW p AS (PARTITION BY distance ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-paced AS (SELECT s.*, pace_press, median(last_split) OVER (PARTITION BY s.race) - last_split AS late_rel FROM summary s JOIN pressed USING (race)),
-flagged AS (SELECT *, late_rel * greatest(pace_press, 0) AS pace_close, CASE WHEN pace_press > 0.5 AND last_position <= 2 AND finish_pos <= 3 THEN 1 ELSE 0 END AS led_held,
-  CASE WHEN late_rel > 0 AND finish_pos > 3 THEN 1 ELSE 0 END AS hidden FROM paced)"""
+race_pace AS (SELECT race, any_value(ord) AS ord, any_value(distance) AS distance, max(nsec) AS nsec, min(first_split) AS lead_split FROM summary GROUP BY race),
+pressed AS (SELECT *, CASE WHEN count(lead_split) OVER p >= 2 AND stddev_samp(lead_split) OVER p > 1e-12 THEN round(-(lead_split - avg(lead_split) OVER p) / stddev_samp(lead_split) OVER p, 9) ELSE 0.0 END AS pace_press
+  FROM race_pace WINDOW p AS (PARTITION BY distance, nsec ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+paced AS (SELECT s.*, pace_press, round(median(last_split) OVER (PARTITION BY s.race) - last_split, 9) AS late_rel FROM summary s JOIN pressed USING (race)),
+flagged AS (SELECT *, late_rel * (1 + least(greatest(pace_press, 0), 2.5)) AS pace_close, CASE WHEN pace_press > 0.4 AND early_position <= 3 AND finish_pos <= 3 THEN 1 ELSE 0 END AS led_held,
+  CASE WHEN finish_pos >= 6 AND late_rel >= 0.35 AND pace_press > 0 THEN 1 ELSE 0 END AS hidden FROM paced)"""
 
 
 def pace_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pace of each race against races at its distance so far, and each runner's closing against its field."""
+    """Pace of each race against races of its distance and number of sections so far, itself included, and each runner's
+    closing against its field. Without a comparable race the pace is neutral, 0."""
     s = split_table(spark, sf_dir)
-    race = s.groupBy("race").agg(F.first("ord").alias("ord"), F.first("distance").alias("distance"), F.min("first_split").alias("lead_split"))
-    w = windows.rows("distance", "ord", windows.Window.unboundedPreceding, 0)
+    race = s.groupBy("race").agg(F.first("ord").alias("ord"), F.first("distance").alias("distance"), F.max("nsec").alias("nsec"), F.min("first_split").alias("lead_split"))
+    w = windows.rows(["distance", "nsec"], "ord", windows.Window.unboundedPreceding, 0)
     sd = F.stddev_samp("lead_split").over(w)
     z = -(F.col("lead_split") - F.avg("lead_split").over(w)) / sd
-    race = race.withColumn("pace_press", F.when((F.count("lead_split").over(w) >= 2) & (sd > 1e-12), z).otherwise(0.0)).select("race", "pace_press")
-    df = s.join(race, "race").withColumn("late_rel", F.median("last_split").over(windows.Window.partitionBy("race")) - F.col("last_split"))
+    race = race.withColumn("pace_press", F.when((F.count("lead_split").over(w) >= 2) & (sd > 1e-12), F.round(z, 9)).otherwise(0.0)).select("race", "pace_press")
+    df = s.join(race, "race").withColumn("late_rel", F.round(F.median("last_split").over(windows.Window.partitionBy("race")) - F.col("last_split"), 9))
     return df.withColumns({
-        "pace_close": F.col("late_rel") * F.greatest(F.col("pace_press"), F.lit(0.0)),
-        "led_held": ((F.col("pace_press") > 0.5) & (F.col("last_position") <= 2) & (F.col("finish_pos") <= 3)).cast("int"),
-        "hidden": ((F.col("late_rel") > 0) & (F.col("finish_pos") > 3)).cast("int"),
+        "pace_close": F.col("late_rel") * (1 + F.least(F.greatest(F.col("pace_press"), F.lit(0.0)), F.lit(2.5))),
+        "led_held": ((F.col("early_position") <= 3) & (F.col("finish_pos") <= 3) & (F.col("pace_press") > 0.4)).cast("int"),
+        "hidden": ((F.col("finish_pos") >= 6) & (F.col("late_rel") >= 0.35) & (F.col("pace_press") > 0)).cast("int"),
     })
 
 
-def r5(name: str):
-    return F.round(F.col(name), 4).alias(name)
-
-
-@query(f"WITH {PACE_SQL} SELECT race, saddle, round(pace_press, 4) AS pace_press, round(late_rel, 4) AS late_rel, round(pace_close, 4) AS pace_close FROM flagged")
+@query(f"WITH {PACE_SQL} SELECT race, saddle, round(pace_press, 6) AS pace_press, round(late_rel, 6) AS late_rel, round(pace_close, 6) AS pace_close, led_held, hidden FROM flagged")
 def pace_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pace_table(spark, sf_dir).select(*KEY, r5("pace_press"), r5("late_rel"), r5("pace_close"))
+    return pace_table(spark, sf_dir).select(*KEY, r6("pace_press"), r6("late_rel"), r6("pace_close"), "led_held", "hidden")
 
 
-@query(f"""WITH {PACE_SQL} SELECT race, saddle, round(avg(late_rel) OVER h, 4) AS late_rel3, round(avg(pace_close) OVER h, 4) AS pace_close3, CAST(sum(CASE WHEN last_position <= 2 AND finish_pos <= 3 THEN 1 ELSE 0 END) OVER h AS BIGINT) AS led3,
- round(max(late_rel) OVER h, 4) AS late_best, round(lag(mean_split) OVER (PARTITION BY horse ORDER BY ord, saddle), 6) AS prev_mean_split FROM flagged WINDOW h AS (PARTITION BY horse ORDER BY ord, saddle ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)""")
+@query(f"""WITH {PACE_SQL} SELECT race, saddle, round(avg(late_rel) OVER h, 6) AS late_rel3, round(avg(pace_close) OVER h, 6) AS pace_close3, CAST(sum(led_held) OVER h AS BIGINT) AS led_held3, CAST(sum(hidden) OVER h AS BIGINT) AS hidden_hp3,
+ round(max(late_rel) OVER h, 6) AS late_best, round(lag(mean_split) OVER (PARTITION BY horse ORDER BY ord, saddle), 6) AS prev_mean_split FROM flagged WINDOW h AS (PARTITION BY horse ORDER BY ord, saddle ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)""")
 def pace_lagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys, order = "horse", ["ord", "saddle"]
-    df = pace_table(spark, sf_dir).withColumn("led", ((F.col("last_position") <= 2) & (F.col("finish_pos") <= 3)).cast("int"))
-    for col, out, fn in (("late_rel", "late_rel3", F.avg), ("pace_close", "pace_close3", F.avg), ("led", "led3", F.sum), ("late_rel", "late_best", F.max)):
+    df = pace_table(spark, sf_dir)
+    for col, out, fn in (("late_rel", "late_rel3", F.avg), ("pace_close", "pace_close3", F.avg), ("led_held", "led_held3", F.sum), ("hidden", "hidden_hp3", F.sum), ("late_rel", "late_best", F.max)):
         df = windows.prior_roll(df, keys, order, col, 4, out, fn)
     df = windows.lagged(df, keys, order, ["mean_split"])
-    return df.select(*KEY, r5("late_rel3"), r5("pace_close3"), "led3", r5("late_best"), r6("prev_mean_split"))
+    return df.select(*KEY, r6("late_rel3"), r6("pace_close3"), "led_held3", "hidden_hp3", r6("late_best"), r6("prev_mean_split"))
 
 
 def _sum(expr: str) -> str:
@@ -254,9 +251,8 @@ def latest_side_event_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT t.event_id, count(s.value) AS n_between, max(s.value) AS max_between FROM spans t LEFT JOIN side s ON t.user_id = s.user_id AND s.ts > t.prev AND s.ts < t.ts AND date_diff('day', CAST(s.ts AS DATE), CAST(t.ts AS DATE)) <= 365 GROUP BY t.event_id""")
 def side_events_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     target, side = _events(spark, sf_dir)
-    target = target.withColumn("prev", F.coalesce(F.lag("ts").over(windows.ordered("user_id", ["ts", "event_id"])), F.lit("1970-01-01").cast("timestamp")))
     aggs = [F.count("r_side_value").alias("n_between"), F.max("r_side_value").alias("max_between")]
-    return joins.interval_agg_join(target, side, "user_id", "prev", "ts", "side_ts", ["event_id"], aggs, max_days=365)
+    return joins.between_agg_join(target, side, "user_id", "ts", "side_ts", ["event_id"], aggs, max_days=365)
 
 
 @query(W + """, t AS (SELECT race, saddle, CASE WHEN draw = 4 THEN NULL ELSE time_s END AS t, surface, going FROM runners),

@@ -37,7 +37,7 @@ def runners(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_places": scalars.paid_places(F.col("field_size")), "won": (F.col("finish_pos") == 1).cast("int"), "time_s": distance / (15 + F.col("disc") * 10),
     })
     return df.withColumns({
-        "placed": (F.col("finish_pos") <= F.col("n_places")).cast("int"), "speed": F.col("distance") / F.col("time_s"), "dist_band": (F.floor(F.col("distance") / 400) * 400).cast("int"),
+        "placed": (F.col("finish_pos") <= F.col("n_places")).cast("int"), "speed": F.col("distance") / F.col("time_s"), "dist_band": (F.floor(F.col("distance") / 200) * 200).cast("int"),
         "draw_rel": F.col("draw") / F.col("field_size"), "payout": 10 * F.col("win_odds"),
     })
 
@@ -62,7 +62,7 @@ placed0 AS (SELECT *, row_number() OVER (PARTITION BY race ORDER BY price DESC,
     CASE WHEN field_size >= 7 THEN 3 WHEN field_size >= 5 THEN 2 ELSE 0 END AS n_places FROM numbered),
 runners AS (SELECT *, CAST(sy AS VARCHAR) || '-' || lpad(CAST((sy + 1) % 100 AS VARCHAR), 2, '0') AS season,
     CASE WHEN finish_pos = 1 THEN 1 ELSE 0 END AS won, CASE WHEN finish_pos <= n_places THEN 1 ELSE 0 END AS placed, distance / (15 + disc * 10) AS time_s,
-    distance / (distance / (15 + disc * 10)) AS speed, CAST(floor(distance / 400.0) * 400 AS INT) AS dist_band, draw / CAST(field_size AS DOUBLE) AS draw_rel, 10 * win_odds AS payout
+    distance / (distance / (15 + disc * 10)) AS speed, CAST(floor(distance / 200.0) * 200 AS INT) AS dist_band, draw / CAST(field_size AS DOUBLE) AS draw_rel, 10 * win_odds AS payout
   FROM placed0)"""
 PRICED_SQL = RUNNERS_SQL + """,
 shared AS (SELECT *, (1 / win_odds) / sum(1 / win_odds) OVER (PARTITION BY race) AS p_market, tax * 10 + price / 100000 AS eta FROM runners),

@@ -20,13 +20,13 @@ def read_snapshots(spark: SparkSession, path: str, schema: str, fmt: str = "parq
 
 
 def dedup_snapshots(df: DataFrame, keys: Sequence[str], ts: str, delay: str = "30 minutes") -> DataFrame:
-    """Of snapshots with one key the first to arrive.
+    """Of snapshots with one key the first to arrive; of several at one time, that of the smallest hash of its values.
 
     On a stream the state of a key is dropped once the watermark, ``delay`` behind the latest time seen, has passed it.
     """
     if df.isStreaming:
         return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
-    w = Window.partitionBy(*keys).orderBy(ts)
+    w = Window.partitionBy(*keys).orderBy(ts, F.xxhash64(*df.columns))
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
