@@ -221,6 +221,18 @@ def controlled_logit_tstats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.fit_grouped_logit(df, ["race"], "won", ["log_market", "tax", "disc", "draw_rel"]).table(spark)
 
 
+@query()
+def canary_coefficient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coefficient of a feature of pure noise beside real ones, by their mean size, with the noise picks' return."""
+    from formline.functions import payout, scalars
+
+    df = priced(spark, sf_dir).withColumn("noise", scalars.noise(F.col("race"), F.col("saddle")))
+    ratio = models.canary_ratio(models.fit_grouped_logit(df, ["race"], "won", [*FEATURES, "noise"]), "noise")
+    picks = windows.top_k(df, "race", [F.desc("noise"), "saddle"]).withColumn("stake", F.lit(10.0))
+    picks = picks.withColumn("profit", payout.win_profit(F.col("stake"), F.col("won"), F.col("payout"), F.col("win_odds")))
+    return reports.bet_summary(picks, ["season"], "stake", "profit", "won").select("season", F.lit(ratio).alias("coefficient_ratio"), "bets", r6("roi"))
+
+
 @query()
 def ablation(spark: SparkSession, sf_dir: str, last: int | None = None) -> DataFrame:
     """Loss of the model without a group of features, over all seasons that can be scored or the ``last`` of them."""
@@ -262,4 +274,4 @@ def calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     def both(past: DataFrame, now: DataFrame) -> DataFrame:
         return models.isotonic(past, models.platt(past, now, "p_model", "won", "p_platt"), "p_model", "won", "p_isotonic")
 
-    return models.expanding_calibration(df, "block", [(1997, 1998, 1999), (1999, 2000, 2001)], both)
+    return models.expanding_calibration(df, "block", [(1995, 1996, 1997), (1997, 1998, 1999), (1999, 2000, 2001)], both)

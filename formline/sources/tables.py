@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,10 +45,31 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str]) -> None:
 
 
 def write_latest(spark: SparkSession, df: DataFrame, path: str, key: str, ts: str) -> None:
-    """Keeps the latest row per key of the table at ``path`` and ``df``; a new version replaces the old one whole."""
-    both = upsert_latest(spark.read.parquet(path), df, key, ts) if _exists(spark, path) else upsert_latest(df.limit(0), df, key, ts)
-    both.write.mode("overwrite").parquet(f"{path}.next")
-    spark.read.parquet(f"{path}.next").write.mode("overwrite").parquet(path)
+    """Keeps the latest row per key of the table at ``path`` and ``df``; read it with ``read_latest``.
+
+    Each call writes a version of its own beside the others, and only a whole version can be read, so a lost job leaves
+    the table as it was. Versions before the last but one are deleted; readers of the last two aren't disturbed.
+    """
+    kept = _versions(spark, path)
+    old = spark.read.parquet(f"{path}/v{kept[-1]}") if kept else df.limit(0)
+    upsert_latest(old, df, key, ts).write.mode("overwrite").parquet(f"{path}/v{kept[-1] + 1 if kept else 0}")
+    for v in kept[:-1]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{v}")
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions that are whole, in order."""
+    if not _exists(spark, path):
+        return []
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [s.getPath().getName() for s in at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(at)]
+    return sorted(int(n[1:]) for n in names if re.fullmatch(r"v\d+", n) and _exists(spark, f"{path}/{n}/_SUCCESS"))
+
+
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest whole version of a table that ``write_latest`` keeps."""
+    return spark.read.parquet(f"{path}/v{_versions(spark, path)[-1]}")
 
 
 def ingest_new(spark: SparkSession, candidates: DataFrame, ledger_path: str, key: str) -> DataFrame:
@@ -70,6 +92,23 @@ def flatten_meetings(meetings: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def write_meetings(meetings: DataFrame, root: str) -> dict[str, int]:
+    """Writes the flat tables of nested meetings, each partitioned by date and venue, over what these had; gives row counts."""
+    made = {}
+    for name, df in flatten_meetings(meetings).items():
+        write_partitioned(df, f"{root}/{name}", ["race_date", "venue"])
+        made[name] = df.count()
+    return made
+
+
+def write_features(df: DataFrame, path: str, name: str) -> DataFrame:
+    """Writes a feature table, registers it as a view and gives what was written."""
+    df.write.mode("overwrite").parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out.createOrReplaceTempView(name)
+    return out
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """One row: number of rows and a sum of row hashes, which doesn't depend on their order."""
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("digest"))
@@ -95,6 +134,13 @@ def write_json(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
+def read_json(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """Rows of a stored result; none where there is no such path."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(path)
+
+
 def coverage_summary(tables: dict[str, DataFrame], day: str) -> DataFrame:
     """Rows, distinct days, first and last day of each table."""
     out = None

@@ -69,7 +69,7 @@ def test_latest_row_wins(spark, tmp_path):
     old = spark.createDataFrame([(1, "x", 1), (2, "y", 1)], "k int, v string, t int")
     tables.write_latest(spark, old, str(tmp_path / "p"), "k", "t")
     tables.write_latest(spark, spark.createDataFrame([(1, "z", 2)], "k int, v string, t int"), str(tmp_path / "p"), "k", "t")
-    assert {(r.k, r.v) for r in spark.read.parquet(str(tmp_path / "p")).collect()} == {(1, "z"), (2, "y")}
+    assert {(r.k, r.v) for r in tables.read_latest(spark, str(tmp_path / "p")).collect()} == {(1, "z"), (2, "y")}
 
 
 def test_csv_separator_is_found(spark, tmp_path):
