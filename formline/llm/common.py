@@ -125,19 +125,25 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     now = materialise(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges")
     before = None
+    n = now.count()
+
+    def with_low(edges: DataFrame, low: DataFrame) -> DataFrame:
+        """Few edges can't overload a task, however many one node has."""
+        return edges.join(low, "u") if n <= SMALL_ROWS else join_groups(edges, low, "u", "edges")
+
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("edges"))
-        large = join_groups(both, low, "u", "edges").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = with_low(both, low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = materialise(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "stars")
         low = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("edges"))
-        step = join_groups(down, low, "u", "edges")
+        step = with_low(down, low)
         step = step.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(step.select("u", F.col("m").alias("v")))
         after = materialise(step.where("u <> v").distinct(), "edges")
         mark = after.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         release(down)
         release(now)
-        now = after
+        now, n = after, mark["n"]
         if mark == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = mark
