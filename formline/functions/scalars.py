@@ -13,27 +13,22 @@ LENGTH_WORDS = {
     "NK": 0.3, "NECK": 0.3, "N": 0.3, "DH": 0.0, "DIST": 30.0,
 }
 #: Fraction signs.
-FRACTIONS = {"¼": "1/4", "½": "1/2", "¾": "3/4"}
+FRACTIONS = {"¼": 0.25, "½": 0.5, "¾": 0.75}
 #: Paid places by the least field that pays them.
 PLACE_RULES = ((7, 3), (5, 2), (1, 0))
 
 
 def lengths(raw: Column) -> Column:
-    """Beaten lengths of a token: a word, a number, fractions or a sum such as ``1-1/2``; null if it is none."""
-    token = F.upper(F.trim(F.replace(raw, F.lit("\u00a0"), F.lit(" "))))
-    for sign, plain in FRACTIONS.items():
-        token = F.replace(token, F.lit(sign), F.lit(f" {plain}"))
-    token = F.trim(token)
-    words = F.create_map(*(F.lit(x) for pair in LENGTH_WORDS.items() for x in pair))
-    body = F.trim(F.replace(token, F.lit("-"), F.lit(" ")))
-
-    def value(part: Column) -> Column:
-        two = F.split(part, "/")
-        number = F.get(two, F.lit(0)).try_cast("double")
-        return F.when(F.size(two) == 1, number).when(F.size(two) == 2, F.try_divide(number, F.get(two, F.lit(1)).try_cast("double")))
-
-    total = F.aggregate(F.transform(F.split(body, " +"), value), F.lit(0.0), lambda s, x: s + x)
-    return F.when(F.array_contains(F.map_keys(words), token), F.element_at(words, token)).when(body.rlike("^[0-9 /]+$"), total)
+    """Beaten lengths of a token: a word, or a whole number, a fraction or both, such as ``1-1/2``; null if it is none."""
+    token = F.trim(F.regexp_replace(F.upper(raw), "[\\s\u00a0]+", " "))
+    grammar = r"^(?:(\d+)(?![\d/ ]*/)|(\d+)[ -]+(?=\d+ ?/))?[ -]*(?:(\d+) ?/ ?(\d+)|([¼½¾]))?$"
+    found = [F.regexp_extract(token, grammar, i) for i in range(1, 6)]
+    whole, behind, over, under = (x.try_cast("double") for x in found[:4])
+    part = F.element_at(F.create_map(*(F.lit(x) for kv in LENGTH_WORDS.items() for x in kv)), token)
+    sign = sum((F.when(found[4] == k, v).otherwise(0.0) for k, v in FRACTIONS.items()), F.lit(0.0))
+    number = F.coalesce(whole, behind, F.lit(0.0)) + F.coalesce(F.try_divide(over, under), F.lit(0.0)) + sign
+    fits = token.rlike(grammar) & token.rlike(r"[\d¼½¾]") & ~F.coalesce(under == 0, F.lit(False))
+    return F.coalesce(part, F.when(fits, number))
 
 
 def season_label(day: Column) -> Column:

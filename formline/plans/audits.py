@@ -147,7 +147,9 @@ def anchor_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.anchor_similarity(e, "embedding", anchors, "name", "embedding", ["vec_id"]).select("vec_id", "anchor", r6("similarity"))
 
 
-@query()
+@query("""WITH a AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\\b[^>]*href\\s*=\\s*"[^"]*"[^>]*>.*?</a>') AS found FROM pages), e AS (SELECT page_id, unnest(found) AS a, generate_subscripts(found, 1) - 1 AS position FROM a)
+ SELECT page_id, CAST(position AS INT) AS position, regexp_extract(a, '(?is)href\\s*=\\s*"([^"]*)"', 1) AS href,
+ trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(a, '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '[\\s\\x{00A0}]+', ' ', 'g')) AS label FROM e""")
 def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every link of every page with its place, address and text."""
     return pages.links(table(spark, sf_dir, "pages"), "html", ["page_id"])

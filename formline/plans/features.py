@@ -313,3 +313,32 @@ def scalar_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").withColumn("d", F.col("o_orderdate").cast("date"))
     return o.select("o_orderkey", F.weekday("d").alias("day_of_week"), F.month("d").alias("month_no"), scalars.season_label(F.col("d")).alias("season"), payout.round_stake(F.col("o_totalprice")).alias("stake"),
                     scalars.noise(F.col("o_orderkey"), F.col("o_custkey")).alias("canary"), scalars.first_int(F.col("o_orderpriority")).alias("class_no"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d FROM orders)
+ SELECT k, CASE k % 5 WHEN 0 THEN 0.3 WHEN 1 THEN 0.75 WHEN 2 THEN 0.0 WHEN 3 THEN NULL ELSE (k % 7) + 0.5 END::DOUBLE AS lengths, CASE WHEN k % 4 = 0 THEN NULL ELSE round((k % 3) * 60 + (k % 60) + (k % 100) / 100.0, 2) END::DOUBLE AS seconds,
+ CASE WHEN k % 6 = 0 THEN NULL ELSE 1000 + k % 900 END AS whole, d AS day_dmy, CASE WHEN k % 3 = 0 THEN NULL ELSE d END AS day_ymd, CASE k % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 4.5 WHEN 2 THEN NULL ELSE 1 + k % 5 END::DOUBLE AS class_ord,
+ CASE WHEN k % 4 = 3 THEN NULL ELSE k % 4 END::DOUBLE AS going, CASE WHEN k % 2 = 0 THEN k % 13 ELSE -(k % 13) END AS rail, least(k % 14, k % 11) || '+' || greatest(k % 14, k % 11) AS pair, CASE WHEN k % 5 = 0 THEN NULL ELSE 'HK_2020_A' || lpad(CAST(k % 1000 AS VARCHAR), 3, '0') END AS entity,
+ k % 5 <> 0 AS entity_ok, CASE WHEN k % 3 = 0 THEN 'AWT' ELSE 'TURF' END AS surface, CASE WHEN k % 4 = 0 THEN NULL WHEN k % 4 = 1 THEN 'A' ELSE 'C+3' END AS course, k % 9 AS last_position, CASE WHEN k % 3 = 0 THEN 1.0 ELSE 0.0 END AS failed FROM o""")
+def parsed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as pages write them, made from each order's key and day, and read back by the token functions."""
+    k = F.col("k")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").cast("date").alias("d"))
+    number = lambda x: x.cast("string")
+    lbw = F.when(k % 5 == 0, " nk ").when(k % 5 == 1, "3/4").when(k % 5 == 2, "-").when(k % 5 == 3, "huh").otherwise(F.concat(number(k % 7), F.when(k % 2 == 0, "-1/2").otherwise("½")))
+    clock = F.when(k % 4 == 0, "--").otherwise(F.concat(number(k % 3), F.when(k % 4 == 1, ":").otherwise("."), F.lpad(number(k % 60), 2, "0"), F.lit("."), F.lpad(number(k % 100), 2, "0")))
+    whole = F.when(k % 6 == 0, "none").otherwise(F.concat(F.lit("about 1,"), F.lpad(number(k % 900), 3, "0"), F.lit(" m")))
+    grade = F.when(k % 4 == 0, "Group One").when(k % 4 == 1, "GRIFFIN").when(k % 4 == 2, "open").otherwise(F.concat(F.lit("Class "), number(1 + k % 5)))
+    going = F.when(k % 4 == 0, " firm").when(k % 4 == 1, "good ").when(k % 4 == 2, "soft").otherwise("wet")
+    rail = F.concat(F.when(k % 2 == 0, "C +").otherwise("C -"), number(k % 13))
+    link = F.when(k % 5 == 0, "/horse?id=1").otherwise(F.concat(F.lit("/horse?x=1&HorseId=HK_2020_A"), F.lpad(number(k % 1000), 3, "0"), F.lit("&y=2")))
+    course = F.when(k % 4 == 0, "TURF").when(k % 4 == 1, 'TURF - "A" COURSE').otherwise('TURF - "C + 3" COURSE')
+    entity = scalars.entity_id(link, "horseid")
+    pair = scalars.combination_pair(F.concat(number(k % 14), F.lit(", "), number(k % 11)))
+    return o.select(
+        "k", scalars.lengths(lbw).alias("lengths"), F.round(scalars.seconds(clock), 2).alias("seconds"), scalars.first_int(whole).alias("whole"), scalars.day_of(F.date_format("d", "d/M/yyyy")).alias("day_dmy"),
+        scalars.day_of(F.when(k % 3 == 0, "13/13/13/13").otherwise(F.date_format("d", "yyyy/M/d"))).alias("day_ymd"), scalars.class_ord(grade).alias("class_ord"), scalars.going_ord(going, ("FIRM", "GOOD", "SOFT")).alias("going"),
+        scalars.rail_offset(rail).alias("rail"), F.concat_ws("+", F.get(pair, F.lit(0)).cast("string"), F.get(pair, F.lit(1)).cast("string")).alias("pair"), entity.alias("entity"), F.coalesce(scalars.valid_horse_id(entity), F.lit(False)).alias("entity_ok"),
+        scalars.surface_of(F.when(k % 3 == 0, "Sha Tin all weather").otherwise("Happy Valley")).alias("surface"), scalars.course_token(course).alias("course"), scalars.last_position(F.concat(F.lit("3 4 "), number(k % 9))).alias("last_position"),
+        scalars.trial_failed(F.when(k % 3 == 0, "Required to re-trial").otherwise(number(k))).alias("failed"),
+    )
