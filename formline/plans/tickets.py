@@ -215,7 +215,7 @@ def settled_races_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(W + """, d AS (SELECT race, any_value(n_places) AS n, sum(weight) AS gross, sum(CASE WHEN placed = 1 THEN weight END) AS onp FROM runners GROUP BY race)
- SELECT r.race, r.saddle, round(CASE WHEN r.weight > 0 AND d.n >= 1 THEN greatest(10.0, 10 * gross * (1 - 0.175) / d.n / r.weight) ELSE 0.0 END, 6) AS place_dividend FROM runners r JOIN d USING (race) WHERE placed = 1""")
+ SELECT r.race, r.saddle, round(CASE WHEN r.weight > 0 AND d.n >= 1 THEN greatest(10.0, 10 * (gross * 0.825::DOUBLE) / d.n / r.weight) ELSE 0.0 END, 6) AS place_dividend FROM runners r JOIN d USING (race) WHERE placed = 1""")
 def place_pool_dividends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a place pool in proportion to ``weight`` would pay each placed runner."""
     df = runners(spark, sf_dir).withColumn("gross", F.sum("weight").over(windows.Window.partitionBy("race"))).where("placed = 1")
