@@ -95,18 +95,6 @@ def global_expanding_z(df: DataFrame, day: str, cols: Sequence[str], least: int
     return df.drop(*(f"_{c}_{x}" for c in cols for x in "nsq"))
 
 
-def day_median_fill(df: DataFrame, day: str, col: str, out: str, least: int = 200) -> DataFrame:
-    """Fills nulls of ``col`` with the median of the days before, a mean of day medians weighted by their rows.
-
-    Without ``least`` earlier values the fill is 0. A day is one row before anything runs in time order.
-    """
-    per = df.groupBy(day).agg(F.percentile(col, 0.5).alias("_m"), F.count(col).alias("_n"))
-    w = Window.orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
-    past = per.select(day, (F.sum(F.col("_m") * F.col("_n")).over(w) / F.sum("_n").over(w)).alias("_fill"), F.sum("_n").over(w).alias("_seen"))
-    fill = F.when(F.col("_seen") >= least, F.col("_fill")).otherwise(0.0)
-    return df.join(past, day, "left").withColumn(out, F.coalesce(F.col(col).cast("double"), fill)).drop("_fill", "_seen")
-
-
 def shrunk_bias(df: DataFrame, keys: Keys, order: str, label: str, expected: str, k: float, out: str) -> DataFrame:
     """Adds (earlier hits + k) / (earlier expected hits + k) - 1, strictly before the current event."""
     w = before(keys, order)
@@ -185,3 +173,26 @@ def trial_metrics(df: DataFrame, batch: Keys, time: str, result: Column, easy: C
         "bt_failed": result,
         "bt_easy": (F.coalesce(F.col("_r") == 1, F.lit(False)) & easy).cast("double"),
     }).drop("_n", "_r", "_b")
+
+
+def ntile_ranged(df: DataFrame, by: Keys, value: str, tie: str, last: str, n: int, out: str, ranges: int = 64) -> DataFrame:
+    """Adds the ``n``-tile of each row in its group's order by ``value``, ``tie`` and ``last``, as ``ntile`` would give it.
+
+    ``tie`` is a number. Rows are counted by value and by equal ranges of ``tie`` first; a row's place is its place
+    inside such a cell and the counts of the cells before, so that no task orders a whole group. ``value`` should have
+    few distinct values, such as prices of a scale.
+    """
+    keys = _list(by)
+    low, high = df.agg(F.min(tie), F.max(tie)).first()
+    cell = F.lit(0) if low is None or low == high else F.floor((F.col(tie) - low) * ranges / (high - low + 1)).cast("int")
+    df = df.withColumn("_cell", cell)
+    cells = df.groupBy(*keys, value, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*keys)
+    ahead = F.sum("_n").over(w.orderBy(value, "_cell").rowsBetween(Window.unboundedPreceding, -1))
+    cells = cells.withColumn("_ahead", F.coalesce(ahead, F.lit(0))).withColumn("_all", F.sum("_n").over(w)).drop("_n")
+    place = F.row_number().over(Window.partitionBy(*keys, value, "_cell").orderBy(tie, last))
+    df = df.withColumn("_place", place).join(cells, [*keys, value, "_cell"]).withColumn("_place", F.col("_place") + F.col("_ahead") - 1)
+    size, more = F.floor(F.col("_all") / n), F.col("_all") % n
+    long = more * (size + 1)  # rows in the tiles that are one row longer
+    tile = F.when(F.col("_place") < long, F.floor(F.col("_place") / (size + 1))).otherwise(more + F.floor((F.col("_place") - long) / F.greatest(size, F.lit(1))))
+    return df.withColumn(out, (tile + 1).cast("int")).drop("_cell", "_ahead", "_all", "_place")

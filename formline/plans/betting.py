@@ -174,7 +174,7 @@ def leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(W + """, q AS (SELECT *, ntile(4) OVER (PARTITION BY season ORDER BY win_odds, race, saddle) AS quartile, CASE WHEN draw <= 2 THEN 'low' WHEN draw <= 4 THEN 'mid' ELSE 'high' END AS band FROM runners)
  SELECT season, quartile, band, count(*) AS n, round(avg(won), 6) AS win_rate FROM q GROUP BY season, quartile, band""")
 def odds_quartile_by_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = runners(spark, sf_dir).withColumn("quartile", F.ntile(4).over(Window.partitionBy("season").orderBy("win_odds", "race", "saddle")))
+    df = windows.ntile_ranged(runners(spark, sf_dir), "season", "win_odds", "race", "saddle", 4, "quartile")
     band = F.when(F.col("draw") <= 2, "low").when(F.col("draw") <= 4, "mid").otherwise("high")
     return df.groupBy("season", "quartile", band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("won"), 6).alias("win_rate"))
 

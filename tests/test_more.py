@@ -205,3 +205,11 @@ def test_months_walk_forward(spark, panel):
 def test_scores_of_one_value_have_an_auc_of_a_half(spark):
     df = spark.createDataFrame([("a", 0.5, i % 2) for i in range(10)] + [("b", i / 10, int(i > 4)) for i in range(10)] + [("c", 0.1, 0)], "k string, p double, y int")
     assert {r.k: r.auc for r in reports.auc(df, "p", "y", ["k"]).collect()} == {"a": 0.5, "b": 1.0, "c": None}
+
+
+@pytest.mark.parametrize("n", [1, 3, 10, 50])
+def test_tiles_by_ranges_are_tiles(spark, n):
+    rows = [(g, i * 7 % 3, i * 11 % 23, i) for g in range(2) for i in range(n)]
+    df = spark.createDataFrame(rows, "g int, v int, t int, s int")
+    want = F.ntile(4).over(windows.Window.partitionBy("g").orderBy("v", "t", "s"))
+    assert windows.ntile_ranged(df, "g", "v", "t", "s", 4, "tile", ranges=3).withColumn("want", want).where("tile <> want").count() == 0
