@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from formline.functions import payout
-from formline.operators import combos, joins, reports, staking, windows
+from formline.operators import combos, reports, staking, windows
 from formline.plans.spine import PRICED_SQL, RUNNERS_SQL, priced, runners
 
 QUERIES: dict = {}
