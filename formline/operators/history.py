@@ -116,3 +116,35 @@ def repeated_members(sources: dict[str, DataFrame], key: Sequence[str], entity:
         per = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(entity).alias("entities")).where("n > 1").withColumn("source", F.lit(name))
         out = per if out is None else out.unionByName(per)
     return out
+
+
+def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The last row per key in ``order``, with ``n_rows``, how many rows had the key."""
+    w = Window.partitionBy(*keys)
+    ranked = df.withColumns({"n_rows": F.count(F.lit(1)).over(w), "_r": F.row_number().over(w.orderBy(*(F.desc(c) for c in order)))})
+    return ranked.where("_r = 1").drop("_r")
+
+
+def clean_prices(df: DataFrame, price: str, needed: Sequence[str], fill: Sequence[str]) -> DataFrame:
+    """Rows with a valid price and all that is ``needed``; nulls of ``fill`` become their column's median over these rows.
+
+    The medians are exact to a hundredth of a percent of ranks.
+    """
+    ok = df.where(F.col(price) > 1).dropna(subset=list(needed))
+    mids = ok.agg(*(F.percentile_approx(F.col(c).cast("double"), 0.5, 10_000).alias(c) for c in fill)).first()
+    return ok.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(mids[c])) for c in fill})
+
+
+def attach_counted(df: DataFrame, side: DataFrame, on: Sequence[str], mark: str, by: Sequence[str]) -> DataFrame:
+    """Per group: rows, rows that the side has too, and those that it lacks; ``mark`` is a side column that is never null."""
+    rows = df.join(side.select(*on, mark).groupBy(*on).agg(F.min(mark).alias(mark)), list(on), "left")
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.count(mark).alias("matched"), (F.count(F.lit(1)) - F.count(mark)).alias("unmatched"))
+
+
+def drop_sets(columns: Sequence[str], sets: dict[str, Sequence[str]]) -> dict[str, list[str]]:
+    """For each named set the columns without it, in their order; a name that isn't there is an error."""
+    for name, gone in sets.items():
+        missing = set(gone) - set(columns)
+        if missing:
+            raise ValueError(f"{name} drops columns that are not there: {sorted(missing)}")
+    return {name: [c for c in columns if c not in set(gone)] for name, gone in sets.items()}

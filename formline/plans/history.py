@@ -175,3 +175,46 @@ def late_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = runners(spark, sf_dir).withColumn("feature_date", F.when(F.col("draw") != 3, F.date_add("race_date", 1)))
     late = F.sum(F.coalesce((F.col("feature_date") > F.col("race_date")).cast("long"), F.lit(0)))
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count("feature_date").alias("n_dated"), late.alias("n_late"), F.round(F.avg(F.col("feature_date").isNull().cast("double")), 6).alias("undated"))
+
+
+@query("""SELECT race, saddle, horse, n_rows FROM (SELECT l_orderkey AS race, l_linenumber AS saddle, l_partkey AS horse, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n_rows, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS r FROM lineitem) WHERE r = 1""")
+def last_of_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per number of a race, the last, with how many there were."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("race"), F.col("l_linenumber").alias("saddle"), F.col("l_partkey").alias("horse"), "l_suppkey", "l_extendedprice")
+    return history.keep_last(li, ["race", "saddle"], ["horse", "l_suppkey", "l_extendedprice"]).select("race", "saddle", "horse", "n_rows")
+
+
+@query(W + """, b AS (SELECT race, saddle, win_odds - 2 AS price, CASE WHEN draw = 4 THEN NULL ELSE weight END AS w, CASE WHEN draw = 6 THEN NULL ELSE jockey END AS j FROM runners), ok AS (SELECT * FROM b WHERE price > 1 AND j IS NOT NULL)
+ SELECT race, saddle, price, coalesce(w, (SELECT quantile_disc(w, 0.5) FROM ok))::DOUBLE AS w FROM ok""")
+def clean_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runners with a valid price and a jockey, missing weights at the median."""
+    df = runners(spark, sf_dir).select(*KEY, (F.col("win_odds") - 2).alias("price"), F.when(F.col("draw") != 4, F.col("weight")).alias("w"), F.when(F.col("draw") != 6, F.col("jockey")).alias("j"))
+    return history.clean_prices(df, "price", ["j"], ["w"]).select(*KEY, "price", "w")
+
+
+@query(W + """, s AS (SELECT DISTINCT race, saddle FROM runners WHERE disc > 0.02) SELECT season, count(*) AS n_rows, count(s.race) AS matched, count(*) - count(s.race) AS unmatched FROM runners r LEFT JOIN s ON r.race = s.race AND r.saddle = s.saddle GROUP BY season""")
+def unmatched_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per season the runners that a set of predictions has and lacks."""
+    df = runners(spark, sf_dir)
+    side = df.where("disc > 0.02").select(*KEY, F.lit(1).alias("known"))
+    return history.attach_counted(df, side, KEY, "known", ["season"])
+
+
+@query(W + """, lost AS (SELECT race, saddle, horse, draw, win_odds, finish_pos, CASE WHEN draw % 2 = 0 THEN race_date END AS d FROM runners), src AS (SELECT horse, draw, win_odds, finish_pos, min(race_date) AS f FROM runners GROUP BY 1, 2, 3, 4)
+ SELECT race, saddle, coalesce(d, f) AS race_date FROM lost JOIN src USING (horse, draw, win_odds, finish_pos)""")
+def restored_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing dates from another table by a key of several columns, its first date where it has several."""
+    df = runners(spark, sf_dir)
+    lost = df.withColumn("race_date", F.when(F.col("draw") % 2 == 0, F.col("race_date")))
+    return joins.fill_from(lost, df, ["horse", "draw", "win_odds", "finish_pos"], "race_date").select(*KEY, "race_date")
+
+
+@query("""WITH p AS (SELECT user_id, arg_max(1 + value, ts) AS odds FROM events WHERE event_type = 'view' GROUP BY 1) SELECT e.event_id, p.odds AS live_odds, CASE WHEN p.odds IS NULL THEN 1 ELSE 0 END AS unpriced FROM events e LEFT JOIN p USING (user_id) WHERE event_type = 'purchase'""")
+def card_with_live_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A card's entries with the last price of each, and whether there was one."""
+    from formline.streaming import snapshots
+
+    e = table(spark, sf_dir, "events")
+    prices = snapshots.latest_price(e.where("event_type = 'view'").select("user_id", "ts", (1 + F.col("value")).alias("live_odds")), ["user_id"], "ts", "live_odds")
+    card = joins.strict_left_join(e.where("event_type = 'purchase'").select("event_id", "user_id"), prices.drop("ts"), ["user_id"])
+    return card.select("event_id", "live_odds", F.col("live_odds").isNull().cast("int").alias("unpriced"))

@@ -213,3 +213,9 @@ def test_tiles_by_ranges_are_tiles(spark, n):
     df = spark.createDataFrame(rows, "g int, v int, t int, s int")
     want = F.ntile(4).over(windows.Window.partitionBy("g").orderBy("v", "t", "s"))
     assert windows.ntile_ranged(df, "g", "v", "t", "s", 4, "tile", ranges=3).withColumn("want", want).where("tile <> want").count() == 0
+
+
+def test_named_sets_of_columns():
+    assert history.drop_sets(["a", "b", "c"], {"A": ["b"], "B": []}) == {"A": ["a", "c"], "B": ["a", "b", "c"]}
+    with pytest.raises(ValueError, match="not there"):
+        history.drop_sets(["a"], {"A": ["z"]})
