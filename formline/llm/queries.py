@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from formline.llm import decontaminate, exact_dedup, html_text, language, minhash, mixing, repeats, tokens, toxicity, url_filter
+from formline.llm import decontaminate, exact_dedup, html_text, language, minhash, mixing, repeats, tokens, toxicity, url_filter, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,9 +54,13 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(_table(spark, sf_dir, "pages"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op2_minhash_dedup, op3_token_counts, op4_url_filter, op5_toxicity, op6_language, op7_mixing, op8_repeated_strings, op9_exact_dedup, op10_html_extraction)
+    for f in (op1_decontamination, op2_minhash_dedup, op3_token_counts, op4_url_filter, op5_toxicity, op6_language, op7_mixing, op8_repeated_strings, op9_exact_dedup, op10_html_extraction, op11_whitening)
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
