@@ -8,20 +8,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts: str, cols: Sequence[str], strict: bool = False, tolerance_days: int | None = None) -> DataFrame:
+#: Days of an entity's history that one task orders at most.
+SLICE_DAYS = 30
+
+
+def _slice(ts: str, days: int | None) -> Column:
+    """The slice of history that a time lies in; one for all times without ``days``. A null time has a slice of its own."""
+    return F.lit(0) if days is None else F.floor(F.datediff(F.col(ts), F.lit("1970-01-01")) / days).cast("int")
+
+
+def _with_slices(rows: DataFrame, slices: DataFrame, cols: Sequence[str]) -> DataFrame:
+    named = slices.select(F.col("_by").alias("_sb"), F.col("_slice").alias("_ss"), *cols)
+    return rows.join(named, F.col("_by").eqNullSafe(F.col("_sb")) & F.col("_slice").eqNullSafe(F.col("_ss")), "left").drop("_sb", "_ss")
+
+
+def asof_join(
+    left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts: str, cols: Sequence[str], strict: bool = False, tolerance_days: int | None = None, slice_days: int | None = SLICE_DAYS
+) -> DataFrame:
     """For each left row the latest right row of its entity at or, if ``strict``, before its time.
 
-    Both sides go through one shuffle by entity and one sort by time; there is no pair of rows that isn't a match.
+    An entity's history is cut into slices of ``slice_days``. Both sides go through one shuffle by entity and slice and
+    one sort by time; what a slice begins with, the last right row of those before it, is carried from slice to slice
+    over one row per slice. So neither a pair of rows that isn't a match nor a whole long history lies in one task.
+
     Right columns are null where nothing matches or the match is older than ``tolerance_days``. Of right rows at one
-    time the largest, column by column, counts.
+    time the largest, column by column, counts. Left rows with a null entity or time stay, without a match.
     """
     kept = left.columns
     a = left.select(F.struct(*kept).alias("_l"), F.col(by).alias("_by"), F.col(left_ts).alias("_ts"), F.lit(0 if strict else 1).alias("_side"))
     b = right.where(F.col(by).isNotNull() & F.col(right_ts).isNotNull())
     b = b.select(F.struct(F.col(right_ts).alias("_rts"), *cols).alias("_r"), F.col(by).alias("_by"), F.col(right_ts).alias("_ts"), F.lit(1 if strict else 0).alias("_side"))
-    both = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy("_by").orderBy("_ts", "_side", F.col("_r")).rowsBetween(Window.unboundedPreceding, 0)
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("_slice", _slice("_ts", slice_days))
+    w = Window.partitionBy("_by", "_slice").orderBy("_ts", "_side", F.col("_r")).rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("_m", F.last("_r", ignorenulls=True).over(w)).where("_l is not null")
+    if slice_days is not None:
+        ends = both.groupBy("_by", "_slice").agg(F.max("_r").alias("_end"))
+        earlier = Window.partitionBy("_by").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.withColumn("_before", F.when(F.col("_slice").isNotNull(), F.last("_end", ignorenulls=True).over(earlier)))
+        found = _with_slices(found, ends, ["_before"]).withColumn("_m", F.coalesce("_m", "_before"))
     if tolerance_days is not None:
         fresh = F.datediff(F.col("_ts"), F.col("_m._rts")) <= tolerance_days
         found = found.withColumn("_m", F.when(fresh, F.col("_m")))
@@ -41,25 +65,36 @@ def interval_agg_join(left: DataFrame, right: DataFrame, by: str, lo: str, hi: s
     return left.join(r, inside, "left").groupBy(*row).agg(*aggs)
 
 
-def between_agg_join(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts: str, row: Sequence[str], aggs: Sequence[Column], max_days: int | None = None) -> DataFrame:
+def between_agg_join(
+    left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts: str, row: Sequence[str], aggs: Sequence[Column], max_days: int | None = None, slice_days: int | None = SLICE_DAYS
+) -> DataFrame:
     """For each left row, aggregates of its entity's right rows strictly between the entity's previous left row and it.
 
-    Such intervals don't overlap, so each right row belongs to the next left row at most: one union, one sort by entity
-    and time and one aggregation, without a pair that isn't counted. Columns of the right side are named ``r_`` and
-    their name; left rows without right rows stay.
+    Such intervals don't overlap, so each right row belongs to the next left row at most: a sort by time and one by
+    falling time inside slices of ``slice_days`` find the left rows about it, each frame growing by a row at a time, and
+    what lies beyond a slice is carried over one row per slice. Then one aggregation; no pair is made that isn't
+    counted. Columns of the right side are named ``r_`` and their name; left rows without right rows stay.
     """
     a = left.select(F.col(by).alias("_by"), F.col(left_ts).alias("_ts"), F.lit(0).alias("_side"), F.struct(*row).alias("_row"))
     kept = [c for c in right.columns if c not in (by, right_ts)]
-    b = right.select(F.col(by).alias("_by"), F.col(right_ts).alias("_ts"), F.lit(1).alias("_side"), F.struct(*(F.col(c).alias(f"r_{c}") for c in kept)).alias("_r"))
-    both = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy("_by").orderBy("_ts", "_side", "_row")
-    ahead, behind = w.rowsBetween(1, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, -1)
-    mark = F.when(F.col("_side") == 0, F.struct("_ts", "_row"))
-    both = both.withColumn("_next", F.first(mark, ignorenulls=True).over(ahead)).withColumn("_last", F.last(mark, ignorenulls=True).over(behind))
-    inside = (F.col("_side") == 1) & (F.col("_next._ts") > F.col("_ts")) & F.coalesce(F.col("_last._ts") < F.col("_ts"), F.lit(True))
+    b = right.where(F.col(by).isNotNull() & F.col(right_ts).isNotNull())
+    b = b.select(F.col(by).alias("_by"), F.col(right_ts).alias("_ts"), F.lit(1).alias("_side"), F.struct(*(F.col(c).alias(f"r_{c}") for c in kept)).alias("_r"))
+    both = a.where(F.col("_by").isNotNull() & F.col("_ts").isNotNull()).unionByName(b, allowMissingColumns=True).withColumn("_slice", _slice("_ts", slice_days))
+    both = both.withColumn("_mark", F.when(F.col("_side") == 0, F.struct("_ts", "_row")))
+    inside, past = Window.partitionBy("_by", "_slice"), (Window.unboundedPreceding, -1)
+    up, down = inside.orderBy("_ts", "_side", "_row"), inside.orderBy(F.desc("_ts"), F.desc("_side"), F.desc("_row"))
+    met = both.withColumn("_last", F.last("_mark", ignorenulls=True).over(up.rowsBetween(*past))).withColumn("_next", F.last("_mark", ignorenulls=True).over(down.rowsBetween(*past)))
+    met = met.where("_side = 1")
+    if slice_days is not None:
+        ends = both.groupBy("_by", "_slice").agg(F.min("_mark").alias("_first_mark"), F.max("_mark").alias("_last_mark"))
+        slices = Window.partitionBy("_by")
+        ends = ends.withColumn("_ahead", F.last("_first_mark", ignorenulls=True).over(slices.orderBy(F.desc("_slice")).rowsBetween(*past)))
+        ends = ends.withColumn("_behind", F.last("_last_mark", ignorenulls=True).over(slices.orderBy("_slice").rowsBetween(*past)))
+        met = _with_slices(met, ends, ["_ahead", "_behind"]).withColumn("_next", F.coalesce("_next", "_ahead")).withColumn("_last", F.coalesce("_last", "_behind"))
+    between = (F.col("_next._ts") > F.col("_ts")) & F.coalesce(F.col("_last._ts") < F.col("_ts"), F.lit(True))
     if max_days is not None:
-        inside = inside & (F.datediff("_next._ts", "_ts") <= max_days)
-    found = both.where(inside).select("_next._row.*", "_r.*")
+        between = between & (F.datediff("_next._ts", "_ts") <= max_days)
+    found = met.where(between).select("_next._row.*", "_r.*")
     none = [F.lit(None).cast(found.schema[f"r_{c}"].dataType).alias(f"r_{c}") for c in kept]
     return left.select(*row, *none).unionByName(found).groupBy(*row).agg(*aggs)
 

@@ -204,16 +204,15 @@ def implied_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 FEATURES = ["weight", "tax", "disc", "draw_rel"]
 
 
-def _logit(spark: SparkSession, sf_dir: str, features: list[str] | None = None, l2: float = 1e-3, last: int | None = None) -> DataFrame:
-    cols = features or FEATURES
-    df = runners(spark, sf_dir).select("race", "saddle", "season", "won", *FEATURES)
-    return models.walk_forward(df, "season", lambda past: models.fit_grouped_logit(past, ["race"], "won", cols, l2), lambda now, m: models.score_grouped(now, m, ["race"]), train_only=1, last=last)
+def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runners(spark, sf_dir).select("race", "saddle", "season", "won", *FEATURES)
 
 
 @query()
 def grouped_logit_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Winning chances of each season by a model of all earlier ones."""
-    return _logit(spark, sf_dir).select("season", "race", "saddle", "won", "p_win")
+    """Winning chances of each season by a model of all earlier ones, the models of all seasons fitted together."""
+    df = models.walk_forward_logits(_panel(spark, sf_dir), "season", ["race"], "won", {"all": (FEATURES, 1e-3)})
+    return df.select("season", "race", "saddle", "won", "p_win")
 
 
 @query()
@@ -237,14 +236,15 @@ def canary_coefficient(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ablation(spark: SparkSession, sf_dir: str, last: int | None = None) -> DataFrame:
-    """Loss of the model without a group of features, over all seasons that can be scored or the ``last`` of them."""
-    return models.ablate(lambda cols: reports.group_log_loss(_logit(spark, sf_dir, cols, last=last), ["race"], "p_win", "won"), FEATURES, {"weight": ["weight"], "draw": ["draw_rel"]})
+    """Loss of the model without each feature and without pairs of them, over all seasons that can be scored or the ``last`` of them."""
+    groups = {"weight": ["weight"], "tax": ["tax"], "disc": ["disc"], "draw": ["draw_rel"], "weight and draw": ["weight", "draw_rel"]}
+    return models.ablate(_panel(spark, sf_dir), "season", ["race"], "won", FEATURES, groups, last=last)
 
 
 @query()
 def param_search(spark: SparkSession, sf_dir: str, last: int | None = None) -> DataFrame:
     """Loss of the model by its penalty, over all seasons that can be scored or the ``last`` of them."""
-    return models.param_search(lambda s: reports.group_log_loss(_logit(spark, sf_dir, l2=s["l2"], last=last), ["race"], "p_win", "won"), [{"l2": 1e-3}, {"l2": 10.0}])
+    return models.param_search(_panel(spark, sf_dir), "season", ["race"], "won", FEATURES, [1e-3, 1e-1, 1.0, 10.0, 100.0, 1000.0, 10_000.0], last=last)
 
 
 @query()

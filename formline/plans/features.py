@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formline.functions import scalars
-from formline.operators import joins, windows
+from formline.operators import joins, scans, windows
 from formline.plans.spine import RUNNERS_SQL, priced, runners, table
 
 QUERIES: dict = {}
@@ -28,6 +28,8 @@ def r6(name: str):
 
 
 KEY = ["race", "saddle"]
+#: Span of ``ord`` that is a day.
+DAY = 1_000_000_000
 W = f"WITH {RUNNERS_SQL} "
 HORSE = "PARTITION BY horse ORDER BY ord, saddle"
 
@@ -177,10 +179,7 @@ def pace_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     closing against its field. Without a comparable race the pace is neutral, 0."""
     s = split_table(spark, sf_dir)
     race = s.groupBy("race").agg(F.first("ord").alias("ord"), F.first("distance").alias("distance"), F.max("nsec").alias("nsec"), F.min("first_split").alias("lead_split"))
-    w = windows.rows(["distance", "nsec"], "ord", windows.Window.unboundedPreceding, 0)
-    sd = F.stddev_samp("lead_split").over(w)
-    z = -(F.col("lead_split") - F.avg("lead_split").over(w)) / sd
-    race = race.withColumn("pace_press", F.when((F.count("lead_split").over(w) >= 2) & (sd > 1e-12), F.round(z, 9)).otherwise(0.0)).select("race", "pace_press")
+    race = scans.expanding_z(race, ["distance", "nsec"], "ord", DAY, "lead_split", "pace_press", sign=-1).select("race", F.round("pace_press", 9).alias("pace_press"))
     df = s.join(race, "race").withColumn("late_rel", F.round(F.median("last_split").over(windows.Window.partitionBy("race")) - F.col("last_split"), 9))
     return df.withColumns({
         "pace_close": F.col("late_rel") * (1 + F.least(F.greatest(F.col("pace_press"), F.lit(0.0)), F.lit(2.5))),
@@ -212,8 +211,7 @@ def _sum(expr: str) -> str:
 @query(W + f"SELECT race, saddle, round(({_sum('won')} + 20.0) / ({_sum('1.0 / field_size')} + 20.0) - 1, 6) AS draw_bias, round((({_sum('placed')} + 60.0) / ({_sum('3.0 / field_size')} + 60.0) - 1) * (field_size - 12), 6) AS draw_place_bias FROM runners")
 def draw_bias_shrunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = runners(spark, sf_dir).withColumn("due", 1.0 / F.col("field_size")).withColumn("due3", 3.0 / F.col("field_size"))
-    df = windows.shrunk_bias(df, ["distance", "draw"], "ord", "won", "due", 20.0, "draw_bias")
-    df = windows.shrunk_bias(df, ["distance", "draw"], "ord", "placed", "due3", 60.0, "place_bias")
+    df = scans.shrunk_bias(df, ["distance", "draw"], "ord", DAY, {"draw_bias": ("won", "due", 20.0), "place_bias": ("placed", "due3", 60.0)})
     return df.select(*KEY, r6("draw_bias"), F.round(F.col("place_bias") * (F.col("field_size") - 12), 6).alias("draw_place_bias"))
 
 
