@@ -21,8 +21,8 @@ INVERSES = tuple(pow(b, -1, 2**64) for b in BASES)
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: Bits of the map that tells which shorter n-grams are frequent: 16 MB at any size of the corpus.
 FILTER_BITS = 27
-#: Counted n-grams that a task holds before it adds up equal ones.
-HELD = 2_000_000
+#: Counted n-grams that a task holds before it adds up equal ones, and bytes of text that it cuts at once.
+HELD, PIECE_BYTES = 1_000_000, 1_000_000
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[list(BLANKS)] = 1
@@ -99,11 +99,12 @@ def _lang_hash(langs: pa.Array) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w.as_buffer()) for w in coded.dictionary), np.uint64, len(coded.dictionary))[coded.indices.to_numpy()]
 
 
-def counted(rows: DataFrame, lengths: tuple[int, ...], known: int, allowed, least: int, bits: int) -> DataFrame:
+def counted(rows: DataFrame, lengths: tuple[int, ...], known: int, allowed, least: int, bits: int, pointers: bool = True) -> DataFrame:
     """Frequent n-grams (fp, check, m, c, rk, pos) of these lengths: their count and a pointer to one occurrence.
 
     ``rows`` has (rk, lang, text); an n-gram is counted if ``allowed``, a broadcast bit map, has all its parts of
-    ``known`` words (None: all n-grams). A task adds up what it holds; the shuffle adds up the rest.
+    ``known`` words (None: all n-grams). A task adds up what it holds; the shuffle adds up the rest. Without
+    ``pointers`` there are only (fp, c), where colliding fingerprints are one.
     """
 
     def run(batches):
@@ -111,17 +112,22 @@ def counted(rows: DataFrame, lengths: tuple[int, ...], known: int, allowed, leas
         size = 0
 
         def settle() -> list[np.ndarray]:
-            fp, check, c, rk, pos, m = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(fp, kind="stable")
-            fp, check = fp[order], check[order]
-            at = np.flatnonzero(np.concatenate([[True], (fp[1:] != fp[:-1]) | (check[1:] != check[:-1])]))
-            return [fp[at], check[at], np.add.reduceat(c[order], at), rk[order[at]], pos[order[at]], m[order[at]]]
+            parts = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held.clear()
+            order = np.argsort(parts[0], kind="stable")
+            new = np.ones(len(order), bool)
+            for i, key in enumerate(parts[: 2 if pointers else 1]):
+                key = key[order]
+                new[1:] = (key[1:] != key[:-1]) | (new[1:] if i else False)
+            at = np.flatnonzero(new)
+            c = np.add.reduceat(parts[-1][order], at)
+            return [*(x[order[at]] for x in parts[:-1]), c]
 
         def batch(x: list[np.ndarray]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), pa.array(x[1].view(np.int64)), *map(pa.array, x[2:])], ["fp", "check", "c", "rk", "pos", "m"])
+            return pa.RecordBatch.from_arrays([pa.array(v.view(np.int64) if v.dtype == np.uint64 else v) for v in x], ["fp", "check", "rk", "pos", "m", "c"] if pointers else ["fp", "c"])
 
         for b in batches:
-            for part in pieces(b, 2):
+            for part in pieces(b, 2, PIECE_BYTES):
                 words, doc, left = piece_words(part.column(2))
                 if not len(words):
                     continue
@@ -138,22 +144,25 @@ def counted(rows: DataFrame, lengths: tuple[int, ...], known: int, allowed, leas
                         for j in range(m - known + 1):
                             at[: len(at) - j] &= ok[j:]
                     at = np.flatnonzero(at)
-                    if len(at):
-                        held.append([*poly.prints(at, m), np.ones(len(at), np.int64), rk[doc[at]], (at - first[doc[at]]).astype(np.int32), np.full(len(at), m, np.int8)])
-                        size += len(at)
+                    fp, check = poly.prints(at, m)
+                    one = np.ones(len(at), np.int64)
+                    held.append([fp, check, rk[doc[at]], (at - first[doc[at]]).astype(np.int32), np.full(len(at), m, np.int8), one] if pointers else [fp, one])
+                    size += len(at)
                 if size > HELD:
                     one = settle()
-                    if len(one[0]) > HELD // 2:
+                    size = len(one[0])
+                    if size > HELD // 2:
                         yield batch(one)
-                        held, size = [], 0
+                        size = 0
                     else:
-                        held, size = [one], len(one[0])
+                        held.append(one)
         if size:
             yield batch(settle())
 
-    parts = rows.select("rk", "lang", "text").mapInArrow(run, "fp long, check long, c long, rk long, pos int, m tinyint")
+    kinds = "fp long, check long, rk long, pos int, m tinyint, c long" if pointers else "fp long, c long"
+    parts = rows.select("rk", "lang", "text").mapInArrow(run, kinds)
     # the two parts of a pointer come from one row: both are a group's first
-    found = parts.groupBy("fp", "check", "m").agg(F.sum("c").alias("c"), F.first("rk").alias("rk"), F.first("pos").alias("pos"))
+    found = parts.groupBy(*(["fp", "check", "m"] if pointers else ["fp"])).agg(F.sum("c").alias("c"), *([F.first("rk").alias("rk"), F.first("pos").alias("pos")] if pointers else []))
     return materialise(found.where(F.col("c") >= least), "frequent")
 
 
@@ -174,7 +183,7 @@ def phrases_at(rows: DataFrame, frequent: DataFrame, bits: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for part in pieces(b, 1):
+            for part in pieces(b, 1, PIECE_BYTES):
                 words, doc, left = piece_words(part.column(1))
                 if not len(words):
                     continue
@@ -208,9 +217,9 @@ def collocations(docs: DataFrame, longest: int = 4, least: int = 30, top: int =
     longer one of at least ``percent`` of their occurrences go. Ranks follow score and a, falling, then the phrase in
     UTF-8 byte order.
 
-    Words are counted first, then pairs of frequent words, then longer n-grams all of whose pairs are frequent, as any
-    part of a frequent n-gram is; a bit map of fixed size stands for the frequent ones, and lets some more through
-    where it is full. Two polynomials, 128 bits, keep counts apart, so colliding fingerprints (``bits`` narrows them
+    Words are counted first, then the fingerprints of pairs of frequent words alone, then, with pointers, n-grams all
+    of whose pairs are frequent, as any part of a frequent n-gram is; a bit map of fixed size stands for the frequent
+    ones, and lets some more through where it is full. Two polynomials, 128 bits, keep counts apart, so colliding fingerprints (``bits`` narrows them
     in tests) don't mix; a frequent phrase's text is read at its pointer and hashed again.
 
     Null and empty texts have no words; a null language is ``und``. Null and repeated ids and repeated rows all count;
@@ -218,20 +227,18 @@ def collocations(docs: DataFrame, longest: int = 4, least: int = 30, top: int =
     """
     rows = docs.select(F.col(key).cast("string").alias("id"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where("text <> ''").select(F.xxhash64("id", "lang", "text").alias("rk"), "lang", "text")
-    tables, allowed, known = [], None, 0
-    for lengths in ((1,), (2,), tuple(range(3, longest + 1))):
-        lengths = tuple(m for m in lengths if m <= longest)
-        if lengths:
-            tables.append(counted(rows, lengths, known, allowed, least, bits))
-            if allowed is not None:
-                allowed.destroy()
-            allowed, known = (bit_map(tables[-1]), lengths[0]) if lengths[-1] < longest else (None, 0)
-            sweep(docs.sparkSession)
-    frequent = tables[0]
-    for t in tables[1:]:
-        frequent = frequent.unionByName(t)
+    single = counted(rows, (1,), 0, None, least, bits)
+    allowed = bit_map(single)
+    pairs = counted(rows, (2,), 1, allowed, least, bits, pointers=False)
+    allowed.destroy()
+    sweep(docs.sparkSession)
+    allowed = bit_map(pairs)
+    longer = counted(rows, tuple(range(2, longest + 1)), 2, allowed, least, bits)
+    allowed.destroy()
+    sweep(docs.sparkSession)
+    frequent = single.unionByName(longer)
     phrases = phrases_at(rows, frequent, bits)
-    for t in tables:
+    for t in (single, pairs, longer):
         release(t)
     return ranked(phrases, word_counts(rows), top, percent)
 
@@ -242,7 +249,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
     def run(batches):
         total: dict[str, int] = {}
         for b in batches:
-            for part in pieces(b, 1):
+            for part in pieces(b, 1, PIECE_BYTES):
                 words, doc, _ = piece_words(part.column(1))
                 for lang, n in zip(part.column(0).to_pylist(), np.bincount(doc, minlength=part.num_rows).tolist(), strict=True):
                     total[lang] = total.get(lang, 0) + n
