@@ -185,3 +185,70 @@ def test_ablation_and_search_name_what_matters(season_panel):
     best = models.param_search(season_panel, "season", ["g"], "won", ["a", "b"], [1e-3, 1e5]).first()
     assert best.setting == "0.001"
     assert models.walk_forward_logits(season_panel.where("season = 's0'"), "season", ["g"], "won", {"x": (("a",), 1.0)}).count() == 0
+
+
+def snapshots_of_races(spark):
+    rng = random.Random(11)
+    rows = []
+    for g in range(12):
+        off = 3600 * (g + 1)
+        for m in range(5):
+            if g == 3 and m > 0:
+                continue
+            times = sorted(rng.sample(range(off - 3000, off + 600), 12))
+            rows += [(g, m, t, round(rng.uniform(1.5, 20), 3), off) for t in times]
+    return rows
+
+
+def test_drift_on_a_running_stream_equals_the_batch(spark, tmp_path):
+    """Snapshots come out of order and repeatedly, in several batches; each race's rows come once, and its state goes."""
+    from formline.streaming import snapshots
+
+    rows = snapshots_of_races(spark)
+    schema = "grp int, member int, t long, price double, o long"
+    frame = lambda x: spark.createDataFrame(x, schema).select("grp", "member", F.timestamp_seconds("t").alias("ts"), "price", F.timestamp_seconds("o").alias("off"))
+    rng = random.Random(2)
+    for i, lo in enumerate(range(0, 50_000, 4000)):
+        part = [r for r in rows if lo <= r[2] < lo + 4000]
+        repeats = [r for r in rows if lo - 1500 <= r[2] < lo][:10]  # still inside the delay
+        part = part + repeats + part[:7]
+        rng.shuffle(part)
+        if part:
+            frame(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    frame([(99, 0, 200_000, 2.0, 250_000), (None, 1, 5, 2.0, 9), (1, 1, None, 2.0, 9), (0, 0, 10, 9.0, 3600)]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))  # the last is too late
+    frame([(99, 0, 200_100, 2.0, 250_000)]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frame(rows[:1]).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    made = snapshots.drift_stream(stream, "grp", "member", "ts", "price", "off", lags=(30, 5), delay="40 minutes")
+    run = snapshots.append_parquet(made, str(tmp_path / "out"), str(tmp_path / "state"))
+    assert run.awaitTermination(180)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    batch = snapshots.price_drift(frame(rows), ["grp", "member"], ["grp"], "ts", "price", "off", lags=(30, 5))
+    ranked = batch.withColumns({
+        "strength_rank": F.row_number().over(Window.partitionBy("grp").orderBy(F.desc_nulls_last("close"), "member")),
+        "drift_rank": F.row_number().over(Window.partitionBy("grp").orderBy(F.round("drift", 9).asc_nulls_last(), "member")),
+    })
+    cols = batch.columns + ["strength_rank", "drift_rank"]
+    tidy = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*cols).fillna(-99.0).collect())
+    assert tidy(got) == tidy(ranked) and got.count() == 11 * 5 + 1
+    left = {o["operatorName"]: o["numRowsTotal"] for o in run.lastProgress["stateOperators"]}
+    assert left["applyInPandasWithState"] == 1  # the race that hasn't closed
+    k3 = got.where("strength_rank <= 3 AND drift_rank <= 3").select("grp", "member")
+    want = snapshots.resonance(batch, ["grp"], "member", F.col("close"), F.round("drift", 9), k=3).select("grp", "member")
+    assert sorted(map(tuple, k3.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_latest_prices_and_gaps_on_a_running_stream(spark, tmp_path):
+    from formline.streaming import snapshots
+
+    rng = random.Random(6)
+    rows = [(m, pool, t, round(rng.uniform(1.2, 9), 2)) for m in range(4) for pool in ("win", "place") for t in rng.sample(range(1000), 20)]
+    rng.shuffle(rows)
+    schema = "member int, pool string, t long, price double"
+    frame = lambda x: spark.createDataFrame(x, schema).select("member", "pool", F.timestamp_seconds("t").alias("ts"), "price")
+    for i in range(0, len(rows), 40):
+        frame(rows[i : i + 40]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frame(rows[:1]).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for name, made in (("latest", lambda d: snapshots.latest_price(d, ["member", "pool"], "ts", "price")), ("gap", lambda d: snapshots.implied_gap(d, ["member"], "pool", "price", "win", "place"))):
+        run = made(stream).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+        assert run.awaitTermination(120)
+        assert sorted(map(tuple, spark.table(name).collect())) == sorted(map(tuple, made(frame(rows)).collect()))
