@@ -128,6 +128,14 @@ def against_pivots(pairs: DataFrame, sets: DataFrame, percent: int, far: bool) -
     return out
 
 
+def _with_components(star: DataFrame, groups: DataFrame) -> DataFrame:
+    """``star`` with its members' and pivots' components; a member without links is one of its own."""
+    own = join_groups(star, star.groupBy("mid").agg(F.count(F.lit(1)).alias("_met")).join(groups, "mid", "left"), "mid", "_met")
+    heads = star.groupBy("pivot").agg(F.count(F.lit(1)).alias("_met")).join(groups.withColumnRenamed("mid", "pivot").withColumnRenamed("component", "pivot_component"), "pivot", "left")
+    both = join_groups(own.drop("_met"), heads, "pivot", "_met").drop("_met")
+    return both.withColumn("component", F.coalesce("component", "mid")).withColumn("pivot_component", F.coalesce("pivot_component", "pivot"))
+
+
 def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, levels: int = 3) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, of an exact join at ``percent`` (above 50) on sets of k-word shingles.
 
@@ -137,9 +145,9 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, levels: int =
     own, filter a bucket's pairs, and whole sets confirm what is left. No link is lost to a filter.
 
     Documents with the same set are one member. A bucket's members are compared with one pivot; those linked with it
-    are one group, whose links with others are found from differences to the pivot (``delta_links``); those not linked
-    with a pivot go on to the next level, at the last of which they are compared with each other. So work follows
-    members, not pairs.
+    are one group, whose links with members of other components are found from differences to the pivot
+    (``delta_links``); those not linked with a pivot go on to the next level, at the last of which they are compared
+    with each other, unless a bucket's rest is of one component by then. So work follows members, not pairs.
 
     Null and empty texts, and texts of white space, have no shingles and are linked with nothing: their component is
     their own id. A null id never becomes a component's name unless all its ids are null; rows that repeat an id and
@@ -176,12 +184,19 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, levels: int =
         edges.append(materialise(star.where("linked").select(F.col("mid").alias("a"), F.col("pivot").alias("b")), "linked"))
         if star.where("not linked").limit(1).count() == 0:
             break
-        groups = components(_all(edges)).withColumnRenamed("node", "mid") if last else None
-        edges.append(delta_links(star, percent, groups))
+        groups = components(_all(edges)).withColumnRenamed("node", "mid")
+        star = _with_components(star, groups)
+        # all of a pivot's linked members are of its component: only near ones of others can add a link to them
+        elsewhere = star.where("component <> pivot_component" + ("" if last else " AND near")).select("pivot").distinct()
+        open_stars = star.join(elsewhere, "pivot", "left_semi").drop("component", "pivot_component")
+        edges.append(delta_links(open_stars, percent, groups if last else None))
         if not last:
-            apart = star.where("not linked").select("mid", "pivot")
-            spread = materialise(met.join(apart, ["mid", "pivot"], "left_semi").select("mid", "tok"), "rare")
-        release(star)
+            # what isn't linked with a bucket's pivot goes on, unless it is all of one component by now
+            apart = met.join(star.where("not linked").select("mid", "pivot", "component"), ["mid", "pivot"]).select("mid", "tok", "component")
+            mixed = apart.groupBy("tok").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed")
+            spread = materialise(apart.join(mixed, "tok", "left_semi").select("mid", "tok"), "rare")
+            if spread.limit(1).count() == 0:
+                break
         release(met)
         sweep(docs.sparkSession)
     named = components(_all(edges)).withColumnRenamed("node", "mid")
