@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formline.llm.common import join_groups, materialise, release
+from formline.llm.common import delete, join_groups, materialise, release, shared_dir
 
 
 def text_digest(text: Column) -> Column:
@@ -16,7 +16,9 @@ def text_digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """Two tables in the warehouse, bucketed and sorted by digest: the index, a row per digest, and its repeats.
+    """Two tables, bucketed and sorted by digest: the index, a row per digest, and its repeats.
+
+    Their files lie in ``folder``, which driver and executors share: that of ``spark.checkpoint.dir`` by default.
 
     A batch is reduced to one row per digest before anything is shuffled, then left-anti joined with the index by
     sort-merge; as the index is bucketed and sorted, only the batch moves. What is new is appended, so later batches
@@ -24,15 +26,15 @@ class DigestIndex:
     totals hold over all batches.
     """
 
-    def __init__(self, spark: SparkSession, table: str, buckets: int | None = None):
-        self.spark, self.table = spark, table
+    def __init__(self, spark: SparkSession, table: str, buckets: int | None = None, folder: str | None = None):
+        self.spark, self.table, self.folder = spark, table, (folder or shared_dir(spark)).rstrip("/")
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _read(self, table: str) -> DataFrame | None:
         return self.spark.table(table) if self.spark.catalog.tableExists(table) else None
 
     def _append(self, groups: DataFrame, table: str) -> None:
-        groups.repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(table)
+        groups.repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").option("path", f"{self.folder}/{table}").saveAsTable(table)
 
     def read(self) -> DataFrame | None:
         """The index: (digest, keep_id, group_size) as the batch left them that brought the digest."""
@@ -64,6 +66,7 @@ class DigestIndex:
     def drop(self) -> None:
         for table in (self.table, f"{self.table}_repeats"):
             self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+            delete(self.spark, f"{self.folder}/{table}")
 
 
 def exact_groups(docs: DataFrame, table: str | None = None, row_key: str | None = None, batches: int = 2) -> DataFrame:
@@ -82,10 +85,12 @@ def exact_groups(docs: DataFrame, table: str | None = None, row_key: str | None
     own = [row_key] if row_key else []
     rows = materialise(docs.select("doc_id", *own, text_digest(F.col("text")).alias("text_sha256")), "digests")
     index = DigestIndex(docs.sparkSession, table or f"digest_index_{uuid.uuid4().hex}")
-    for i in range(batches):
-        index.add(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i), "text_sha256")
-    groups = materialise(index.totals().withColumnRenamed("digest", "text_sha256"), "groups")
-    if not table:
-        index.drop()
+    try:
+        for i in range(batches):
+            index.add(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i), "text_sha256")
+        groups = materialise(index.totals().withColumnRenamed("digest", "text_sha256"), "groups")
+    finally:
+        if not table:
+            index.drop()
     out = join_groups(rows, groups, "text_sha256", "group_size")
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", *own)
