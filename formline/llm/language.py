@@ -104,10 +104,32 @@ def text_evidence(rows: DataFrame, langs: list[str], table: np.ndarray) -> DataF
     return rows.mapInArrow(run, schema)
 
 
-def _shares(rows: DataFrame, key: str, langs: list[str], name: str) -> DataFrame:
-    """For each value of ``key`` the number of its rows of each text language, as an array."""
-    sums = [F.sum((F.col("text_lang") == x).cast("double")) for x in langs]
-    return rows.where(F.col(key).isNotNull() & F.col("text_lang").isNotNull()).groupBy(key).agg(F.array(*sums).alias(name), F.count(F.lit(1)).alias("rows"))
+def _shares(rows: DataFrame, key: str, langs: Column, name: str) -> DataFrame:
+    """For each value of ``key`` the number of its rows of each text language, as an array; the plan doesn't grow with the languages."""
+    per = rows.where(F.col(key).isNotNull() & F.col("text_lang").isNotNull()).groupBy(key, "text_lang").agg(F.count(F.lit(1)).alias("n"))
+    per = per.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("text_lang", "n"))).alias("_m"), F.sum("n").alias("rows"))
+    return per.select(key, F.transform(langs, lambda x: F.coalesce(F.try_element_at("_m", x).cast("double"), F.lit(0.0))).alias(name), "rows")
+
+
+def posterior(rows: DataFrame, langs: list[str], whole: np.ndarray) -> DataFrame:
+    """Adds ``logs``, the log of each language's posterior up to a constant, from columns ll, text_lang and the counts n_host, n_domain, n_declared and n_code.
+
+    ``whole`` counts all rows by text language. Every step is one expression over arrays of languages.
+    """
+    base = (whole + 1.0) / (whole + 1.0).sum()
+    names, base, whole = (F.array(*(F.lit(x) for x in v)) for v in (langs, base.tolist(), whole.tolist()))
+    rows = rows.withColumn("_own", F.transform(names, lambda x: F.coalesce((F.col("text_lang") == x).cast("double"), F.lit(0.0))))
+    none = F.array_repeat(F.lit(0.0), len(langs))
+    # rows of the key in each language, without this row's vote
+    rows = rows.withColumns({f"_{k}": F.when(F.col(f"n_{k}").isNotNull(), F.zip_with(f"n_{k}", "_own", lambda n, own: n - own)).otherwise(none) for k in ("host", "domain", "declared", "code")})
+    rows = rows.withColumns({f"_all_{k}": F.aggregate(f"_{k}", F.lit(0.0), lambda s, x: s + x) for k in ("host", "domain")})
+    rows = rows.withColumn("_domain", F.zip_with("_domain", base, lambda n, p: (n + DOMAIN_PULL * p) / (F.col("_all_domain") + DOMAIN_PULL)))
+    prior = F.zip_with("_host", "_domain", lambda n, p: (n + HOST_PULL * p) / (F.col("_all_host") + HOST_PULL))
+    rows = rows.withColumn("logs", F.zip_with("ll", prior, lambda x, p: x + F.log(p)))
+    for key in ("declared", "code"):
+        chance = F.zip_with(f"_{key}", whole, lambda n, w: (n + 1.0) / (w + 2.0))
+        rows = rows.withColumn("logs", F.when(F.col(key).isNull(), F.col("logs")).otherwise(F.zip_with("logs", chance, lambda x, p: x + F.log(p))))
+    return rows
 
 
 def identify(docs: DataFrame, pages: DataFrame) -> DataFrame:
@@ -137,34 +159,13 @@ def identify(docs: DataFrame, pages: DataFrame) -> DataFrame:
     rows = materialise(text_evidence(a.unionByName(b), langs, table), "evidence")
     if not langs:
         return rows.select("doc_id", "page_id", null.alias("lang"), F.lit(0.0).alias("probability"), "text_lang", "declared", "code", "host")
-    whole = rows.agg(F.array(*(F.coalesce(F.sum((F.col("text_lang") == x).cast("double")), F.lit(0.0)) for x in langs))).first()[0]
-    base = np.array(whole) + 1.0
-    base = base / base.sum()
+    seen = {r[0]: float(r[1]) for r in rows.groupBy("text_lang").count().collect()}  # a row per language
+    names = F.array(*map(F.lit, langs))
     for key in ("host", "domain", "declared", "code"):
-        rows = look_up(rows, materialise(_shares(rows, key, langs, f"n_{key}"), key), key, "rows").drop("rows")
-
-    def own(i: int) -> Column:
-        return F.coalesce((F.col("text_lang") == langs[i]).cast("double"), F.lit(0.0))
-
-    def count(key: str, i: int) -> Column:
-        """Rows of the key in language i, without this row's vote."""
-        return F.coalesce(F.get(F.col(f"n_{key}"), F.lit(i)) - own(i), F.lit(0.0))
-
-    def total(key: str) -> Column:
-        return sum((count(key, i) for i in range(1, len(langs))), count(key, 0))
-
-    logs = []
-    for i in range(len(langs)):
-        domain = (count("domain", i) + DOMAIN_PULL * float(base[i])) / (total("domain") + DOMAIN_PULL)
-        prior = (count("host", i) + HOST_PULL * domain) / (total("host") + HOST_PULL)
-        log = F.get(F.col("ll"), F.lit(i)) + F.log(prior)
-        for key in ("declared", "code"):
-            chance = (count(key, i) + 1.0) / (F.lit(float(whole[i])) + 2.0)
-            log = log + F.when(F.col(key).isNotNull(), F.log(chance)).otherwise(0.0)
-        logs.append(log)
-    rows = rows.withColumn("logs", F.array(*logs))
+        rows = look_up(rows, materialise(_shares(rows, key, names, f"n_{key}"), key), key, "rows").drop("rows")
+    rows = posterior(rows, langs, np.array([seen.get(x, 0.0) for x in langs]))
     rows = rows.withColumn("top", F.array_max("logs"))
-    best = F.element_at(F.array(*map(F.lit, langs)), F.array_position("logs", F.col("top")).cast("int"))
+    best = F.element_at(names, F.array_position("logs", F.col("top")).cast("int"))
     chance = 1 / F.aggregate("logs", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))
     return rows.select("doc_id", "page_id", best.alias("lang"), chance.alias("probability"), "text_lang", "declared", "code", "host")
 

@@ -273,3 +273,81 @@ def test_totals_beyond_64_bits_divide_exactly(spark):
     got = collocations.ranked(spark.createDataFrame(rows, "lang string, phrase string, words array<string>, f long"), spark.createDataFrame([("en", 9)], "lang string, n long"), 10, 80)
     assert got.first().score == 2_000_000 * big // (2 * big + 3)
     assert got.select(F.count("*")).first()[0] == 1
+
+
+# 6
+def test_posteriors_equal_plain_fusion(spark):
+    """Evidence of every row fused in numpy, from the same text likelihoods."""
+    import re
+
+    from formline.llm import language
+
+    docs, pages = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "pages"))
+    langs, table = language.text_model(docs)
+    page = spark.createDataFrame(pages.select(F.lit("page").alias("kind"), "page_id", F.col("html").alias("text")).collect(), "kind string, page_id long, text string")
+    text = {("p", r.page_id): (np.array(r.ll), r.text_lang) for r in language.text_evidence(page, langs, table).collect()}
+    text |= {("d", r.doc_id): (np.array(r.ll), r.text_lang) for r in language.text_evidence(docs.select(F.lit("document").alias("kind"), "doc_id", "text"), langs, table).collect()}
+    facts = {("d", r.doc_id): {"host": None if r.source is None else f"source:{r.source}"} for r in docs.collect()}
+    for r in pages.collect():
+        after = r.url.split("://", 1)[1] if "://" in r.url else ""
+        host, path = re.split("[/?#]", after, maxsplit=1)[0].lower(), re.sub("[?#].*", "", after[len(re.split("[/?#]", after, maxsplit=1)[0]) :])
+        first, last, said = re.match(r"/([A-Za-z]{2})(?:/|$)", path), re.search(r"\.([a-z]{2})$", host), re.search(r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})""", r.html)
+        facts["p", r.page_id] = {"host": host or None, "domain": re.search(r"([^.]*\.?[^.]*)$", host)[1] or None, "code": (first or last)[1].lower() if first or last else None, "declared": said[1].lower() if said else None}
+    one = lambda lang: np.array([float(lang == x) for x in langs])
+    counts: dict = {}
+    for k, f in facts.items():
+        for key, v in f.items():
+            if v is not None and text[k][1] is not None:
+                counts[key, v] = counts.get((key, v), 0) + one(text[k][1])
+    whole = sum(one(text[k][1]) for k in facts)
+    base = (whole + 1) / (whole + 1).sum()
+    for r in language.identify(docs, pages).collect():
+        k = ("p", r.page_id) if r.doc_id is None else ("d", r.doc_id)
+        ll, told = text[k]
+        n = {key: counts[key, facts[k][key]] - one(told) if facts[k].get(key) is not None and (key, facts[k][key]) in counts else np.zeros(len(langs)) for key in ("host", "domain", "declared", "code")}
+        domain = (n["domain"] + language.DOMAIN_PULL * base) / (n["domain"].sum() + language.DOMAIN_PULL)
+        log = ll + np.log((n["host"] + language.HOST_PULL * domain) / (n["host"].sum() + language.HOST_PULL))
+        for key in ("declared", "code"):
+            if facts[k].get(key) is not None:
+                log = log + np.log((n[key] + 1) / (whole + 2))
+        p = np.exp(log - log.max())
+        assert r.lang == langs[int(log.argmax())] and abs(r.probability - 1 / p.sum()) < 1e-9
+
+
+def test_two_hundred_languages_plan_like_four(spark):
+    from formline.llm import language
+
+    def plan(n):
+        langs = [f"l{i:03}" for i in range(n)]
+        zeros = F.array_repeat(F.lit(1.0), n)
+        rows = spark.range(20).select(F.lit("l001").alias("text_lang"), zeros.alias("ll"), F.lit("x").alias("declared"), F.lit(None).cast("string").alias("code"), *(zeros.alias(f"n_{k}") for k in ("host", "domain", "declared", "code")))
+        start = time.time()
+        got = language.posterior(rows, langs, np.ones(n)).select("logs").collect()
+        assert len(got) == 20 and len(got[0].logs) == n
+        return time.time() - start
+
+    plan(4)
+    assert plan(200) < 5 * plan(4) + 2
+
+
+# 9
+def test_index_lies_in_the_shared_folder_and_goes_with_the_call(spark, monkeypatch):
+    import os
+
+    from formline.llm import common, exact_dedup
+
+    folder = common.shared_dir(spark).removeprefix("file://")
+    df = spark.createDataFrame([(i, f"t{i % 7}") for i in range(50)], "doc_id long, text string")
+    tables = lambda: [t.name for t in spark.catalog.listTables() if t.name.startswith("digest_index")]
+    left = lambda: [x for x in os.listdir(folder) if x.startswith("digest_index")]
+    before = (tables(), left())
+    assert exact_dedup.exact_groups(df).where("kept").count() == 7 and (tables(), left()) == before
+    index = exact_dedup.DigestIndex(spark, "digest_index_here")
+    index.add(df.select("doc_id", F.col("text").alias("digest")))
+    assert "digest_index_here" in left()
+    index.drop()
+    assert (tables(), left()) == before
+    monkeypatch.setattr(exact_dedup.DigestIndex, "totals", lambda self: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        exact_dedup.exact_groups(df)
+    assert (tables(), left()) == before
