@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from formline.operators import scans
+
 
 def bet_summary(df: DataFrame, by: Sequence[str], stake: str, profit: str, won: str | None = None) -> DataFrame:
     """Bets, hit rate, staked, profit, return on turnover and Sharpe ratio of returns, per group."""
@@ -141,12 +143,14 @@ def block_bootstrap(df: DataFrame, block: str, num: str, den: str, replicates: i
     ).withColumn("crosses_zero", (F.col("lo") <= 0) & (F.col("hi") >= 0))
 
 
+#: Days that one task of a running total orders at most.
+BLOCK_DAYS = 60
+
+
 def equity_curve(df: DataFrame, day: str, pnl: str) -> DataFrame:
-    """Profit per day, its running sum, the running peak (0 at least) and the drawdown from it; days are summed first."""
-    per = df.groupBy(day).agg(F.sum(pnl).alias("pnl"))
-    w = Window.orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
-    per = per.withColumn("equity", F.sum("pnl").over(w))
-    return per.withColumn("peak", F.greatest(F.lit(0.0), F.max("equity").over(w))).withColumn("drawdown", F.col("peak") - F.col("equity"))
+    """Profit per day, its running sum, the running peak (0 at least) and the drawdown from it; days are summed first, then whole blocks of days."""
+    per = df.groupBy(day).agg(F.sum(pnl).alias("pnl")).withColumn("_at", F.unix_date(F.col(day).cast("date")))
+    return scans.path_so_far(per, [], "_at", BLOCK_DAYS, "pnl").drop("_at")
 
 
 def curve_summary(curve: DataFrame, bankroll: float) -> DataFrame:
@@ -158,16 +162,20 @@ def curve_summary(curve: DataFrame, bankroll: float) -> DataFrame:
     )
 
 
-def ruin_probability(curve: DataFrame, day: str, pnl: str, bankroll: float, floor: float, replicates: int = 100, seed: int = 0) -> DataFrame:
-    """Share of resampled day sequences in which wealth falls below ``floor`` times the bank."""
-    days = curve.select(F.col(day).alias("_d"), F.log(F.greatest(F.lit(1e-9), 1 + F.col(pnl) / bankroll)).alias("_g"))
-    n = days.withColumn("_i", F.row_number().over(Window.orderBy("_d")) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
-    draws = n.select("_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_r"))
+def ruin_probability(curve: DataFrame, day: str, pnl: str, bankroll: float, floor: float, replicates: int = 1000, seed: int = 0) -> DataFrame:
+    """Share of resampled day sequences in which wealth falls below ``floor`` times the bank.
+
+    Days are numbered in blocks. A replicate draws as many days as there are, with replacement; its path is cut into
+    blocks too, each a summary (sum, lowest prefix), and the summaries merge, so no task orders a whole path.
+    """
+    days = curve.select(F.unix_date(F.col(day).cast("date")).alias("_d"), F.log(F.greatest(F.lit(1e-9), 1 + F.col(pnl) / bankroll)).alias("_g"))
+    numbered = scans.sums_so_far(days, [], "_d", BLOCK_DAYS, {"_i": F.lit(1)}).select(F.col("_i").cast("long").alias("_i"), "_g")
+    total = days.agg(F.count(F.lit(1)).alias("_n"))  # one row
+    draws = numbered.select("_i").join(F.broadcast(total)).select("_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_r"))
     h = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("_r").cast("string"), F.col("_i").cast("string"))), 1, 8), 16, 10).cast("long")
-    draws = draws.select("_r", F.col("_i").alias("_at"), F.pmod(h, F.col("_n")).alias("_i")).join(n.select("_i", "_g"), "_i")
-    path = draws.withColumn("_w", F.sum("_g").over(Window.partitionBy("_r").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)))
-    low = path.groupBy("_r").agg(F.min("_w").alias("_low"))
-    return low.agg(F.avg((F.col("_low") < F.log(F.lit(floor))).cast("double")).alias("ruin_probability"), F.count(F.lit(1)).alias("replicates"))
+    draws = draws.select("_r", F.col("_i").alias("_at"), F.pmod(h, F.col("_n")).alias("_i")).join(numbered, "_i")
+    low = scans.path_summary(draws, ["_r"], "_at", BLOCK_DAYS * 8, "_g")
+    return low.agg(F.avg((F.col("lowest") < F.log(F.lit(floor))).cast("double")).alias("ruin_probability"), F.count(F.lit(1)).alias("replicates"))
 
 
 def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -94,3 +94,38 @@ def shrunk_bias(df: DataFrame, keys: Sequence[str], order: str, width: int, labe
     df = sums_so_far(df, keys, order, width, values)
     df = df.withColumns({out: (F.col(f"_{out}_h") + k) / (F.col(f"_{out}_d") + k) - 1 for out, (_, _, k) in labels.items()})
     return df.drop(*values)
+
+
+def _paths(df: DataFrame, by: Sequence[str], order: str, width: int, value: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with their running sum inside their block, and a mergeable summary of each block with what lies before it.
+
+    A summary is (sum, lowest prefix, highest prefix, largest drop from a peak, which is 0 at least): of two that follow
+    each other the sums add up, and the second's prefixes stand on the first's sum.
+    """
+    df = df.where(F.col(order).isNotNull()).withColumns({"_block": _block(order, width), "_v": F.coalesce(F.col(value).cast("double"), F.lit(0.0))})
+    inside = Window.partitionBy(*by, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("_run", F.sum("_v").over(inside)).withColumn("_top", F.max("_run").over(inside))
+    per = df.groupBy(*by, "_block").agg(F.sum("_v").alias("_sum"), F.min("_run").alias("_low"), F.max("_run").alias("_high"), F.max(F.greatest(F.col("_top"), F.lit(0.0)) - F.col("_run")).alias("_drop"))
+    ahead = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_before", F.coalesce(F.sum("_sum").over(ahead), F.lit(0.0)))
+    return df, per.withColumn("_peak", F.greatest(F.lit(0.0), F.coalesce(F.max(F.col("_before") + F.col("_high")).over(ahead), F.lit(0.0))))
+
+
+def path_so_far(df: DataFrame, by: Sequence[str], order: str, width: int, value: str) -> DataFrame:
+    """Adds equity, the running sum of ``value``, peak, its highest so far (0 at least), and drawdown, the fall from it.
+
+    One row per value of ``order`` is expected; nulls count as 0. The path is summed in blocks, so no task holds it all.
+    """
+    df, per = _paths(df, by, order, width, value)
+    df = _carried(df, per, by, ["_before", "_peak"])
+    df = df.withColumn("equity", F.col("_before") + F.col("_run")).withColumn("peak", F.greatest("_peak", F.col("_before") + F.col("_top")))
+    return df.withColumn("drawdown", F.col("peak") - F.col("equity")).drop("_block", "_v", "_run", "_top", "_before", "_peak")
+
+
+def path_summary(df: DataFrame, by: Sequence[str], order: str, width: int, value: str) -> DataFrame:
+    """Per ``by`` the path's total, its lowest and highest point (after a step) and max_drawdown, merged from its blocks' summaries."""
+    _, per = _paths(df, by, order, width, value)
+    return per.groupBy(*by).agg(
+        F.sum("_sum").alias("total"), F.min(F.col("_before") + F.col("_low")).alias("lowest"), F.max(F.col("_before") + F.col("_high")).alias("highest"),
+        F.max(F.greatest(F.col("_drop"), F.col("_peak") - F.col("_before") - F.col("_low"))).alias("max_drawdown"),
+    )

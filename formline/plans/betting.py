@@ -245,10 +245,10 @@ def equity_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(CURVE + """, g AS (SELECT ln(greatest(1e-9, 1 + pnl / 100000.0)) AS g, row_number() OVER (ORDER BY race_date) - 1 AS i, count(*) OVER () AS n FROM day),
- d AS (SELECT r, g.i AS place, ('0x' || substr(md5('0-' || r || '-' || g.i), 1, 8))::BIGINT % n AS i FROM g, range(0, 40) v(r)), p AS (SELECT r, sum(gg) OVER (PARTITION BY r ORDER BY place) AS w FROM (SELECT d.r AS r, d.place AS place, g.g AS gg FROM d JOIN g ON d.i = g.i)),
+ d AS (SELECT r, g.i AS place, ('0x' || substr(md5('0-' || r || '-' || g.i), 1, 8))::BIGINT % n AS i FROM g, range(0, 1000) v(r)), p AS (SELECT r, sum(gg) OVER (PARTITION BY r ORDER BY place) AS w FROM (SELECT d.r AS r, d.place AS place, g.g AS gg FROM d JOIN g ON d.i = g.i)),
  l AS (SELECT r, min(w) AS low FROM p GROUP BY r) SELECT round(avg(CASE WHEN low < ln(0.9) THEN 1.0 ELSE 0.0 END), 6) AS ruin_probability, count(*) AS replicates FROM l""")
 def ruin_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.ruin_probability(_curve(spark, sf_dir), "race_date", "pnl", 100_000.0, 0.9, 40).select(r6("ruin_probability"), "replicates")
+    return reports.ruin_probability(_curve(spark, sf_dir), "race_date", "pnl", 100_000.0, 0.9, 1000).select(r6("ruin_probability"), "replicates")
 
 
 @query(EV + "SELECT race, saddle, round(CASE WHEN p_blend * win_odds > 1 THEN least(1.0, (p_blend * win_odds - 1) / (win_odds - 1)) ELSE 0.0 END, 6) AS fraction FROM e")

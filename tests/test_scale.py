@@ -1,5 +1,6 @@
 """Operators that split long histories, many fits and many phrases, against plain forms of the same work."""
 
+import math
 import random
 import re
 
@@ -252,3 +253,21 @@ def test_latest_prices_and_gaps_on_a_running_stream(spark, tmp_path):
         run = made(stream).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
         assert run.awaitTermination(120)
         assert sorted(map(tuple, spark.table(name).collect())) == sorted(map(tuple, made(frame(rows)).collect()))
+
+
+@pytest.mark.parametrize("width", [1, 3, 10, 1000])
+def test_paths_in_blocks_are_paths(spark, width):
+    rng = random.Random(width)
+    rows = [(k, i, rng.choice([None, rng.gauss(0, 5)]) if k else rng.gauss(-1, 2)) for k in range(3) for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, o int, v double")
+    got = {(r.k, r.o): (r.equity, r.peak, r.drawdown) for r in scans.path_so_far(df, ["k"], "o", width, "v").collect()}
+    totals = {r.k: (r.total, r.lowest, r.highest, r.max_drawdown) for r in scans.path_summary(df, ["k"], "o", width, "v").collect()}
+    for k in range(3):
+        run, peak, drop, low, high = 0.0, 0.0, 0.0, math.inf, -math.inf
+        for i in range(60):
+            run += rows[k * 60 + i][2] or 0.0
+            peak, low, high = max(peak, run), min(low, run), max(high, run)
+            drop = max(drop, peak - run)
+            assert np.allclose(got[k, i], (run, peak, peak - run), atol=1e-9)
+        assert np.allclose(totals[k], (run, low, high, drop), atol=1e-9)
+    assert scans.path_summary(df.limit(0), ["k"], "o", width, "v").count() == 0
