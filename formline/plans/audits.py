@@ -105,7 +105,7 @@ def latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 def groups_with_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each group with its number of entries, 0 where it has none."""
     per = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n_customers"))
-    return joins.strict_left_join(table(spark, sf_dir, "nation"), per, ["n_nationkey"], check=False).select("n_name", "n_regionkey", F.coalesce("n_customers", F.lit(0)).alias("n_customers"))
+    return joins.strict_left_join(table(spark, sf_dir, "nation"), per, ["n_nationkey"]).select("n_name", "n_regionkey", F.coalesce("n_customers", F.lit(0)).alias("n_customers"))
 
 
 @query(W + "SELECT race, race_date, count(*) AS n_runners FROM runners GROUP BY race, race_date ORDER BY race_date DESC, race DESC LIMIT 20")
