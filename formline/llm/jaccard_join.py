@@ -128,8 +128,25 @@ def against_pivots(pairs: DataFrame, sets: DataFrame, percent: int, far: bool) -
     return out
 
 
+def labels(edges: DataFrame, rounds: int = 3) -> DataFrame:
+    """(mid, component): a name that members share only if links join them, the smallest member within ``rounds`` links.
+
+    Not all members of a component need get one name, which costs comparisons but no link; it takes ``rounds`` passes,
+    however long a component's chains are.
+    """
+    both = materialise(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))), "both")
+    now = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("low"), F.count(F.lit(1)).alias("links"))
+    for _ in range(rounds - 1):
+        now = materialise(now, "labels")
+        met = join_groups(both, now.withColumnRenamed("u", "v"), "v", "links").groupBy("u").agg(F.min("low").alias("near"))
+        now = now.join(met, "u").select("u", F.least("low", "near").alias("low"), "links")
+    out = materialise(now.select(F.col("u").alias("mid"), F.col("low").alias("component")), "labels")
+    release(both)
+    return out
+
+
 def _with_components(star: DataFrame, groups: DataFrame) -> DataFrame:
-    """``star`` with its members' and pivots' components; a member without links is one of its own."""
+    """``star`` with its members' and pivots' components as far as they are known; a member without links is one of its own."""
     own = join_groups(star, star.groupBy("mid").agg(F.count(F.lit(1)).alias("_met")).join(groups, "mid", "left"), "mid", "_met")
     heads = star.groupBy("pivot").agg(F.count(F.lit(1)).alias("_met")).join(groups.withColumnRenamed("mid", "pivot").withColumnRenamed("component", "pivot_component"), "pivot", "left")
     both = join_groups(own.drop("_met"), heads, "pivot", "_met").drop("_met")
@@ -184,7 +201,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, levels: int =
         edges.append(materialise(star.where("linked").select(F.col("mid").alias("a"), F.col("pivot").alias("b")), "linked"))
         if star.where("not linked").limit(1).count() == 0:
             break
-        groups = components(_all(edges)).withColumnRenamed("node", "mid")
+        groups = labels(_all(edges))
         star = _with_components(star, groups)
         # all of a pivot's linked members are of its component: only near ones of others can add a link to them
         elsewhere = star.where("component <> pivot_component" + ("" if last else " AND near")).select("pivot").distinct()
