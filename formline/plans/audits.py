@@ -268,12 +268,30 @@ def temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.temperature_losses(priced(spark, sf_dir), ["race"], "p_model", "won", [0.5, 1.0, 2.0, 4.0]).select("temperature", r6("log_loss"))
 
 
-@query()
+def _platt_sql(steps: int = 8) -> str:
+    """Newton steps of all blocks' logistic curves, one after another."""
+    out = "c0 AS (SELECT i, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b FROM blocks)"
+    for k in range(steps):
+        out += f""", s{k} AS (SELECT i, any_value(a) AS a, any_value(b) AS b, sum(y - q) AS g0, sum((y - q) * x) AS g1, sum(q * (1 - q)) AS h0, sum(q * (1 - q) * x) AS h1, sum(q * (1 - q) * x * x) AS h2 FROM (SELECT c.*, x, y, 1 / (1 + exp(-(a + b * x))) AS q FROM c{k} c JOIN blocks USING (i) JOIN r ON r.block <= upto) GROUP BY i),
+ c{k + 1} AS (SELECT i, CASE WHEN h0 * h2 - h1 * h1 > 1e-9 THEN a + (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1) ELSE a END AS a, CASE WHEN h0 * h2 - h1 * h1 > 1e-9 THEN b + (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) ELSE b END AS b FROM s{k})"""
+    return out
+
+
+@query(f"""WITH {PRICED_SQL}, blocks AS (SELECT * FROM (VALUES (0, 1995, 1996, 1997), (1, 1997, 1998, 1999), (2, 1999, 2000, 2001)) v(i, upto, lo, hi)),
+ r AS (SELECT race, saddle, year(race_date) AS block, p_model, won::DOUBLE AS y, ln(greatest(p_model, 1e-6) / greatest(1 - p_model, 1e-6)) AS x, CAST(floor(p_model * 1000 + 0.5) AS INT) AS cell FROM priced),
+ {_platt_sql()},
+ cells AS (SELECT i, cell, sum(y) AS t, count(*) AS n FROM blocks JOIN r ON r.block <= upto GROUP BY i, cell),
+ pre AS (SELECT *, sum(t) OVER w AS st, sum(n) OVER w AS sn, row_number() OVER w AS k FROM cells WINDOW w AS (PARTITION BY i ORDER BY cell)),
+ spans AS (SELECT a.i, a.k AS j, b.k AS k, (b.st - a.st + a.t) / (b.sn - a.sn + a.n) AS m FROM pre a JOIN pre b ON a.i = b.i AND a.k <= b.k),
+ least_ AS (SELECT i, j, k, min(m) OVER (PARTITION BY i, j ORDER BY k DESC) AS m FROM spans), curve AS (SELECT i, k, max(m) AS v FROM least_ GROUP BY i, k),
+ steps AS (SELECT pre.i, cell, v FROM pre JOIN curve USING (i, k)),
+ asked AS (SELECT DISTINCT i, cell FROM r JOIN blocks ON block BETWEEN lo AND hi),
+ about AS (SELECT q.i, q.cell, max(CASE WHEN s.cell <= q.cell THEN s.cell END) AS c0, min(CASE WHEN s.cell >= q.cell THEN s.cell END) AS c1 FROM asked q JOIN steps s ON s.i = q.i GROUP BY q.i, q.cell),
+ found AS (SELECT q.i, q.cell, CASE WHEN c0 IS NULL THEN b.v WHEN c1 IS NULL OR c0 = c1 THEN a.v ELSE a.v + (b.v - a.v) * (q.cell - c0) / (c1 - c0) END AS v FROM about q LEFT JOIN steps a ON a.i = q.i AND a.cell = c0 LEFT JOIN steps b ON b.i = q.i AND b.cell = c1)
+ SELECT race, saddle, block, round(p_model, 6) AS p_model, won, round(p_platt, 6) AS p_platt, round(p_isotonic, 6) AS p_isotonic FROM (
+ SELECT race, saddle, block, p_model, y AS won, 1 / (1 + exp(-(a + b * x))) AS p_platt, v AS p_isotonic FROM r JOIN blocks ON block BETWEEN lo AND hi JOIN c8 USING (i) JOIN found f ON f.i = blocks.i AND f.cell = r.cell)""")
 def calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logistic and step-curve calibration of each later season by all earlier ones."""
+    """Logistic and step-curve calibration of each later block of years by all earlier ones."""
     df = priced(spark, sf_dir).withColumn("block", F.year("race_date")).select("race", "saddle", "block", "p_model", F.col("won").cast("double").alias("won"))
-
-    def both(past: DataFrame, now: DataFrame) -> DataFrame:
-        return models.isotonic(past, models.platt(past, now, "p_model", "won", "p_platt"), "p_model", "won", "p_isotonic")
-
-    return models.expanding_calibration(df, "block", [(1995, 1996, 1997), (1997, 1998, 1999), (1999, 2000, 2001)], both)
+    out = models.expanding_calibration(df, "block", [(1995, 1996, 1997), (1997, 1998, 1999), (1999, 2000, 2001)], "p_model", "won")
+    return out.select("race", "saddle", "block", r6("p_model"), "won", r6("p_platt"), r6("p_isotonic"))

@@ -271,3 +271,37 @@ def test_paths_in_blocks_are_paths(spark, width):
             assert np.allclose(got[k, i], (run, peak, peak - run), atol=1e-9)
         assert np.allclose(totals[k], (run, low, high, drop), atol=1e-9)
     assert scans.path_summary(df.limit(0), ["k"], "o", width, "v").count() == 0
+
+
+def test_pooling_in_ranges_is_pooling(spark):
+    """The step curve of ranges that merge equals the min-max formula over all cells."""
+    rng = random.Random(12)
+    rows = [(b, rng.random() ** 2, int(rng.random() < 0.4)) for b in (1, 2) for _ in range(400)] + [(1, None, 1), (2, 0.5, None), (3, 0.25, 1)]
+    df = spark.createDataFrame(rows, "b int, p double, y int")
+    curve = models.isotonic_curve(df, "p", "y", "b", digits=2, ranges=7)
+    steps = {b: sorted((r.low, r.high, r.value) for r in curve.where(F.col("b") == b).collect()) for b in (1, 2, 3)}
+    for b in (1, 2):
+        cells: dict = {}
+        for x, p, y in rows:
+            if x == b and p is not None and y is not None:
+                t, n = cells.get(math.floor(p * 100 + 0.5), (0, 0))
+                cells[math.floor(p * 100 + 0.5)] = (t + y, n + 1)
+        order = sorted(cells)
+        mean = lambda j, k: sum(cells[c][0] for c in order[j : k + 1]) / sum(cells[c][1] for c in order[j : k + 1])
+        for i, c in enumerate(order):
+            want = max(min(mean(j, k) for k in range(i, len(order))) for j in range(i + 1))
+            assert any(lo <= c <= hi and abs(v - want) < 1e-12 for lo, hi, v in steps[b])
+        assert all(x[2] < y[2] for x, y in zip(steps[b], steps[b][1:], strict=False))
+    asked = spark.createDataFrame([(3, 0.0), (3, 0.9), (4, 0.5), (3, None)], "b int, q double")
+    got = models.on_curve(asked, curve, "q", "b", "v", digits=2).collect()
+    assert sorted((str(r.q), r.b, r.v) for r in got) == sorted([("0.0", 3, 1.0), ("0.9", 3, 1.0), ("0.5", 4, None), ("None", 3, None)], key=str)
+
+
+def test_logistic_curves_from_shared_passes(spark):
+    rng = random.Random(1)
+    rows = [(i % 3, p := rng.uniform(0.02, 0.98), int(rng.random() < 1 / (1 + math.exp(-(0.3 + 0.5 * math.log(p / (1 - p))))))) for i in range(6000)]
+    df = spark.createDataFrame(rows, "b int, p double, y int")
+    together = models.fit_platt(df, "p", "y", [F.col("b") <= 0, F.col("b") <= 2, F.lit(False)])
+    assert together[2] == (0.0, 1.0)
+    assert np.allclose(together[0], models.fit_platt(df.where("b = 0"), "p", "y", [F.lit(True)])[0])
+    assert np.allclose(together[1], (0.3, 0.5), atol=0.1)
