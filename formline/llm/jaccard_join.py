@@ -202,11 +202,13 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, levels: int =
         if star.where("not linked").limit(1).count() == 0:
             break
         groups = labels(_all(edges))
-        star = _with_components(star, groups)
+        compared, star = star, materialise(_with_components(star, groups), "placed")
+        release(compared)
         # all of a pivot's linked members are of its component: only near ones of others can add a link to them
         elsewhere = star.where("component <> pivot_component" + ("" if last else " AND near")).select("pivot").distinct()
-        open_stars = star.join(elsewhere, "pivot", "left_semi").drop("component", "pivot_component")
+        open_stars = materialise(star.join(elsewhere, "pivot", "left_semi").drop("component", "pivot_component"), "open")
         edges.append(delta_links(open_stars, percent, groups if last else None))
+        release(open_stars)
         if not last:
             # what isn't linked with a bucket's pivot goes on, unless it is all of one component by now
             apart = met.join(star.where("not linked").select("mid", "pivot", "component"), ["mid", "pivot"]).select("mid", "tok", "component")
@@ -214,6 +216,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, levels: int =
             spread = materialise(apart.join(mixed, "tok", "left_semi").select("mid", "tok"), "rare")
             if spread.limit(1).count() == 0:
                 break
+        release(star)
         release(met)
         sweep(docs.sparkSession)
     named = components(_all(edges)).withColumnRenamed("node", "mid")
