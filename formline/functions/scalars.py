@@ -103,6 +103,29 @@ def surface_of(location: Column) -> Column:
     return F.when(up.contains("ALL WEATHER") | up.contains("DIRT") | up.contains("AWT"), "AWT").when(location.isNotNull(), "TURF")
 
 
+#: Venues by the words that name them.
+VENUE_WORDS = {"happy valley": "HV", "sha tin": "ST"}
+
+
+def venue_of(location: Column) -> Column:
+    """The venue that a location names; null if none."""
+    low, out = F.lower(location), F.lit(None).cast("string")
+    for words, code in reversed(VENUE_WORDS.items()):
+        out = F.when(low.contains(words), code).otherwise(out)
+    return out
+
+
+def track_of(location: Column) -> Column:
+    """ALL WEATHER TRACK or TURF where a location says so; null otherwise."""
+    up = F.upper(location)
+    return F.when(up.contains("ALL WEATHER") | up.contains("AWT"), "ALL WEATHER TRACK").when(up.contains("TURF"), "TURF")
+
+
+def is_turf(surface: Column) -> Column:
+    """1 if a surface's name has turf in it, 0 if not, null without one."""
+    return F.upper(surface).contains("TURF").cast("int")
+
+
 def course_token(raw: Column) -> Column:
     """The course letters inside quotes, such as ``C+3``; null if none."""
     found = F.regexp_extract(raw, r"[\"“']([A-C](?:\s*\+\s*\d)?)[\"”']", 1)

@@ -68,30 +68,55 @@ def flag_days(df: DataFrame, days: DataFrame, day: str, out: str) -> DataFrame:
     return df.join(known, day, "left").withColumn(out, F.coalesce("_on", F.lit(0))).drop("_on")
 
 
-def median_so_far(df: DataFrame, day: str, col: str, out: str, width: float, least: int = 200) -> DataFrame:
-    """Fills nulls of ``col`` with the median of all values of earlier days, 0 with fewer than ``least``.
-
-    Values are counted in cells of ``width``, of which the median's is exact: choose it so that values stand on it. Days
-    are counted by cell first; running counts then have a row per day and cell, and none per row.
+def _split_cells(values: DataFrame, asked: DataFrame, day: str, fan: int) -> tuple[DataFrame, DataFrame]:
+    """One step of ``median_so_far``: cells of values cut into at most ``fan`` + 2 parts, and each rank moved to the part that it falls in."""
+    points = F.array(*(F.lit(i / fan) for i in range(1, fan)))
+    edges = values.groupBy("_cell").agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.percentile_approx("_v", points, 10_000).alias("_at"))
+    edges = edges.select("_cell", F.array_sort(F.array_distinct(F.concat(F.array("_low", "_high"), "_at"))).alias("_edges"))
+    values = values.join(edges, "_cell").withColumn("_sub", F.size(F.filter("_edges", lambda e: e < F.col("_v")))).drop("_edges")
+    counts = values.groupBy("_cell", "_sub", day).agg(F.sum("_n").alias("_n")).withColumn("_ask", F.lit(None).cast("int"))
+    wanted = asked.join(edges, "_cell").select("_cell", F.explode(F.sequence(F.lit(0), F.size("_edges") - 1)).alias("_sub"), day, F.lit(0).cast("long").alias("_n"), "_ask", "_k")
+    both = counts.withColumn("_k", F.lit(None).cast("long")).unionByName(wanted)
+    before = Window.partitionBy("_cell", "_sub").orderBy(F.col(day), F.col("_ask").isNull(), "_ask").rowsBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("_c", F.coalesce(F.sum("_n").over(before), F.lit(0))).where("_ask IS NOT NULL")
+    upto = F.sum("_c").over(Window.partitionBy(day, "_ask").orderBy("_sub"))
+    found = found.withColumn("_upto", upto).where("_upto >= _k AND _upto - _c < _k")
+    place = F.concat_ws(".", "_cell", F.col("_sub").cast("string"))
+    asked = found.select(place.alias("_cell"), day, "_ask", (F.col("_k") - F.col("_upto") + F.col("_c")).alias("_k"))
+    return values.withColumn("_cell", place).drop("_sub"), asked
+
+
+def median_so_far(df: DataFrame, day: str, col: str, out: str, width: float | None = None, least: int = 200, fan: int = 64) -> DataFrame:
+    """Fills nulls of ``col`` with the exact median of all values of earlier days, 0 with fewer than ``least``.
+
+    Every day asks for the two middle ranks of the values before it. Values are summed by day and value, and cut into
+    cells by quantiles; running counts per cell and day, of cells that hold a rank, tell which cell it falls in, and
+    that one is cut again, until it holds one value. A step makes a row per day and cell of a fixed number of them, so
+    neither the range of the values nor an outlier counts, and the steps follow the logarithm of the distinct values.
+    With ``width`` values are taken to its multiples first. NaN counts as null.
     """
-    cell = F.round(F.col(col).cast("double") / width).cast("long")
-    per = df.where(F.col(col).isNotNull()).groupBy(day, cell.alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
-    per = per.groupBy(day).agg(F.map_from_entries(F.collect_list(F.struct("_c", "_n"))).alias("_day"))  # as many as cells
-    low, high = df.agg(F.min(cell), F.max(cell)).first()
-    days = df.select(day).distinct().join(per, day, "left")
-    if low is None:
-        return df.withColumn(out, F.lit(0.0))
-    cells = days.select(day, F.explode(F.sequence(F.lit(low), F.lit(high))).alias("_c"), "_day")
-    cells = cells.select(day, "_c", F.coalesce(F.try_element_at("_day", F.col("_c")), F.lit(0)).alias("_n"))
-    before = Window.partitionBy("_c").orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("_n", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    upto = F.sum("_n").over(Window.partitionBy(day).orderBy("_c"))
-    cells = cells.withColumn("_upto", upto).withColumn("_all", F.sum("_n").over(Window.partitionBy(day)))
-    lower = F.min(F.when(F.col("_upto") >= F.floor((F.col("_all") + 1) / 2), F.col("_c")))
-    upper = F.min(F.when(F.col("_upto") >= F.floor(F.col("_all") / 2) + 1, F.col("_c")))
-    fills = cells.groupBy(day).agg(((lower + upper) / 2 * width).alias("_fill"), F.max("_all").alias("_seen"))
-    fill = F.when(F.col("_seen") >= least, F.col("_fill")).otherwise(0.0)
-    return df.join(fills, day, "left").withColumn(out, F.coalesce(F.col(col).cast("double"), fill, F.lit(0.0))).drop("_fill", "_seen")
+    v = F.col(col).cast("double")
+    v = F.when(~F.isnan(v), v)
+    df = df.withColumn("_x", v if width is None else F.round(v / width) * width)
+    values = df.where("_x IS NOT NULL").groupBy(day, F.col("_x").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    values = values.withColumn("_cell", F.lit("0"))
+    per = df.groupBy(day).agg(F.count("_x").alias("_n"))
+    seen = per.select(day, F.coalesce(F.sum("_n").over(Window.orderBy(day).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_seen"))  # a row per day
+    ranks = F.array(F.struct(F.lit(0).alias("_ask"), F.floor((F.col("_seen") + 1) / 2).cast("long").alias("_k")), F.struct(F.lit(1).alias("_ask"), (F.floor(F.col("_seen") / 2) + 1).cast("long").alias("_k")))
+    asked = seen.where(F.col("_seen") >= max(least, 1)).select(day, F.explode(ranks).alias("_r")).select(F.lit("0").alias("_cell"), day, "_r._ask", "_r._k").persist()
+    held, fills = [asked], []
+    while asked.limit(1).count():
+        values = values.join(asked.select("_cell").distinct(), "_cell", "left_semi").persist()
+        single = values.groupBy("_cell").agg(F.min("_v").alias("_low"), F.max("_v").alias("_high")).where("_low = _high").select("_cell", F.col("_low").alias("_fill"))
+        fills += asked.join(single, "_cell").select(day, "_fill").collect()  # two rows per day in all
+        held += [values]
+        values, asked = _split_cells(values, asked.join(single, "_cell", "left_anti"), day, fan)
+        asked = asked.persist()
+        held += [asked]
+    for t in held:
+        t.unpersist()
+    table = df.sparkSession.createDataFrame(fills, f"{day} {df.schema[day].dataType.simpleString()}, _fill double").groupBy(day).agg(F.avg("_fill").alias("_fill"))
+    return df.join(table, day, "left").withColumn(out, F.coalesce("_x", "_fill", F.lit(0.0))).drop("_fill", "_x")
 
 
 def coverage_by_period(events: DataFrame, covered: DataFrame, key: Sequence[str], period: Column) -> DataFrame:

@@ -123,7 +123,7 @@ def auc(df: DataFrame, p: str, y: str, by: Sequence[str] = (), ranges: int = 256
 POISSON = (24109, 48218, 60273, 64291, 65296, 65497, 65530)
 
 
-def block_bootstrap(df: DataFrame, block: str, num: str, den: str, replicates: int = 1000, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
+def block_bootstrap(df: DataFrame, block: str, num: str, den: str, replicates: int = 1000, seed: int = 0, by: Sequence[str] = (), low: float = 0.025, high: float = 0.975) -> DataFrame:
     """Percentile interval of sum(num) / sum(den) over replicates in which each block counts a random number of times.
 
     Rows are summed per block. A block's counts are Poisson draws of mean 1, read from four hex digits each of the MD5
@@ -139,7 +139,7 @@ def block_bootstrap(df: DataFrame, block: str, num: str, den: str, replicates: i
     sums = draws.groupBy(*by, "_r").agg(F.sum(F.col("_w") * F.col("_num")).alias("_n"), F.sum(F.col("_w") * F.col("_den")).alias("_d")).where("_d > 0")
     ratio = sums.withColumn("_ratio", F.col("_n") / F.col("_d"))
     return ratio.groupBy(*by).agg(
-        F.percentile("_ratio", 0.025).alias("lo"), F.percentile("_ratio", 0.975).alias("hi"), F.avg((F.col("_ratio") > 0).cast("double")).alias("share_positive"),
+        F.percentile("_ratio", low).alias("lo"), F.percentile("_ratio", high).alias("hi"), F.avg((F.col("_ratio") > 0).cast("double")).alias("share_positive"),
     ).withColumn("crosses_zero", (F.col("lo") <= 0) & (F.col("hi") >= 0))
 
 

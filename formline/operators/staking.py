@@ -81,13 +81,12 @@ def policy_grid(parts: Sequence[float] = (0.05, 0.10, 0.25, 0.50), flat: float =
     return grid
 
 
-def stake_sweep(df: DataFrame, race: Sequence[str], day: str, p: str, price: str, won: str, tie: str, grid: Sequence[Policy], banks: Sequence[float], threshold: float = 0.05) -> DataFrame:
-    """One row per policy and bank: bets, staked, profit, return, and the share of desired stakes lost to rounding.
+def swept_stakes(df: DataFrame, race: Sequence[str], day: str, p: str, price: str, won: str, tie: str, grid: Sequence[Policy], banks: Sequence[float], threshold: float = 0.05) -> DataFrame:
+    """(day, price, won, policy, bank, desired, stake): every bet of every policy and bank, stakes as they would be placed.
 
-    Banks are fixed, so every policy and bank is settled in one pass. Under fixed banks a stake and its caps are shares
-    of the bank, the same for all banks but where a policy stakes flat cash; each share is a column, the race's and the
-    day's sums of all columns are found over one sort each, and only settled stakes become rows, which are summed
-    before they are sent. Desired stakes count to a millionth.
+    Under fixed banks a stake and its caps are shares of the bank, the same for all banks but where a policy stakes flat
+    cash; each share is a column, the race's and the day's sums of all columns are found over one sort each, and only
+    settled stakes become rows. Desired stakes count to a millionth.
     """
     gate = payout.clears(F.col(p), F.col(price), threshold)
     df = kelly_exclusive(df, race, p, price, tie, "_x", gate).withColumn("_k", F.when(gate, payout.kelly(F.col(p), F.col(price))).otherwise(0.0)).where(gate)
@@ -106,7 +105,15 @@ def stake_sweep(df: DataFrame, race: Sequence[str], day: str, p: str, price: str
         df = df.withColumns({f"_t{c}": F.sum(c).over(w) for c in names.values()})
         df = df.select(*race, day, price, won, *(F.when(F.col(f"_t{c}") > limit, F.col(c) * limit / F.col(f"_t{c}")).otherwise(F.col(c)).alias(c) for c in names.values()))
     made = F.array(*(F.struct(F.lit(n).alias("policy"), F.lit(b).alias("bank"), F.round(F.col(names[c]) * b, 6).alias("desired")) for n, b, c in cells))
-    df = df.select(price, won, F.explode(made).alias("_c")).select(price, won, "_c.*").withColumn("stake", payout.round_stake(F.col("desired")))
+    return df.select(day, price, won, F.explode(made).alias("_c")).select(day, price, won, "_c.*").withColumn("stake", payout.round_stake(F.col("desired")))
+
+
+def stake_sweep(df: DataFrame, race: Sequence[str], day: str, p: str, price: str, won: str, tie: str, grid: Sequence[Policy], banks: Sequence[float], threshold: float = 0.05) -> DataFrame:
+    """One row per policy and bank: bets, staked, profit, return, and the share of desired stakes lost to rounding.
+
+    Banks are fixed, so every policy and bank is settled in one pass; stakes are summed before they are sent.
+    """
+    df = swept_stakes(df, race, day, p, price, won, tie, grid, banks, threshold)
     profit = F.when(F.col(won) > 0, F.col("stake") * (F.col(price) - 1)).otherwise(-F.col("stake"))
     out = df.groupBy("policy", "bank").agg(
         F.sum((F.col("stake") > 0).cast("long")).alias("bets"), F.sum("stake").alias("staked"), F.sum(profit).alias("profit"), F.sum("desired").alias("desired"),
@@ -115,3 +122,9 @@ def stake_sweep(df: DataFrame, race: Sequence[str], day: str, p: str, price: str
         "roi": F.when(F.col("staked") > 0, F.col("profit") / F.col("staked")).otherwise(0.0),
         "lost_to_rounding": F.when(F.col("desired") > 0, (F.col("desired") - F.col("staked")) / F.col("desired")).otherwise(0.0),
     })
+
+
+def rebate_days(stakes: DataFrame, day: str, won: str, rate: float = 0.10, threshold: float = 10_000.0) -> DataFrame:
+    """(policy, bank, days, rebate_days, credit) of swept stakes: days with bets, days whose losing turnover passes the threshold, and the credit on what lies above."""
+    per = rebates(stakes.where("stake > 0"), ["policy", "bank", day], "stake", won, rate, threshold)
+    return per.groupBy("policy", "bank").agg(F.count(F.lit(1)).alias("days"), F.sum(F.col("triggered").cast("long")).alias("rebate_days"), F.sum("credit").alias("credit"))

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from formline.functions import scalars
+
 Keys = str | Sequence[str]
 
 
@@ -175,6 +177,12 @@ def trial_metrics(df: DataFrame, batch: Keys, time: str, result: Column, easy: C
     }).drop("_n", "_r", "_b")
 
 
+def position_ratio(df: DataFrame, batch: Keys, positions: str, last: str, out: str) -> DataFrame:
+    """Adds the last of a side event's running positions and its share of the batch's size; null where it is no number."""
+    df = df.withColumn(last, scalars.last_position(F.col(positions)))
+    return df.withColumn(out, F.col(last) / F.count(F.lit(1)).over(Window.partitionBy(*_list(batch))))
+
+
 def ntile_ranged(df: DataFrame, by: Keys, value: str, tie: str, last: str, n: int, out: str, ranges: int = 64) -> DataFrame:
     """Adds the ``n``-tile of each row in its group's order by ``value``, ``tie`` and ``last``, as ``ntile`` would give it.
 
