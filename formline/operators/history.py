@@ -103,19 +103,23 @@ def median_so_far(df: DataFrame, day: str, col: str, out: str, width: float | No
     per = df.groupBy(day).agg(F.count("_x").alias("_n"))
     seen = per.select(day, F.coalesce(F.sum("_n").over(Window.orderBy(day).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_seen"))  # a row per day
     ranks = F.array(F.struct(F.lit(0).alias("_ask"), F.floor((F.col("_seen") + 1) / 2).cast("long").alias("_k")), F.struct(F.lit(1).alias("_ask"), (F.floor(F.col("_seen") / 2) + 1).cast("long").alias("_k")))
-    asked = seen.where(F.col("_seen") >= max(least, 1)).select(day, F.explode(ranks).alias("_r")).select(F.lit("0").alias("_cell"), day, "_r._ask", "_r._k").persist()
-    held, fills = [asked], []
-    while asked.limit(1).count():
-        values = values.join(asked.select("_cell").distinct(), "_cell", "left_semi").persist()
+    asked = seen.where(F.col("_seen") >= max(least, 1)).select(day, F.explode(ranks).alias("_r")).select(F.lit("0").alias("_cell"), day, "_r._ask", "_r._k")
+    spark, kind = df.sparkSession, df.schema[day].dataType.simpleString()
+    held, fills = [], []
+    while rows := asked.collect():  # two per day at most
+        asked = spark.createDataFrame(rows, f"_cell string, {day} {kind}, _ask int, _k long")
+        values = values.join(F.broadcast(asked.select("_cell").distinct()), "_cell", "left_semi").persist()
+        held.append(values)
         single = values.groupBy("_cell").agg(F.min("_v").alias("_low"), F.max("_v").alias("_high")).where("_low = _high").select("_cell", F.col("_low").alias("_fill"))
-        fills += asked.join(single, "_cell").select(day, "_fill").collect()  # two rows per day in all
-        held += [values]
-        values, asked = _split_cells(values, asked.join(single, "_cell", "left_anti"), day, fan)
-        asked = asked.persist()
-        held += [asked]
+        done = {r["_cell"]: r["_fill"] for r in single.collect()}  # of cells that hold a rank: two per day at most
+        fills += [(r[day], done[r["_cell"]]) for r in rows if r["_cell"] in done]
+        rest = [r for r in rows if r["_cell"] not in done]
+        if not rest:
+            break
+        values, asked = _split_cells(values, spark.createDataFrame(rest, asked.schema), day, fan)
     for t in held:
         t.unpersist()
-    table = df.sparkSession.createDataFrame(fills, f"{day} {df.schema[day].dataType.simpleString()}, _fill double").groupBy(day).agg(F.avg("_fill").alias("_fill"))
+    table = spark.createDataFrame(fills, f"{day} {kind}, _fill double").groupBy(day).agg(F.avg("_fill").alias("_fill"))
     return df.join(table, day, "left").withColumn(out, F.coalesce("_x", "_fill", F.lit(0.0))).drop("_fill", "_x")
 
 
