@@ -248,12 +248,11 @@ def param_search(spark: SparkSession, sf_dir: str, last: int | None = None) -> D
 
 
 @query()
-def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log-loss of a grouped model, boosted trees and their ensemble on the last seasons, learnt from the earlier ones."""
-    df = runners(spark, sf_dir).select("race", "saddle", "season", F.col("won").cast("double").alias("won"), *FEATURES)
-    past, now = df.where("season < '2000-01'"), df.where("season >= '2000-01'")
-    logit = models.score_grouped(now, models.fit_grouped_logit(past, ["race"], "won", FEATURES), ["race"])
-    trees = models.scored_by(models.pointwise_gbt(FEATURES, maxIter=5, maxDepth=2).fit(past), now, ["race"])
+def leaderboard(spark: SparkSession, sf_dir: str, last: int | None = 3) -> DataFrame:
+    """Log-loss of a grouped model, boosted trees and their ensemble, each season scored by models of all earlier ones, over the ``last`` seasons."""
+    df = _panel(spark, sf_dir).withColumn("won", F.col("won").cast("double"))
+    logit = models.walk_forward_logits(df, "season", ["race"], "won", {"grouped_logit": (FEATURES, 1e-3)}, last=last).drop("setting")
+    trees = models.walk_forward(df, "season", models.pointwise_gbt(FEATURES).fit, lambda now, m: models.scored_by(m, now, ["race"]), train_only=1, last=last)
     both = models.ensemble([logit, trees], ["race", "saddle", "won"], ["race"])
     out = None
     for name, scored in (("grouped_logit", logit), ("boosted_trees", trees), ("ensemble", both)):
