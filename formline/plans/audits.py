@@ -208,11 +208,14 @@ def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runners(spark, sf_dir).select("race", "saddle", "season", "won", *FEATURES)
 
 
+def _logit(spark: SparkSession, sf_dir: str, last: int | None = None) -> DataFrame:
+    return models.walk_forward_logits(_panel(spark, sf_dir), "season", ["race"], "won", {"grouped_logit": (FEATURES, 1e-3)}, last=last).drop("setting")
+
+
 @query()
 def grouped_logit_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Winning chances of each season by a model of all earlier ones, the models of all seasons fitted together."""
-    df = models.walk_forward_logits(_panel(spark, sf_dir), "season", ["race"], "won", {"all": (FEATURES, 1e-3)})
-    return df.select("season", "race", "saddle", "won", "p_win")
+    return _logit(spark, sf_dir).select("season", "race", "saddle", "won", "p_win")
 
 
 @query()
@@ -250,8 +253,8 @@ def param_search(spark: SparkSession, sf_dir: str, last: int | None = None) -> D
 @query()
 def leaderboard(spark: SparkSession, sf_dir: str, last: int | None = 3) -> DataFrame:
     """Log-loss of a grouped model, boosted trees and their ensemble, each season scored by models of all earlier ones, over the ``last`` seasons."""
+    logit = _logit(spark, sf_dir, last).withColumn("won", F.col("won").cast("double"))
     df = _panel(spark, sf_dir).withColumn("won", F.col("won").cast("double"))
-    logit = models.walk_forward_logits(df, "season", ["race"], "won", {"grouped_logit": (FEATURES, 1e-3)}, last=last).drop("setting")
     trees = models.walk_forward(df, "season", models.pointwise_gbt(FEATURES).fit, lambda now, m: models.scored_by(m, now, ["race"]), train_only=1, last=last)
     both = models.ensemble([logit, trees], ["race", "saddle", "won"], ["race"])
     out = None
