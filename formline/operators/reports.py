@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from formline.operators import scans
+from formline.operators.draws import CHUNK, poisson_counts
 
 
 def bet_summary(df: DataFrame, by: Sequence[str], stake: str, profit: str, won: str | None = None) -> DataFrame:
@@ -119,8 +123,8 @@ def auc(df: DataFrame, p: str, y: str, by: Sequence[str] = (), ranges: int = 256
     return per.groupBy(*by).agg(F.when(total > 0, F.sum("_won") / total).alias("auc"))
 
 
-#: 65,536 times the chance that a Poisson count of mean 1 is at most 0, 1, ... 6.
-POISSON = (24109, 48218, 60273, 64291, 65296, 65497, 65530)
+#: Groups of one partition whose sums per replicate are held at a time.
+HELD_GROUPS = 256
 
 
 def block_bootstrap(df: DataFrame, block: str, num: str, den: str, replicates: int = 1000, seed: int = 0, by: Sequence[str] = (), low: float = 0.025, high: float = 0.975) -> DataFrame:
@@ -128,15 +132,46 @@ def block_bootstrap(df: DataFrame, block: str, num: str, den: str, replicates: i
 
     Rows are summed per block. A block's counts are Poisson draws of mean 1, read from four hex digits each of the MD5
     of seed, eight replicates and block, so any engine can redraw them. Drawing needs no order, number or join of the
-    blocks: each is drawn where it is, and a partition sends one pair of sums per replicate.
+    blocks: each is drawn where it is, a batch of blocks at a time and once for all groups of the batch, and a partition
+    sends one pair of sums per group and replicate.
     """
-    per = df.groupBy(*by, block).agg(F.sum(num).alias("_num"), F.sum(den).alias("_den"))
-    draws = per.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 8))))
-    draws = draws.withColumn("_h", F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("_q").cast("string"), F.col(block).cast("string"))))
-    draws = draws.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("_r", F.col("_q") * 8 + F.col("_j")).where(F.col("_r") < replicates)
-    u = F.conv(F.substring("_h", F.col("_j") * 4 + 1, F.lit(4)), 16, 10).cast("int")
-    draws = draws.withColumn("_u", u).withColumn("_w", sum(((F.col("_u") >= t).cast("int") for t in POISSON[1:]), (F.col("_u") >= POISSON[0]).cast("int")))
-    sums = draws.groupBy(*by, "_r").agg(F.sum(F.col("_w") * F.col("_num")).alias("_n"), F.sum(F.col("_w") * F.col("_den")).alias("_d")).where("_d > 0")
+    per = df.groupBy(*by, block).agg(F.sum(num).cast("double").alias("_num"), F.sum(den).cast("double").alias("_den"))
+    key = F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("")
+    rows = per.select(*by, key.alias("_by"), F.col(block).cast("string").alias("_block"), "_num", "_den")
+    schema = T.StructType([*per.select(*by).schema.fields, T.StructField("_r", T.IntegerType()), T.StructField("_n", T.DoubleType()), T.StructField("_d", T.DoubleType())])
+    names = [*by, "_r", "_n", "_d"]
+
+    def drawn(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        held: dict[str, tuple[list[pa.Array], np.ndarray]] = {}
+
+        def sums() -> Iterable[pa.RecordBatch]:
+            for keys, total in held.values():
+                cells = [k.take(pa.array(np.zeros(replicates, np.int32))) for k in keys]
+                cells += [pa.array(np.arange(replicates, dtype=np.int32)), *(pa.array(total[i], mask=total[2 + i] == 0) for i in range(2))]
+                yield pa.RecordBatch.from_arrays(cells, names=names)
+            held.clear()
+
+        for batch in batches:
+            blocks, groups = batch.column("_block").dictionary_encode("encode"), batch.column("_by").dictionary_encode()
+            which, group = blocks.indices.to_numpy(), groups.indices.to_numpy()
+            values = [(v.is_valid().to_numpy(zero_copy_only=False), v.fill_null(0.0).to_numpy()) for v in (batch.column("_num"), batch.column("_den"))]
+            texts, labels = blocks.dictionary.to_pylist(), groups.dictionary.to_pylist()
+            order = np.lexsort((group, which))
+            for at in range(0, len(texts), CHUNK):
+                counts = poisson_counts(texts[at : at + CHUNK], seed, replicates)
+                mine = order[np.searchsorted(which[order], at) : np.searchsorted(which[order], at + CHUNK)]
+                for g in np.unique(group[mine]):
+                    now = mine[group[mine] == g]
+                    if labels[g] not in held:
+                        held[labels[g]] = [batch.column(k).slice(int(now[0]), 1) for k in by], np.zeros((4, replicates))
+                    total = held[labels[g]][1]
+                    total[:2] += np.stack([v[now] for _, v in values]) @ counts[which[now] - at].astype(float)
+                    total[2:] += [[known[now].any()] for known, _ in values]
+                if len(held) > HELD_GROUPS:
+                    yield from sums()
+        yield from sums()
+
+    sums = rows.mapInArrow(drawn, schema).groupBy(*by, "_r").agg(F.sum("_n").alias("_n"), F.sum("_d").alias("_d")).where("_d > 0")
     ratio = sums.withColumn("_ratio", F.col("_n") / F.col("_d"))
     return ratio.groupBy(*by).agg(
         F.percentile("_ratio", low).alias("lo"), F.percentile("_ratio", high).alias("hi"), F.avg((F.col("_ratio") > 0).cast("double")).alias("share_positive"),

@@ -164,3 +164,27 @@ def test_bootstrap_brackets_the_point(spark):
     df = spark.createDataFrame(rows, "b int, num double, den double")
     r = reports.block_bootstrap(df, "b", "num", "den", 100).first()
     assert r.lo <= 0.5 <= r.hi
+
+
+def test_poisson_counts_equal_the_md5_of_each_text():
+    import hashlib
+
+    from formline.operators import draws
+
+    blocks = [None, "", "7", "123456789", "é", "x" * 45, "x" * 80, *map(str, range(990, 1010))]
+    got = draws.poisson_counts(blocks, 3, 1001)
+    for i, b in enumerate(blocks):
+        for r in (0, 7, 8, 79, 80, 799, 800, 1000):
+            text = f"3-{r // 8}" + ("" if b is None else f"-{b}")
+            u = int(hashlib.md5(text.encode()).hexdigest()[r % 8 * 4 : r % 8 * 4 + 4], 16)
+            assert got[i, r] == sum(u >= t for t in draws.POISSON)
+
+
+def test_bootstrap_draws_blocks_in_batches_and_not_in_rows(spark):
+    rows = [(k, b, float(b % 5) - 1.5 if k != "c" else None, 1.0) for b in range(3000) for k in ("a", None, "c")]
+    df = spark.createDataFrame(rows, "k string, b int, num double, den double")
+    out = reports.block_bootstrap(df, "b", "num", "den", 100, 0, ["k"])
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()  # a row per block and replicate before
+    got = {r.k: r for r in out.collect()}
+    assert set(got) == {"a", None, "c"} and got["a"].lo == pytest.approx(got[None].lo) and got["c"].lo is None
+    assert got["a"].lo < 0.5 < got["a"].hi
