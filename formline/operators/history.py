@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from formline.operators import windows
+from formline.operators import reports, windows
 
 
 def age_at_event(df: DataFrame, keys: windows.Keys, day: str, birth_year: str, origin: str, young: Sequence[str], ages: tuple[int, int] = (3, 4)) -> DataFrame:
@@ -155,12 +155,9 @@ def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
 
 
 def clean_prices(df: DataFrame, price: str, needed: Sequence[str], fill: Sequence[str]) -> DataFrame:
-    """Rows with a valid price and all that is ``needed``; nulls of ``fill`` become their column's median over these rows.
-
-    The medians are exact to a hundredth of a percent of ranks.
-    """
+    """Rows with a valid price and all that is ``needed``; nulls of ``fill`` become their column's exact median over these rows, the lower of two."""
     ok = df.where(F.col(price) > 1).dropna(subset=list(needed))
-    mids = ok.agg(*(F.percentile_approx(F.col(c).cast("double"), 0.5, 10_000).alias(c) for c in fill)).first()
+    mids = reports.medians(ok, {c: F.col(c) for c in fill}).first()
     return ok.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(mids[c])) for c in fill})
 
 

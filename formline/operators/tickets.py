@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,10 +93,12 @@ def group_then_mean(df: DataFrame, group: Sequence[str], stake: str, profit: str
 
 
 def payout_ratio(df: DataFrame, actual: str, theoretical: str, won: str, by: Sequence[str] = ()) -> DataFrame:
-    """Medians of the payouts of won bets, of their theoretical prices and of the two's ratio, to a hundredth of a percent of ranks."""
+    """Medians of the payouts of won bets, of their theoretical prices and of the two's ratio, the lower of two middles."""
     rows = df.where((F.col(won) > 0) & (F.col(actual) > 0) & (F.col(theoretical) > 0)).withColumn("_q", F.col(actual) / 10 / F.col(theoretical))
-    mid = lambda c, n: F.percentile_approx(c, 0.5, 10_000).alias(n)
-    return rows.groupBy(*by).agg(mid(F.col(actual) / 10, "actual"), mid(theoretical, "theoretical"), mid("_q", "ratio"), F.count(F.lit(1)).alias("n"))
+    n = rows.groupBy(*(F.col(k).alias(f"_g{i}") for i, k in enumerate(by))).agg(F.count(F.lit(1)).alias("n"))
+    mids = reports.medians(rows, {"actual": F.col(actual) / 10, "theoretical": F.col(theoretical), "ratio": F.col("_q")}, by)
+    on = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(by)), F.lit(True))
+    return mids.join(n, on).select(*mids.columns, "n")
 
 
 def uniform_baseline(df: DataFrame, group: str, p: str, won: str, thresholds: Sequence[float], stake: float = 10.0, by: Sequence[str] = ()) -> DataFrame:

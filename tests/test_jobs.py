@@ -188,3 +188,17 @@ def test_bootstrap_draws_blocks_in_batches_and_not_in_rows(spark):
     got = {r.k: r for r in out.collect()}
     assert set(got) == {"a", None, "c"} and got["a"].lo == pytest.approx(got[None].lo) and got["c"].lo is None
     assert got["a"].lo < 0.5 < got["a"].hi
+
+
+def test_medians_are_exact_in_long_columns(spark):
+    from formline.operators import history
+
+    n = 1_000_001
+    df = spark.range(n).select((F.pmod(F.xxhash64("id"), F.lit(10**9)) + F.col("id") / n).alias("v"), (F.col("id") % 2).alias("k"))
+    want = {k: vs[(len(vs) - 1) // 2] for k, vs in ((k, sorted(r.v for r in df.where(F.col("k") == k).collect())) for k in (0, 1))}
+    assert {r.k: r.m for r in reports.medians(df, {"m": F.col("v")}, ["k"]).collect()} == want
+    every = sorted(r.v for r in df.select("v").collect())
+    rows = df.select(F.lit(2.0).alias("p"), F.lit(1).alias("j"), "v").union(spark.createDataFrame([(2.0, 1, None), (1.0, 1, 5.0)], "p double, j int, v double"))
+    filled = history.clean_prices(rows, "p", ["j"], ["v"])
+    assert filled.count() == n + 1 and filled.where(F.col("v") == every[(n - 1) // 2]).count() == 2
+    assert reports.medians(df.where("k > 5"), {"m": F.col("v")}).first().m is None
