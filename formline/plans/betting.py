@@ -281,7 +281,7 @@ STAKES = EXCLUSIVE + """, a AS (SELECT *, 0.25 * fraction * 100000.0 AS s0 FROM
 
 def _stakes(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _exclusive(spark, sf_dir).withColumn("stake", 0.25 * F.col("fraction") * 100_000.0)
-    df = staking.cap(staking.cap(df, ["race"], "stake", 10_000.0), ["race_date"], "stake", 25_000.0)
+    df = staking.cap_days(staking.cap(df, ["race"], "stake", 10_000.0), "race_date", "stake", 25_000.0)
     return df.withColumn("desired", F.round("stake", 6)).withColumn("stake", payout.round_stake(F.col("desired")))
 
 

@@ -146,5 +146,5 @@ def trial_position(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT policy, bank, count(*) AS days, CAST(sum(CASE WHEN losing > 500 THEN 1 ELSE 0 END) AS BIGINT) AS rebate_days, round(sum(0.1 * greatest(losing - 500, 0.0)), 2) AS credit FROM y GROUP BY policy, bank""")
 def rebate_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per policy and bank the days with bets, those whose losing turnover passes the threshold, and the credit."""
-    stakes = staking.swept_stakes(priced(spark, sf_dir), ["race"], "race_date", "p_blend", "win_odds", "won", "saddle", GRID, BANKS)
-    return staking.rebate_days(stakes, "race_date", "won", 0.10, 500.0).select("policy", "bank", "days", "rebate_days", F.round("credit", 2).alias("credit"))
+    out = staking.rebate_days(priced(spark, sf_dir), ["race"], "race_date", "p_blend", "win_odds", "won", "saddle", GRID, BANKS, 0.10, 500.0)
+    return out.select("policy", "bank", "days", "rebate_days", F.round("credit", 2).alias("credit"))

@@ -202,3 +202,13 @@ def test_medians_are_exact_in_long_columns(spark):
     filled = history.clean_prices(rows, "p", ["j"], ["v"])
     assert filled.count() == n + 1 and filled.where(F.col("v") == every[(n - 1) // 2]).count() == 2
     assert reports.medians(df.where("k > 5"), {"m": F.col("v")}).first().m is None
+
+
+@pytest.mark.parametrize("name", ["stake_sweep", "rebate_days", "quarter_stake_report"])
+def test_no_task_holds_a_day_of_bets(spark, name):
+    from formline.plans.catalog import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line.split("windowspecdefinition(")[1].split(", specifiedwindowframe")[0] for line in plan.splitlines() if " Window [" in line]
+    assert windows and not any("race_date" in w for w in windows)
+    assert "Generate" not in plan  # no row per bet, policy and bank
