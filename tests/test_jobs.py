@@ -212,3 +212,31 @@ def test_no_task_holds_a_day_of_bets(spark, name):
     windows = [line.split("windowspecdefinition(")[1].split(", specifiedwindowframe")[0] for line in plan.splitlines() if " Window [" in line]
     assert windows and not any("race_date" in w for w in windows)
     assert "Generate" not in plan  # no row per bet, policy and bank
+
+
+def test_fits_over_the_same_rows_are_summed_together():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x, g = rng.normal(size=(500, 4)) * [1, 50, 0.01, 3] + [5, 1e4, 0, -2], np.sort(rng.integers(0, 90, 500))
+    y = (rng.random(500) < 0.3).astype(float)
+    fits = [(c, np.array([[0.0] * len(c), [3.0] * len(c), [2.0 + i] * len(c)]), rng.normal(size=len(c)) * 0.1) for i, c in enumerate(([0, 1, 2, 3], [3, 0], [2]))]
+    for gaps in (False, True):
+        if gaps:
+            x[7, 0] = np.nan
+        got = models._sums_together(x, y, g, fits)
+        for (c, s, b), sums in zip(fits, got, strict=True):
+            want = models._group_sums((np.where(np.isnan(x[:, c]), s[0], x[:, c]) - s[1]) / s[2], y, g, b)
+            assert np.allclose(sums, want, rtol=1e-9, atol=1e-9)
+
+
+def test_folds_are_described_once_for_all_penalties(spark):
+    rows = [(s, g, i, float(i % 3), float((g * 7 + i) % 5), int(i == g % 3)) for s in range(3) for g in range(s * 50, s * 50 + 50) for i in range(4)]
+    df = spark.createDataFrame(rows, "s int, g int, i int, a double, b double, won int")
+    earlier = [F.col("s") < s for s in (1, 2)]
+    specs = [models.LogitSpec(("a", "b"), l2, e) for e in earlier for l2 in (1e-3, 1.0, 10.0)]
+    sets, which = models._row_sets(specs)
+    assert len(sets) == 2 and which == [0, 0, 0, 1, 1, 1]
+    alone = [models.fit_grouped_logit(df.where(f"s < {s}"), ["g"], "won", ["a", "b"], l2) for s in (1, 2) for l2 in (1e-3, 1.0, 10.0)]
+    for got, want in zip(models.fit_grouped_logits(df, ["g"], "won", specs), alone, strict=True):
+        assert got.beta == pytest.approx(want.beta, abs=1e-7) and got.error == pytest.approx(want.error, rel=1e-6)
