@@ -76,7 +76,8 @@ def _n(by: str) -> str:
 def connection_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = runners(spark, sf_dir).withColumn("code", F.when(F.col("draw") % 2 == 0, F.concat(F.lit("T"), F.expr("substr(trainer, 7)"))))
     df = joins.canonical_key(df, "trainer", "code", "trainer_key")
-    df = windows.prior_rate(windows.prior_rate(df, "jockey", "ord", "won", "jockey_win_rate"), "trainer_key", "ord", "won", "trainer_win_rate")
+    df = windows.prior_rate(df, "jockey", "ord", "won", "jockey_win_rate")
+    df = scans.prior_rate(df, ["trainer_key"], "ord", DAY, "won", "trainer_win_rate")
     return df.select(*KEY, r6("jockey_win_rate"), F.col("jockey_win_rate_n").alias("jockey_runs_prior"), "trainer_key", r6("trainer_win_rate"), F.col("trainer_win_rate_n").alias("trainer_runs_prior"))
 
 
@@ -87,7 +88,7 @@ def connection_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def class_drop_trainer(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = windows.lagged(runners(spark, sf_dir), "horse", ["ord", "saddle"], ["race_class"])
     df = df.withColumn("is_drop", F.coalesce((F.col("race_class") - F.col("prev_race_class") > 0).cast("int"), F.lit(0)))
-    df = windows.prior_rate(df, "trainer", "ord", "won", "drop_rate", when=F.col("is_drop") == 1)
+    df = scans.prior_rate(df.select(*KEY, "trainer", "ord", "won", "is_drop"), ["trainer"], "ord", DAY, "won", "drop_rate", F.col("is_drop") == 1)
     return df.select(*KEY, "is_drop", F.round(F.col("is_drop") * F.coalesce("drop_rate", F.lit(0.0)), 6).alias("drop_x_trsr"))
 
 
