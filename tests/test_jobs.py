@@ -240,3 +240,22 @@ def test_folds_are_described_once_for_all_penalties(spark):
     alone = [models.fit_grouped_logit(df.where(f"s < {s}"), ["g"], "won", ["a", "b"], l2) for s in (1, 2) for l2 in (1e-3, 1.0, 10.0)]
     for got, want in zip(models.fit_grouped_logits(df, ["g"], "won", specs), alone, strict=True):
         assert got.beta == pytest.approx(want.beta, abs=1e-7) and got.error == pytest.approx(want.error, rel=1e-6)
+
+
+def test_temperatures_are_columns(spark):
+    rows = [(g, (i + 1) / 10, int(i == g % 4)) for g in range(40) for i in range(4)]
+    out = models.temperature_losses(spark.createDataFrame(rows, "g int, p double, won int"), ["g"], "p", "won", [0.5, 1.0])
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString().split("Window")[-1]
+    import math
+
+    want = {t: sum(-math.log(((g % 4 + 1) / 10) ** (1 / t) / sum(((i + 1) / 10) ** (1 / t) for i in range(4))) for g in range(40)) / 40 for t in (0.5, 1.0)}
+    assert {r.temperature: pytest.approx(r.log_loss) for r in out.collect()} == want
+
+
+@pytest.mark.parametrize("name,key", [("class_drop_trainer", "trainer"), ("connection_rates", "trainer_key")])
+def test_no_task_orders_all_of_a_trainers_runs(spark, name, key):
+    from formline.plans.catalog import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    keyed = [line.split("windowspecdefinition(")[1] for line in plan.splitlines() if " Window [" in line and f"windowspecdefinition({key}#" in line]
+    assert keyed and all(line.split(", ")[1].startswith("_block#") for line in keyed)
