@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from formline.operators import history, joins, text, windows
 from formline.plans.features import EVENTS_SQL, HORSE, KEY, PACE_SQL, SUMMARY_SQL, W, _events, pace_table, r6, split_table
-from formline.plans.spine import runners, table
+from formline.plans.spine import runners, table, tasks
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -206,7 +206,7 @@ def restored_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Missing dates from another table by a key of several columns, its first date where it has several."""
     df = runners(spark, sf_dir)
     lost = df.withColumn("race_date", F.when(F.col("draw") % 2 == 0, F.col("race_date")))
-    return joins.fill_from(lost, df, ["horse", "draw", "win_odds", "finish_pos"], "race_date").select(*KEY, "race_date")
+    return joins.fill_from(lost, df, ["horse", "draw", "win_odds", "finish_pos"], "race_date", tasks(spark, sf_dir)).select(*KEY, "race_date")
 
 
 @query("""WITH p AS (SELECT user_id, arg_max(1 + value, ts) AS odds FROM events WHERE event_type = 'view' GROUP BY 1) SELECT e.event_id, p.odds AS live_odds, CASE WHEN p.odds IS NULL THEN 1 ELSE 0 END AS unpriced FROM events e LEFT JOIN p USING (user_id) WHERE event_type = 'purchase'""")

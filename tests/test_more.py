@@ -219,3 +219,11 @@ def test_named_sets_of_columns():
     assert history.drop_sets(["a", "b", "c"], {"A": ["b"], "B": []}) == {"A": ["a", "c"], "B": ["a", "b", "c"]}
     with pytest.raises(ValueError, match="not there"):
         history.drop_sets(["a"], {"A": ["z"]})
+
+
+def test_fills_from_a_source_go_to_the_tasks_asked(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, "b", 5), (3, "c", None), (4, None, None)], "id int, k string, v int")
+    source = spark.createDataFrame([("a", 9), ("a", 7), ("b", 1), (None, 3)], "k string, v int")
+    got = joins.fill_from(df, source, ["k"], "v", tasks=7)
+    assert {r.id: r.v for r in got.collect()} == {1: 7, 2: 5, 3: None, 4: None}
+    assert "hashpartitioning(k" in (plan := got._jdf.queryExecution().executedPlan().toString()) and ", 7), REPARTITION_BY_NUM" in plan
