@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from formline.operators.joins import dealt
 from formline.operators.quality import guard_columns
 
 
@@ -45,10 +46,12 @@ def _reduced(p: Part) -> DataFrame:
     return one.select(*p.on, f"_n_{p.name}", *(F.col(f"_one.{c}").alias(c) for c in p.cols), *([F.col("_one._d").alias(f"_d_{p.name}")] if p.day else []))
 
 
-def matched(base: DataFrame, key: Sequence[str], day: str, parts: Sequence[Part]) -> DataFrame:
+def matched(base: DataFrame, key: Sequence[str], day: str, parts: Sequence[Part], tasks: int | None = None) -> DataFrame:
     """The base full-joined with every part, one row of it per key, and marks: in the base, repeats, days.
 
-    A part's column may not be one that the base or another part has, other than its key.
+    A part's column may not be one that the base or another part has, other than its key. Only rows of the base with a
+    whole key meet a part. All others, as keys that an earlier part lost, pass by it spread over the tasks, of which
+    there are ``tasks`` if that is given.
     """
     taken = set(base.columns)
     for p in parts:
@@ -57,8 +60,14 @@ def matched(base: DataFrame, key: Sequence[str], day: str, parts: Sequence[Part]
             raise ValueError(f"{p.name} gives columns that are there already: {clash}")
         taken |= set(p.cols)
     df = base.withColumn("_in", F.lit(True)).join(base.groupBy(*key).agg(F.count(F.lit(1)).alias("_copies")), list(key), "left")
+    named = list(dict.fromkeys([*key, *(c for p in parts for c in p.on)]))
     for p in parts:
-        df = df.join(_reduced(p), list(p.on), "full")
+        asks = F.expr(" AND ".join(["_in IS NOT NULL", *(f"{c} IS NOT NULL" for c in p.on)]))
+        by = F.xxhash64(*(c for c in named if c in df.columns))
+        left = df.withColumn("_at", F.when(asks, F.lit(1).cast("long")).otherwise(-F.pmod(by, F.lit(1_000_000))))
+        right = _reduced(p).withColumn("_at", F.least(F.col(f"_n_{p.name}"), F.lit(1).cast("long")))
+        on = [*p.on, "_at"]
+        df = dealt(left, on, tasks).join(dealt(right, on, tasks), on, "full").drop("_at")
     return df.withColumn("_day", F.col(day).cast("date"))
 
 

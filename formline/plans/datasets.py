@@ -9,7 +9,7 @@ from formline.functions import scalars
 from formline.operators import assembly, joins, reports, staking, windows
 from formline.plans.betting import BANKS, EV, EXCLUSIVE, GRID, GRID_SQL, settled
 from formline.plans.features import HORSE, KEY, W, r6
-from formline.plans.spine import priced, runners, table
+from formline.plans.spine import priced, runners, table, tasks
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -49,7 +49,7 @@ def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[assembly.P
 def training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels with the columns of three feature tables, a row per runner whatever the tables lack."""
     base, parts = _parts(spark, sf_dir)
-    rows = assembly.training_rows(assembly.matched(base, ["race", "saddle"], "race_date", parts), base, parts)
+    rows = assembly.training_rows(assembly.matched(base, ["race", "saddle"], "race_date", parts, tasks(spark, sf_dir)), base, parts)
     return rows.select("race", "saddle", "won", "card_weight", "rides", r6("strike"), "note")
 
 
@@ -59,7 +59,7 @@ def training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 def training_set_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the joins of ``training_set`` match, miss, repeat, bring too late and lose; as it stands, its late notes would be refused."""
     base, parts = _parts(spark, sf_dir)
-    return assembly.report(assembly.matched(base, ["race", "saddle"], "race_date", parts), parts)
+    return assembly.report(assembly.matched(base, ["race", "saddle"], "race_date", parts, tasks(spark, sf_dir)), parts)
 
 
 @query(EV + """, g AS (SELECT *, round(p_model / p_market, 9) AS ratio FROM e), b AS (SELECT *, CASE WHEN ratio >= 2.5 THEN 7 WHEN ratio >= 1.6 THEN 6 WHEN ratio >= 1.25 THEN 5 WHEN ratio >= 1.05 THEN 4 WHEN ratio >= 0.95 THEN 3 WHEN ratio >= 0.8 THEN 2 WHEN ratio >= 0.6 THEN 1 WHEN ratio >= 0 THEN 0 END AS bucket FROM g),

@@ -70,3 +70,22 @@ def test_repeated_base_keys_and_outcomes_are_refused(spark, base, tmp_path):
 def test_assembly_of_nothing(spark, base, tmp_path):
     got = build(base.limit(0), Part("card", features(spark, []), ["race", "saddle"], ["w"], "known", 1.0, 0.0), f"{tmp_path}/set")
     assert set(got.values()) == {0} and spark.read.parquet(f"{tmp_path}/set").count() == 0
+
+
+def test_keys_that_one_part_lost_meet_no_other_part(spark, base):
+    """A lost entry of a race that has run neither takes the race's row nor counts it as lost."""
+    card = features(spark, GOOD + [(1, s, 1.0, "2020-01-01") for s in range(50, 60)])
+    going = spark.createDataFrame([(r, "G") for r in range(5)] + [(9, "F")], "race int, going string")
+    parts = [Part("card", card, ["race", "saddle"], ["w"], "known"), Part("going", going, ["race"], ["going"])]
+    for tasks in (None, 3):
+        got = {r.part: (r.matched, r.missing, r.lost) for r in assembly.report(assembly.matched(base, ["race", "saddle"], "d", parts, tasks), parts).collect()}
+        assert got == {"card": (20, 0, 10), "going": (20, 0, 1)}
+
+
+def test_lost_keys_are_spread_over_the_tasks(spark, base):
+    """Keys without a jockey don't all go to the one task of null jockeys."""
+    card = spark.range(1000).selectExpr("100 + id AS race", "1 AS saddle", "1.0 AS w")
+    record = spark.createDataFrame([("j0", 7)], "jockey string, rides int")
+    parts = [Part("card", card, ["race", "saddle"], ["w"]), Part("record", record, ["jockey"], ["rides"])]
+    held = assembly.matched(base, ["race", "saddle"], "d", parts, 8).where("_in IS NULL").groupBy(F.spark_partition_id()).count().collect()
+    assert len(held) == 8 and max(r["count"] for r in held) < 400
