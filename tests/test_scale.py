@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from formline.operators import joins, models, scans, text, windows
-from formline.plans import spine
+from formline.plans import audits, spine
 
 
 @pytest.fixture(scope="module")
@@ -335,3 +335,10 @@ def test_tasks_follow_the_lines(spark, monkeypatch):
     plan = spine.runners(spark, where)._jdf.queryExecution().executedPlan().toString()
     dealt = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line and "plan_id" in line and "l_orderkey" in line.split("hashpartitioning(")[1].split(")")[0]]
     assert dealt and all(f", {n})" in line for line in dealt) and "hashpartitioning(race" not in plan
+
+
+def test_leaderboard_reads_what_it_has_written(spark):
+    """The losses read the members' written chances; no plan goes back to the lines."""
+    plan = audits.leaderboard(spark, "/root/testdata/sf0.001", 1)._jdf.queryExecution().optimizedPlan()
+    read = [str(plan.collectLeaves().apply(i).toString()) for i in range(plan.collectLeaves().size())]
+    assert read and not any("l_orderkey" in r for r in read)
