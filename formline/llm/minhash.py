@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from formline.llm.arrow_words import hash_words, pieces, split_words
-from formline.llm.common import components, join_groups, materialise, release, ship, sweep
+from formline.llm.common import components, join_groups, join_sized, labels, materialise, release, ship, sweep
 
 ship(__name__)
 
@@ -18,6 +18,8 @@ _NARROW = (np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
 _STEP = 0x9E3779B97F4A7C15
 #: Members of a pivot that meet one copy of its text.
 PART_MEMBERS = 200
+#: Rows of buckets that are few enough for their members to be compared with each other at once, as at the last level.
+FEW_ROWS = 20_000
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -153,7 +155,7 @@ def delta_links(star: DataFrame, percent: int, groups: DataFrame | None) -> Data
     star = star.where("near" if not last else "true")
     per = star.groupBy("pivot").agg(F.max("n").alias("widest"), F.count(F.lit(1)).alias("members"), F.min("linked").alias("closed"))
     per = materialise(per.where("not closed").drop("closed"), "pivots")
-    star = join_groups(star, per, "pivot", "members").withColumn("nd", F.size("delta").cast("long"))
+    star = join_sized(star, per, "pivot", "members").withColumn("nd", F.size("delta").cast("long"))
     if last:
         star = star.join(groups, "mid", "left").withColumn("component", F.coalesce("component", "mid"))
     else:
@@ -162,7 +164,7 @@ def delta_links(star: DataFrame, percent: int, groups: DataFrame | None) -> Data
     toks = star.select("id", "pivot", F.explode("delta").alias("tok"))
     freq = materialise(toks.groupBy("pivot", "tok").agg(F.count(F.lit(1)).alias("f")), "frequencies")
     rare = Window.partitionBy("id").orderBy("f", "tok")
-    toks = join_groups(toks, freq, ["pivot", "tok"], "f").withColumn("place", F.row_number().over(rare)).select("id", "tok", "place")
+    toks = join_sized(toks, freq, ["pivot", "tok"], "f").withColumn("place", F.row_number().over(rare)).select("id", "tok", "place")
     # least overlap: more than half of the delta, but for what the member is larger (or another could be) than the pivot
     half = F.when(F.col("linked"), (F.col("nd") - r * (F.col("n") - F.col("n_pivot"))) / 2).otherwise(
         (F.col("nd") - r * (F.col("n") + F.col("widest")) + r * (F.col("n_pivot") + F.col("n"))) / 2
@@ -198,6 +200,45 @@ def delta_links(star: DataFrame, percent: int, groups: DataFrame | None) -> Data
     return found
 
 
+def token_sets(texts: DataFrame, k: int) -> DataFrame:
+    """(mid, set) from (mid, text): the hashes of a text's distinct shingles."""
+
+    def run(batches):
+        for b in batches:
+            for part in pieces(b, 1):
+                h, count = shingles(part.column(1), k)
+                at = np.cumsum(count) - count
+                sets = [np.unique(h[a : a + c]).view(np.int64) for a, c in zip(at, count, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["mid", "set"])
+
+    return texts.select("mid", "text").mapInArrow(run, "mid long, set array<long>")
+
+
+def crossing_tokens(members: DataFrame, sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(mid, tok): members in buckets such that any two of different components that are linked share one.
+
+    ``members`` has their mid, ``sets`` whole sets (mid, set), ``groups`` components (mid, component) as far as they are
+    known. Two linked sets of n and m tokens share ``percent`` of either at least. Tokens that one component alone has
+    can't be among those; the rest is ordered by rarity among the members, and the rarest shared one lies where enough
+    tokens follow it in both sets. A set with too few tokens of several components is linked with none of the others
+    and has no row. So unlike texts with a passage in common meet neither there nor, mostly, at all.
+    """
+    own = members.distinct().join(groups, "mid", "left").withColumn("component", F.coalesce("component", "mid"))
+    toks = sets.select("mid", "set").join(own, "mid").select("mid", "component", F.expr(f"(size(set) * {percent} + 99) div 100").alias("least"), F.explode("set").alias("tok"))
+    toks = materialise(toks, "tokens")
+    shared = toks.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), (F.min("component") < F.max("component")).alias("crossing"))
+    # a token of one component alone joins nothing, so the join makes no row for it
+    toks_met = toks.join(shared.where("crossing").select("tok", "c").hint("merge"), "tok")
+    mine = Window.partitionBy("mid")
+    placed = toks_met.withColumn("known", F.count(F.lit(1)).over(mine)).where("known >= least").withColumn("place", F.row_number().over(mine.orderBy("c", "tok")))
+    heads = materialise(placed.where("place <= known - least + 1").select("mid", "tok", "component"), "crossing")
+    release(toks)
+    several = heads.groupBy("tok").agg((F.min("component") < F.max("component")).alias("crossing")).where("crossing").select("tok")
+    out = materialise(heads.join(several, "tok", "left_semi").select("mid", "tok"), "rare")
+    release(heads)
+    return out
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -215,7 +256,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     Documents with the same set are one member. A bucket's members are compared with one pivot, the member that shares
     most buckets with others, so work follows the members, not their pairs. Members linked with the pivot are one
     group; their links with others are found by ``delta_links``, and those not linked with a pivot go on to the next
-    level with pivots of their own, at the last of which they are compared with each other too. No link between members of a bucket is lost.
+    level with buckets of their own (``crossing_tokens``) and pivots of their own, at the last of which they are
+    compared with each other too. No link between members of a bucket is lost.
 
     Null and empty texts, and texts of white space, have no shingles, are linked with nothing and are kept. A null id
     never becomes a component's name unless all its ids are null; rows that repeat an id and text share one verdict; an
@@ -230,17 +272,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     spread = materialise(one.select("mid", F.explode("bands").alias("band")), "bands")
 
     edges: list[DataFrame] = []
-    texts = None
+    texts = rest = groups = None
     for level in range(levels):
-        last = level == levels - 1
+        last = level == levels - 1 or (rest is not None and rest <= FEW_ROWS)
         counts = spread.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
         counts = materialise(counts, "counts")
-        met = materialise(join_groups(spread, counts, "band", "c"), "buckets")
+        met = materialise(join_sized(spread, counts, "band", "c"), "buckets")
         weight = met.groupBy("mid").agg(F.sum("c").alias("w"))
         tie = F.pmod(F.xxhash64("mid"), F.lit(1 << 20)) / (1 << 21)
         heads = met.join(weight, "mid").groupBy("band").agg(F.max_by("mid", F.col("w") + tie).alias("pivot"), F.first("c").alias("c"))
         heads = materialise(heads, "heads")
-        met, buckets = materialise(join_groups(met.select("band", "mid"), heads, "band", "c").drop("c").where("mid <> pivot"), "met"), met
+        met, buckets = materialise(join_sized(met.select("band", "mid"), heads, "band", "c").drop("c").where("mid <> pivot"), "met"), met
         release(counts)
         release(heads)
         pairs = materialise(met.groupBy("mid", "pivot").agg(F.count(F.lit(1)).alias("shared")), "pairs")
@@ -254,7 +296,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         # a pivot's members are dealt into parts, each of which gets a copy of its text
         stars = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("members"))
         stars = materialise(stars.withColumn("parts", F.ceil(F.col("members") / PART_MEMBERS).cast("int")), "stars")
-        dealt = join_groups(pairs, stars, "pivot", "members").withColumn("part", F.pmod(F.xxhash64("mid"), F.col("parts")).cast("int"))
+        dealt = join_sized(pairs, stars, "pivot", "members").withColumn("part", F.pmod(F.xxhash64("mid"), F.col("parts")).cast("int"))
         own = dealt.groupBy("mid").agg(F.collect_list(F.struct("pivot", "part")).alias("pivots")).join(texts, "mid")  # as many as bands at most
         own = own.select("mid", "text", F.explode("pivots").alias("p")).select("mid", "text", "p.pivot", "p.part")
         heads = texts.join(stars, F.col("mid") == F.col("pivot")).select("pivot", F.col("text").alias("pivot_text"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
@@ -265,11 +307,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         edges.append(materialise(star.where("linked").select(F.col("mid").alias("a"), F.col("pivot").alias("b")), "linked"))
         if star.where("not linked").limit(1).count() == 0:
             break
-        groups = components(_union(edges)).withColumnRenamed("node", "mid") if last else None
-        edges.append(delta_links(star, percent, groups))
-        if not last:
-            apart = star.where("not linked").select("mid", "pivot")
-            spread = materialise(met.join(apart, ["mid", "pivot"], "left_semi").select("mid", "band"), "bands")
+        edges.append(delta_links(star, percent, (groups or labels(_union(edges))) if last else None))
+        if last:
+            break
+        apart = star.where("not linked").select("mid").distinct()
+        sets = token_sets(texts.join(apart, "mid"), k)
+        groups = labels(_union(edges))
+        spread = crossing_tokens(apart, sets, groups, percent).withColumnRenamed("tok", "band")
+        rest = spread.count()
+        if rest == 0:
+            break
         release(star)
         release(met)
         sweep(docs.sparkSession)
