@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formline.llm.arrow_words import pieces
-from formline.llm.common import components, join_groups, materialise, release, ship, sweep
-from formline.llm.minhash import delta_links, mix, shingles
+from formline.llm.common import components, join_groups, join_sized, labels, materialise, release, ship, sweep
+from formline.llm.minhash import FEW_ROWS, crossing_tokens, delta_links, mix, shingles
 
 ship(__name__)
 
@@ -90,7 +90,7 @@ def rare_tokens(members: DataFrame) -> DataFrame:
     """
     spread = members.select("mid", F.explode("head").alias("tok"), (F.col("keep") - F.size("head")).alias("over"))
     counts = materialise(spread.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "counts")
-    common = join_groups(spread, counts, "tok", "c")
+    common = join_sized(spread, counts, "tok", "c")
     mine = Window.partitionBy("mid")
     # over + common tokens = keep - tokens of this head alone
     common = common.withColumn("known", F.count(F.lit(1)).over(mine)).withColumn("place", F.row_number().over(mine.orderBy("c", "tok")))
@@ -107,10 +107,10 @@ def against_pivots(pairs: DataFrame, sets: DataFrame, percent: int, far: bool) -
     A pivot's members are dealt into parts, each of which gets a copy of its set.
     """
     stars = materialise(pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("members")).withColumn("parts", F.ceil(F.col("members") / PART_MEMBERS).cast("int")), "stars")
-    dealt = join_groups(pairs, stars, "pivot", "members").select("mid", "pivot", F.pmod(F.xxhash64("mid"), F.col("parts")).cast("int").alias("part"))
+    dealt = join_sized(pairs, stars, "pivot", "members").select("mid", "pivot", F.pmod(F.xxhash64("mid"), F.col("parts")).cast("int").alias("part"))
     heads = sets.join(stars, F.col("mid") == F.col("pivot")).select("pivot", *(F.col(c).alias(f"{c}_pivot") for c in ("set", "second", "third")), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     heavy = dealt.groupBy("mid").agg(F.count(F.lit(1)).alias("met"))
-    own = join_groups(dealt, heavy, "mid", "met").drop("met").join(sets, "mid")
+    own = join_sized(dealt, heavy, "mid", "met").drop("met").join(sets, "mid")
     both = own.join(heads, ["pivot", "part"])
     n, m = F.size("set").cast("long"), F.size("set_pivot").cast("long")
     low = 2 * percent - 100
@@ -128,28 +128,11 @@ def against_pivots(pairs: DataFrame, sets: DataFrame, percent: int, far: bool) -
     return out
 
 
-def labels(edges: DataFrame, rounds: int = 3) -> DataFrame:
-    """(mid, component): a name that members share only if links join them, the smallest member within ``rounds`` links.
-
-    Not all members of a component need get one name, which costs comparisons but no link; it takes ``rounds`` passes,
-    however long a component's chains are.
-    """
-    both = materialise(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))), "both")
-    now = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("low"), F.count(F.lit(1)).alias("links"))
-    for _ in range(rounds - 1):
-        now = materialise(now, "labels")
-        met = join_groups(both, now.withColumnRenamed("u", "v"), "v", "links").groupBy("u").agg(F.min("low").alias("near"))
-        now = now.join(met, "u").select("u", F.least("low", "near").alias("low"), "links")
-    out = materialise(now.select(F.col("u").alias("mid"), F.col("low").alias("component")), "labels")
-    release(both)
-    return out
-
-
 def _with_components(star: DataFrame, groups: DataFrame) -> DataFrame:
     """``star`` with its members' and pivots' components as far as they are known; a member without links is one of its own."""
-    own = join_groups(star, star.groupBy("mid").agg(F.count(F.lit(1)).alias("_met")).join(groups, "mid", "left"), "mid", "_met")
+    own = join_sized(star, star.groupBy("mid").agg(F.count(F.lit(1)).alias("_met")).join(groups, "mid", "left"), "mid", "_met")
     heads = star.groupBy("pivot").agg(F.count(F.lit(1)).alias("_met")).join(groups.withColumnRenamed("mid", "pivot").withColumnRenamed("component", "pivot_component"), "pivot", "left")
-    both = join_groups(own.drop("_met"), heads, "pivot", "_met").drop("_met")
+    both = join_sized(own.drop("_met"), heads, "pivot", "_met").drop("_met")
     return both.withColumn("component", F.coalesce("component", "mid")).withColumn("pivot_component", F.coalesce("pivot_component", "pivot"))
 
 
@@ -163,8 +146,9 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, levels: int =
 
     Documents with the same set are one member. A bucket's members are compared with one pivot; those linked with it
     are one group, whose links with members of other components are found from differences to the pivot
-    (``delta_links``); those not linked with a pivot go on to the next level, at the last of which they are compared
-    with each other, unless a bucket's rest is of one component by then. So work follows members, not pairs.
+    (``delta_links``); those not linked with a pivot go on to the next level in buckets of their own, by the rarest
+    tokens of their whole sets that members of several components share (``crossing_tokens``); at the last level they
+    are compared with each other. So work follows members, not pairs.
 
     Null and empty texts, and texts of white space, have no shingles and are linked with nothing: their component is
     their own id. A null id never becomes a component's name unless all its ids are null; rows that repeat an id and
@@ -177,16 +161,16 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, levels: int =
     spread = rare_tokens(one)
 
     edges: list[DataFrame] = []
-    sets = None
+    sets = rest = groups = None
     for level in range(levels):
-        last = level == levels - 1
+        last = level == levels - 1 or (rest is not None and rest <= FEW_ROWS)
         counts = materialise(spread.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "counts")
-        met = materialise(join_groups(spread, counts, "tok", "c"), "buckets")
+        met = materialise(join_sized(spread, counts, "tok", "c"), "buckets")
         weight = met.groupBy("mid").agg(F.sum("c").alias("w"))
         tie = F.pmod(F.xxhash64("mid"), F.lit(1 << 20)) / (1 << 21)
         heads = met.join(weight, "mid").groupBy("tok").agg(F.max_by("mid", F.col("w") + tie).alias("pivot"), F.first("c").alias("c"))
         heads = materialise(heads, "heads")
-        met, buckets = materialise(join_groups(met.select("tok", "mid"), heads, "tok", "c").drop("c").where("mid <> pivot"), "met"), met
+        met, buckets = materialise(join_sized(met.select("tok", "mid"), heads, "tok", "c").drop("c").where("mid <> pivot"), "met"), met
         pairs = materialise(met.select("mid", "pivot").distinct(), "pairs")
         for t in (spread, buckets, counts, heads):
             release(t)
@@ -201,7 +185,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, levels: int =
         edges.append(materialise(star.where("linked").select(F.col("mid").alias("a"), F.col("pivot").alias("b")), "linked"))
         if star.where("not linked").limit(1).count() == 0:
             break
-        groups = labels(_all(edges))
+        groups = groups or labels(_all(edges))
         compared, star = star, materialise(_with_components(star, groups), "placed")
         release(compared)
         # all of a pivot's linked members are of its component: only near ones of others can add a link to them
@@ -209,13 +193,14 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, levels: int =
         open_stars = materialise(star.join(elsewhere, "pivot", "left_semi").drop("component", "pivot_component"), "open")
         edges.append(delta_links(open_stars, percent, groups if last else None))
         release(open_stars)
-        if not last:
-            # what isn't linked with a bucket's pivot goes on, unless it is all of one component by now
-            apart = met.join(star.where("not linked").select("mid", "pivot", "component"), ["mid", "pivot"]).select("mid", "tok", "component")
-            mixed = apart.groupBy("tok").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed")
-            spread = materialise(apart.join(mixed, "tok", "left_semi").select("mid", "tok"), "rare")
-            if spread.limit(1).count() == 0:
-                break
+        if last:
+            break
+        # what isn't linked with a pivot goes on, by tokens that it shares with other components of such members
+        groups = labels(_all(edges))
+        spread = crossing_tokens(star.where("not linked").select("mid"), sets, groups, percent)
+        rest = spread.count()
+        if rest == 0:
+            break
         release(star)
         release(met)
         sweep(docs.sparkSession)
