@@ -342,3 +342,49 @@ def test_leaderboard_reads_what_it_has_written(spark):
     plan = audits.leaderboard(spark, "/root/testdata/sf0.001", 1)._jdf.queryExecution().optimizedPlan()
     read = [str(plan.collectLeaves().apply(i).toString()) for i in range(plan.collectLeaves().size())]
     assert read and not any("l_orderkey" in r for r in read)
+
+
+def reads_the_lines(df):
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return any("l_orderkey" in plan.collectLeaves().apply(i).toString() for i in range(plan.collectLeaves().size()))
+
+
+def test_logit_chances_read_the_written_panel(spark):
+    """Fits and chances read the panel that was made once; no plan goes back to the lines."""
+    assert not reads_the_lines(audits.grouped_logit_walk_forward(spark, "/root/testdata/sf0.001"))
+
+
+@pytest.mark.parametrize("n_sets", [4, 70])
+def test_blocks_of_groups_that_are_alike_hold_every_fit(spark, n_sets):
+    """Groups of many sizes, with gaps, in several sets and across them, in more sets than a whole number has bits, give each fit its own rows."""
+    rng = np.random.default_rng(n_sets)
+    rows = []
+    for g in range(150):
+        won = rng.integers(0, 3)
+        for i in range(rng.integers(1, 9)):
+            rows.append((g, int(rng.integers(0, 9)) if g % 10 == 0 else g % 9, int(i < won), None if rng.random() < 0.05 else float(rng.normal(1e4, 2)), float(rng.normal()), 3.5))
+    df = spark.createDataFrame(rows, "g long, s int, won int, a double, b double, c double").repartition(3).persist()
+    sets = [F.col("s") < n % 9 + 1 for n in range(n_sets)]
+    specs = [models.LogitSpec(f, 0.1, sets[n]) for n in (0, 3, n_sets - 1) for f in (("a", "b", "c"), ("b",), ())]
+    specs += [models.LogitSpec(("b",), 0.1, c) for c in sets] if n_sets > 62 else []
+    for spec, got in list(zip(specs, models.fit_grouped_logits(df, ["g"], "won", specs), strict=True))[:9]:
+        mine = [r for r in rows if r[1] < specs_upto(spec, sets)]
+        x = np.array([[np.nan if r[3 + "abc".index(f)] is None else r[3 + "abc".index(f)] for f in spec.features] for r in mine], dtype=float).reshape(len(mine), -1)
+        x = (np.where(np.isnan(x), got.median, x) - got.mean) / got.scale
+        assert np.allclose(x.mean(axis=0), 0, atol=1e-9) and np.allclose(x.std(axis=0), [0 if f == "c" else 1 for f in spec.features])
+        k = len(spec.features)
+        sums = models._group_sums(x, np.array([r[2] for r in mine], dtype=float), np.array([r[0] for r in mine]), np.array(got.beta))
+        assert np.allclose(sums[1 : 1 + k] - 0.2 * np.array(got.beta), 0, atol=1e-6)  # no slope is left
+        assert np.allclose(np.array(got.error) ** 2, np.diag(np.linalg.inv(sums[1 + k :].reshape(k, k) + 0.2 * np.eye(k))), rtol=1e-5)
+
+
+def specs_upto(spec, sets):
+    return next(i for i, c in enumerate(sets) if c is spec.rows) % 9 + 1
+
+
+def test_large_scores_do_not_overflow():
+    x, y = np.array([[[900.0], [2.0]], [[-900.0], [1.0]]]), np.array([[1.0, 0.0], [0.0, 1.0]])
+    got = models._sums(x, y, np.array([[1.0, 0.0]]))
+    for i, b in enumerate((1.0, 0.0)):
+        want = models._group_sums(x.transpose(1, 0, 2).reshape(-1, 1), y.T.reshape(-1), np.array([0, 0, 1, 1]), np.array([b]))
+        assert np.allclose(got[i], want)
