@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from formline.operators import joins, models, scans, text, windows
+from formline.operators import joins, models, reports, scans, text, windows
 from formline.plans import audits, spine
 
 
@@ -388,3 +388,34 @@ def test_large_scores_do_not_overflow():
     for i, b in enumerate((1.0, 0.0)):
         want = models._group_sums(x.transpose(1, 0, 2).reshape(-1, 1), y.T.reshape(-1), np.array([0, 0, 1, 1]), np.array([b]))
         assert np.allclose(got[i], want)
+
+
+@pytest.fixture(scope="module")
+def loose_panel(spark):
+    """Gaps, groups across seasons, groups without a winner or with several, and nulls as labels."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(300):
+        for i in range(rng.integers(1, 8)):
+            season = f"s{(g + (i % 2 if g % 11 == 0 else 0)) // 75}"
+            rows.append((g, season, i, None if rng.random() < 0.03 else int(rng.random() < 0.25), None if rng.random() < 0.1 else float(rng.normal()), float(rng.normal(50, 9))))
+    return spark.createDataFrame(rows, "g long, season string, i int, won int, a double, b double").persist()
+
+
+def test_losses_of_settings_are_those_of_their_chances(loose_panel):
+    settings = {"all": (("a", "b"), 1e-3), "ridge": (("a", "b"), 100.0), "a": (("a",), 1e-3), "none": ((), 1.0)}
+    for last in (None, 1):
+        got = {r.setting: r for r in models.walk_forward_losses(loose_panel, "season", ["g"], "won", settings, last=last).collect()}
+        scored = models.walk_forward_logits(loose_panel, "season", ["g"], "won", settings, last=last)
+        want = reports.group_log_loss(scored, ["g"], "p_win", "won", ["setting"]).collect()
+        assert {r.setting for r in want} == set(got) == set(settings)
+        for r in want:
+            assert got[r.setting].groups == r.groups and got[r.setting].log_loss == pytest.approx(r.log_loss, rel=1e-9)
+    assert models.walk_forward_losses(loose_panel.where("season = 's0'"), "season", ["g"], "won", settings).count() == 0
+
+
+def test_search_repeats_no_row_for_a_penalty(spark):
+    """Losses are summed from the packed panel: the result's plan has no rows of runners in it."""
+    out = audits.param_search(spark, "/root/testdata/sf0.001", 2)
+    assert not reads_the_lines(out) and "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == 7 and out.where("groups > 0 AND log_loss > 0").count() == 7
