@@ -419,3 +419,9 @@ def test_search_repeats_no_row_for_a_penalty(spark):
     out = audits.param_search(spark, "/root/testdata/sf0.001", 2)
     assert not reads_the_lines(out) and "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert out.count() == 7 and out.where("groups > 0 AND log_loss > 0").count() == 7
+
+
+def test_ablation_repeats_no_row_for_a_setting(spark):
+    out = audits.ablation(spark, "/root/testdata/sf0.001", 2)
+    assert not reads_the_lines(out) and "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == 6 and out.where("without = '' AND loss_added = 0").count() == 1
