@@ -59,6 +59,15 @@ def group_log_loss(df: DataFrame, group: Sequence[str], p: str, won: str, by: Se
     return per.groupBy(*by).agg((-F.avg(F.col("_l") / F.col("_w"))).alias("log_loss"), F.count(F.lit(1)).alias("groups"))
 
 
+def group_log_losses(df: DataFrame, group: Sequence[str], ps: Mapping[str, str], won: str, name: str = "model") -> DataFrame:
+    """(log_loss, groups, ``name``): ``group_log_loss`` of each of the named columns of chances; rows are grouped once for all."""
+    logs = {n: F.log(F.greatest(F.lit(1e-12), F.least(F.lit(1.0), F.col(p)))) for n, p in ps.items()}
+    per = df.groupBy(*group).agg(F.sum(won).alias("_w"), *(F.sum(F.col(won) * log).alias(f"_l{i}") for i, log in enumerate(logs.values()))).where("_w > 0")
+    one = per.agg(F.count(F.lit(1)).alias("groups"), *((-F.avg(F.col(f"_l{i}") / F.col("_w"))).alias(f"_l{i}") for i in range(len(logs))))
+    cells = F.array(*(F.struct(F.col(f"_l{i}").alias("log_loss"), F.lit(n).alias(name)) for i, n in enumerate(logs)))
+    return one.select("groups", F.explode(cells).alias("_c")).select("_c.log_loss", "groups", f"_c.{name}")
+
+
 def pointwise_loss(df: DataFrame, p: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Mean squared error and log-loss of single chances."""
     q = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.col(p)))

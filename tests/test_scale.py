@@ -383,10 +383,10 @@ def specs_upto(spec, sets):
 
 
 def test_large_scores_do_not_overflow():
-    x, y = np.array([[[900.0], [2.0]], [[-900.0], [1.0]]]), np.array([[1.0, 0.0], [0.0, 1.0]])
-    got = models._sums(x, y, np.array([[1.0, 0.0]]))
+    x, y = np.array([[[900.0, 2.0], [-900.0, 1.0]]]), np.array([[1.0, 0.0], [0.0, 1.0]])
+    got = models._sums(x, y, np.array([[1.0], [0.0]]))
     for i, b in enumerate((1.0, 0.0)):
-        want = models._group_sums(x.transpose(1, 0, 2).reshape(-1, 1), y.T.reshape(-1), np.array([0, 0, 1, 1]), np.array([b]))
+        want = models._group_sums(x[0].T.reshape(-1, 1), y.T.reshape(-1), np.array([0, 0, 1, 1]), np.array([b]))
         assert np.allclose(got[i], want)
 
 
@@ -425,3 +425,40 @@ def test_ablation_repeats_no_row_for_a_setting(spark):
     out = audits.ablation(spark, "/root/testdata/sf0.001", 2)
     assert not reads_the_lines(out) and "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert out.count() == 6 and out.where("without = '' AND loss_added = 0").count() == 1
+
+
+def test_trees_from_counts_are_those_of_rows(spark):
+    """Equal rows counted once, with gaps filled by the rows' medians, give the trees of the rows."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(4000):
+        a, b = float(rng.integers(0, 4)), None if rng.random() < 0.2 else float(rng.integers(0, 60) ** 2)
+        rows.append((a, b, float(rng.random() < (0.7 if a > 1 and (b or 0) > 300 else 0.2))))
+    df = spark.createDataFrame(rows, "a double, b double, won double").withColumn("c", F.lit(2.5)).persist()
+    counts = df.groupBy("a", "b", "c", "won").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    assert counts.count() < 600 and models.with_gaps(counts, ["a", "b"]) == ["b"]
+    one, two = models.pointwise_gbt(["a", "b", "c"]).fit(df), models.fit_counted_gbt(df, counts, "n", ["a", "b", "c"])
+    asked = df.select("a", "b", "c").distinct()
+    p, q = ({(r.a, r.b): r.x for r in models.scored_rows(m, asked, "x").collect()} for m in (one, two))
+    assert len(p) > 30 and all(abs(p[c] - q[c]) < 1e-9 for c in p)
+    again = models.fit_counted_gbt(df, counts.repartition(7, "b").sortWithinPartitions("a"), "n", ["a", "b", "c"])
+    assert {(r.a, r.b): r.x for r in models.scored_rows(again, asked, "x").collect()} == pytest.approx(q)
+
+
+def test_leaderboard_learns_trees_from_counts(spark, monkeypatch):
+    """The trees see no more rows than there are different ones, and the losses are those of members made one at a time."""
+    seen = []
+    fit = models.fit_counted_gbt
+    monkeypatch.setattr(models, "fit_counted_gbt", lambda rows, counts, *a, **k: seen.append((rows.count(), counts.count(), counts.agg(F.sum("n")).first()[0])) or fit(rows, counts, *a, **k))
+    got = {r.model: r for r in audits.leaderboard(spark, "/root/testdata/sf0.001", 2).collect()}
+    assert len(seen) == 2 and all(n == weight and cells <= n for n, cells, weight in seen)
+    df = audits._panel(spark, "/root/testdata/sf0.001").withColumn("won", F.col("won").cast("double")).persist()
+    members = {
+        "grouped_logit": models.walk_forward_logits(df, "season", ["race"], "won", {"m": (audits.FEATURES, 1e-3)}, last=2),
+        "boosted_trees": models.walk_forward(df, "season", models.pointwise_gbt(audits.FEATURES).fit, lambda now, m: models.scored_by(m, now, ["race"]), train_only=1, last=2),
+    }
+    members = {n: m.select("race", "saddle", "won", "p_win") for n, m in members.items()}
+    members["ensemble"] = models.ensemble(list(members.values()), ["race", "saddle", "won"], ["race"])
+    for name, scored in members.items():
+        want = reports.group_log_loss(scored, ["race"], "p_win", "won").first()
+        assert got[name].groups == want.groups and got[name].log_loss == pytest.approx(want.log_loss, rel=1e-9)
